@@ -1,23 +1,28 @@
 """Windows over keys of any size.
 
-A window partitioned by a key puts all rows of that key into one task. Where a key may
-hold a large share of all rows, its timeline is cut into buckets of event time: windows
-run inside ``(key, bucket)``, and what a bucket needs from its neighbours comes from one
-summary row per bucket. The summary is the only thing a key's whole history is ordered
-over, and its size is bounded by the time span over the bucket width.
-
-The bucket is a function of the row's own time, so a recomputed task gives the same rows.
+A window partitioned by a key puts all rows of that key into one task. That is the right
+plan while keys are small: one shuffle, no join. Where a key is too large for a task, its
+timeline is cut into buckets of time: windows run inside ``(key, bucket)``, and what a
+bucket needs from its neighbours comes from one summary row per bucket. The summary is
+the only thing a key's whole history is ordered over, and its size is bounded by the time
+span over the bucket width. Both plans give the same rows.
+
+Which plan is taken follows from the largest key, counted beforehand on the key columns
+alone (``split=None``), or from what the caller knows (``split=True`` or ``False``). The
+bucket is a function of the row's own time, so a recomputed task gives the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
+LARGE_KEY_ROWS = 1_000_000
 
 
 def time_bucket(ts: str, width_s: int) -> Column:
@@ -25,123 +30,119 @@ def time_bucket(ts: str, width_s: int) -> Column:
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(width_s * 1_000_000))
 
 
+def has_large_key(df: DataFrame, keys: Sequence[str], rows: int = LARGE_KEY_ROWS) -> bool:
+    """Whether some key has more than ``rows`` rows; counts are combined before the shuffle."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return not counts.filter(F.col("_n") > rows).isEmpty()
+
+
+@dataclass(frozen=True)
+class Measure:
+    """One window value, in the parts that a cut timeline needs."""
+
+    summary: Column  # of one bucket
+    carried: Callable[[str], Column]  # from the other buckets' summaries
+    inside: Column  # of the row, within its bucket (or its whole key)
+    merge: Callable[[Column, Column], Column]
+    finish: Callable[[Column], Column] = lambda value: value
+
+
 class Timeline:
-    """Windows over ``keys`` in ``order``, cut at ``bucket``.
+    """Windows over ``keys`` in ``order``.
 
     >>> line = Timeline(["task_id"], ["ts", "event_id"])
     >>> df = line.spread(events, time_bucket("ts", 86400))
     >>> df = line.window(df, prev=line.lag("stage"), seen=line.running_sum(F.lit(1)))
 
-    Keys must not be NULL.
+    :meth:`spread` comes first: it decides the plan. Keys must not be NULL.
     """
 
-    def __init__(self, keys: Sequence[str], order: Sequence[str]) -> None:
+    def __init__(self, keys: Sequence[str], order: Sequence[str],
+                 split: bool | None = None, large_rows: int = LARGE_KEY_ROWS) -> None:
         self.keys = list(keys)
         self.order = list(order)
-
-    @property
-    def _ord(self) -> Column:
-        return F.struct(*self.order)
+        self.split = split
+        self.large_rows = large_rows
 
     def spread(self, df: DataFrame, bucket: Column) -> DataFrame:
-        """Add the bucket and partition by key and bucket, once for all later windows."""
+        """Add the bucket and, for large keys, partition by it once for all windows."""
+        if self.split is None:
+            self.split = has_large_key(df, self.keys, self.large_rows)
+        if not self.split:
+            return df
         return df.withColumn(BUCKET, bucket).repartition(*self.keys, BUCKET)
 
-    def _inside(self):
-        return W.partitionBy(*self.keys, BUCKET).orderBy(*self.order)
+    @property
+    def _by(self) -> list[str]:
+        return [*self.keys, BUCKET] if self.split else self.keys
+
+    def _rows(self):
+        return W.partitionBy(*self._by).orderBy(*self.order)
 
-    def _across(self):
+    def _until(self, inclusive: bool):
+        return self._rows().rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+
+    def _buckets(self):
         return W.partitionBy(*self.keys).orderBy(BUCKET)
 
-    # Each measure is (per-bucket aggregates, value carried in from the other buckets,
-    # value of the row), the last two given the names of the columns they read.
+    def _before(self):
+        return self._buckets().rowsBetween(W.unboundedPreceding, -1)
 
-    def lag(self, value: Column | str):
+    def lag(self, value: Column | str) -> Measure:
         """Value of the row before; NULL on a key's first row."""
-        value = F.col(value) if isinstance(value, str) else value
         # a struct tells a NULL value from a missing row
-        box = F.struct(value.alias("v"))
-        last = F.max_by(box, self._ord)
-
-        def carried(agg: str) -> Column:
-            return F.lag(agg).over(self._across())
-
-        def row(carry: str) -> Column:
-            inside = F.lag(box).over(self._inside())
-            return F.coalesce(inside, F.col(carry))["v"]
+        box = F.struct((F.col(value) if isinstance(value, str) else value).alias("v"))
+        return Measure(
+            F.max_by(box, F.struct(*self.order)),
+            lambda agg: F.lag(agg).over(self._buckets()),
+            F.lag(box).over(self._rows()), F.coalesce, lambda boxed: boxed["v"])
 
-        return last, carried, row
-
-    def lead(self, value: Column | str):
+    def lead(self, value: Column | str) -> Measure:
         """Value of the row after; NULL on a key's last row."""
-        value = F.col(value) if isinstance(value, str) else value
-        box = F.struct(value.alias("v"))
-        first = F.min_by(box, self._ord)
-
-        def carried(agg: str) -> Column:
-            return F.lead(agg).over(self._across())
-
-        def row(carry: str) -> Column:
-            inside = F.lead(box).over(self._inside())
-            return F.coalesce(inside, F.col(carry))["v"]
-
-        return first, carried, row
+        box = F.struct((F.col(value) if isinstance(value, str) else value).alias("v"))
+        return Measure(
+            F.min_by(box, F.struct(*self.order)),
+            lambda agg: F.lead(agg).over(self._buckets()),
+            F.lead(box).over(self._rows()), F.coalesce, lambda boxed: boxed["v"])
 
-    def running_sum(self, value: Column, inclusive: bool = True):
+    def running_sum(self, value: Column, inclusive: bool = True) -> Measure:
         """Sum over a key's rows up to this one (or up to the one before)."""
-        def carried(agg: str) -> Column:
-            before = self._across().rowsBetween(W.unboundedPreceding, -1)
-            return F.coalesce(F.sum(agg).over(before), F.lit(0))
-
-        def row(carry: str) -> Column:
-            rows = self._inside().rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-            return F.col(carry) + F.coalesce(F.sum(value).over(rows), F.lit(0))
-
-        return F.sum(value), carried, row
-
-    def running_max(self, value: Column, inclusive: bool = True):
+        zero = F.lit(0).cast("long")
+        return Measure(
+            F.sum(value),
+            lambda agg: F.coalesce(F.sum(agg).over(self._before()), zero),
+            F.coalesce(F.sum(value).over(self._until(inclusive)), zero),
+            lambda own, carry: own + carry)
+
+    def running_max(self, value: Column, inclusive: bool = True) -> Measure:
         """Maximum over a key's rows up to this one (or up to the one before)."""
-        return self._running_extreme(F.max, F.greatest, value, inclusive)
+        return Measure(
+            F.max(value), lambda agg: F.max(agg).over(self._before()),
+            F.max(value).over(self._until(inclusive)), F.greatest)
 
-    def running_min(self, value: Column, inclusive: bool = True):
+    def running_min(self, value: Column, inclusive: bool = True) -> Measure:
         """Minimum over a key's rows up to this one (or up to the one before)."""
-        return self._running_extreme(F.min, F.least, value, inclusive)
+        return Measure(
+            F.min(value), lambda agg: F.min(agg).over(self._before()),
+            F.min(value).over(self._until(inclusive)), F.least)
 
-    def _running_extreme(self, agg_fn, pick, value: Column, inclusive: bool):
-        def carried(agg: str) -> Column:
-            before = self._across().rowsBetween(W.unboundedPreceding, -1)
-            return agg_fn(agg).over(before)
-
-        def row(carry: str) -> Column:
-            rows = self._inside().rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-            return pick(agg_fn(value).over(rows), F.col(carry))
-
-        return agg_fn(value), carried, row
-
-    def running_last(self, value: Column):
+    def running_last(self, value: Column) -> Measure:
         """Last value up to this row that is not NULL."""
-        last = F.max_by(value, F.when(value.isNotNull(), self._ord))
-
-        def carried(agg: str) -> Column:
-            before = self._across().rowsBetween(W.unboundedPreceding, -1)
-            return F.last(agg, ignorenulls=True).over(before)
-
-        def row(carry: str) -> Column:
-            rows = self._inside().rowsBetween(W.unboundedPreceding, 0)
-            return F.coalesce(F.last(value, ignorenulls=True).over(rows), F.col(carry))
-
-        return last, carried, row
+        return Measure(
+            F.max_by(value, F.when(value.isNotNull(), F.struct(*self.order))),
+            lambda agg: F.last(agg, ignorenulls=True).over(self._before()),
+            F.last(value, ignorenulls=True).over(self._until(True)), F.coalesce)
 
-    def window(self, df: DataFrame, **measures) -> DataFrame:
+    def window(self, df: DataFrame, **measures: Measure) -> DataFrame:
         """Add the measures to a frame that was :meth:`spread`."""
-        by = [*self.keys, BUCKET]
-        summary = df.groupBy(*by).agg(
-            *[agg.alias(f"_agg_{name}") for name, (agg, _, _) in measures.items()])
+        if not self.split:
+            return df.select(
+                *df.columns, *[m.finish(m.inside).alias(n) for n, m in measures.items()])
+        summary = df.groupBy(*self._by).agg(
+            *[m.summary.alias(f"_agg_{n}") for n, m in measures.items()])
         carried = summary.select(
-            *by, *[fn(f"_agg_{name}").alias(f"_in_{name}")
-                   for name, (_, fn, _) in measures.items()])
-        joined = df.join(carried, by)
-        out = joined.select(
-            *df.columns, *[fn(f"_in_{name}").alias(name)
-                           for name, (_, _, fn) in measures.items()])
-        return out
+            *self._by, *[m.carried(f"_agg_{n}").alias(f"_in_{n}") for n, m in measures.items()])
+        return df.join(carried, self._by).select(
+            *df.columns,
+            *[m.finish(m.merge(m.inside, F.col(f"_in_{n}"))).alias(n)
+              for n, m in measures.items()])

@@ -7,21 +7,22 @@ Inputs are the relations a layout decoder gives:
   ``bbox = (x0, top, x1, bottom)``, top <= bottom
 * ``lines(doc_id, page_no, line_no, top, bottom, text)``
 
-Windows run on :class:`Timeline` with the height on the page as the time axis, so a page
-with a large share of all rows is spread as well.
+The single steps run on :class:`Timeline` with the height on the page as the time axis, so
+a page with a large share of all rows is spread as well.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmark import dims
 from docmark.functions.tables import grid_to_markdown
 from docmark.functions.text import strip
 from docmark.limits import DEFAULT
-from docmark.operators.assembly import (
-    PAGE_GAP, assemble_page, ordered_text)
+from docmark.operators.assembly import BROADCAST_ROWS, PAGE_GAP, assemble_page, ordered_text
 from docmark.operators.carry import BUCKET, Timeline
 
 PAGE = ["doc_id", "page_no"]
@@ -32,42 +33,54 @@ def _band(y: Column, height: float) -> Column:
     return F.floor(y / F.lit(height))
 
 
-def order_tables(tables: DataFrame, band: float = BAND) -> DataFrame:
-    """Tables with a box of four numbers, from top to bottom; adds ``table_no`` from 0."""
-    valid = tables.filter(F.size("bbox") == 4).select(
-        *tables.columns, F.get("bbox", F.lit(1)).alias("top"), F.get("bbox", F.lit(3)).alias("bottom"))
-    line = Timeline(PAGE, ["top", "table_id"])
+def boxed(tables: DataFrame) -> DataFrame:
+    """Tables with a box of four numbers; adds ``top`` and ``bottom``."""
+    return tables.filter(F.size("bbox") == 4).select(
+        *tables.columns, F.get("bbox", F.lit(1)).alias("top"),
+        F.get("bbox", F.lit(3)).alias("bottom"))
+
+
+def order_tables(tables: DataFrame, band: float = BAND, split: bool | None = None) -> DataFrame:
+    """Tables with a usable box from top to bottom; adds ``top, bottom, table_no`` (from 0)."""
+    valid = boxed(tables)
+    line = Timeline(PAGE, ["top", "table_id"], split)
     df = line.spread(valid, _band(F.col("top"), band))
     df = line.window(df, table_no=line.running_sum(F.lit(1), inclusive=False))
     return df.drop(BUCKET)
 
 
-def text_regions(ordered: DataFrame, pages: DataFrame, band: float = BAND) -> DataFrame:
+def text_regions(ordered: DataFrame, pages: DataFrame, band: float = BAND,
+                 split: bool | None = None) -> DataFrame:
     """Regions of text around a page's tables: ``doc_id, page_no, ord, top, bottom``.
 
     Each region above a table starts at the bottom of the table before it (the page's
-    top for the first), and exists only if it has a height. A page without tables is
-    one region. ``ord`` is even and interleaves with the tables' odd numbers.
+    top for the first), and exists only if it has a height; so does the region below the
+    last table. A page without tables is one region. ``ord`` is even and interleaves with
+    the tables' odd numbers. The page's end is laid behind its tables as one more mark,
+    so that all regions come from one window and no join.
     """
-    line = Timeline(PAGE, ["top", "table_id"])
-    df = line.spread(ordered, _band(F.col("top"), band))
-    df = line.window(df, _above=line.lag("bottom"))
+    marks = ordered.select(
+        *PAGE, F.lit(0).alias("_end"), F.col("top").cast("double").alias("_y"), "table_id",
+        F.col("bottom").cast("double").alias("_bottom"))
+    ends = pages.select(
+        *PAGE, F.lit(1).alias("_end"), F.col("height").cast("double").alias("_y"),
+        F.lit(None).cast(ordered.schema["table_id"].dataType).alias("table_id"),
+        F.lit(None).cast("double").alias("_bottom"))
+    line = Timeline(PAGE, ["_end", "_y", "table_id"], split)
+    # a page's end comes after all of its tables, wherever they are
+    at = F.when(F.col("_end") == 1, F.lit(2**40)).otherwise(_band(F.col("_y"), band))
+    df = line.spread(marks.unionByName(ends), at)
+    df = line.window(
+        df, _above=line.lag("_bottom"),
+        _no=line.running_sum(F.lit(1), inclusive=False))
     start = F.coalesce(F.col("_above"), F.lit(0.0))
-    above = df.filter(F.col("top") > start).select(
-        *PAGE, (F.col("table_no") * 2).alias("ord"), start.alias("top"), F.col("top").alias("bottom"))
-    last = ordered.groupBy(*PAGE).agg(
-        F.max_by("bottom", F.struct("top", "table_id")).alias("_end"),
-        F.count(F.lit(1)).alias("_n"))
-    rest = pages.join(last, PAGE, "left").select(
-        *PAGE, (F.coalesce("_n", F.lit(0)) * 2).alias("ord"),
-        F.coalesce("_end", F.lit(0.0)).alias("top"), F.col("height").alias("bottom"),
-        F.col("_n").isNull().alias("_whole"))
-    rest = rest.filter(F.col("_whole") | (F.col("top") < F.col("bottom"))).drop("_whole")
-    return above.unionByName(rest)
+    whole = (F.col("_end") == 1) & (F.col("_no") == 0)
+    return df.filter(whole | (F.col("_y") > start)).select(
+        *PAGE, (F.col("_no") * 2).alias("ord"), start.alias("top"), F.col("_y").alias("bottom"))
 
 
 def assign_lines_to_regions(lines: DataFrame, regions: DataFrame,
-                            band: float = BAND) -> DataFrame:
+                            band: float = BAND, split: bool | None = None) -> DataFrame:
     """Lines with the ``ord`` of the region ``[top, bottom)`` their top falls in.
 
     Regions of a page do not overlap, so this is an as-of lookup: regions and lines are
@@ -86,54 +99,99 @@ def assign_lines_to_regions(lines: DataFrame, regions: DataFrame,
         F.col("line_no").cast("long").alias("_seq"),
         F.lit(None).cast("struct<ord:bigint,end:double>").alias("_region"),
         *[c for c in lines.columns if c not in PAGE])
-    axis = Timeline(PAGE, ["_y", "_kind", "_seq"])
+    axis = Timeline(PAGE, ["_y", "_kind", "_seq"], split)
     df = axis.spread(starts.unionByName(marks), _band(F.col("_y"), band))
     df = axis.window(df, _in=axis.running_last(F.col("_region")))
     return df.filter((F.col("_kind") == 1) & (F.col("_y") < F.col("_in.end"))).select(
         *lines.columns, F.col("_in.ord").alias("ord"))
 
 
+def _verdicts(tables: DataFrame, lines: DataFrame, pages: DataFrame,
+              max_bytes: int) -> DataFrame:
+    """``doc_id, error`` of the documents that cannot be assembled."""
+    # one byte more per row, so that empty rows count as well
+    line_size = lines.select("doc_id", (F.octet_length("text") + 1).alias("_bytes"))
+    grid_size = tables.select(
+        "doc_id", (F.octet_length(F.array_join(F.flatten("grid"), "")) + 1).alias("_bytes"))
+    page_size = pages.select(
+        "doc_id", F.lit(1).alias("_bytes"), F.col("height").isNull().alias("_broken"))
+    rows = line_size.unionByName(grid_size).unionByName(page_size, allowMissingColumns=True)
+    sizes = rows.groupBy("doc_id").agg(
+        F.sum("_bytes").alias("_bytes"), F.bool_or("_broken").alias("_broken"))
+    error = F.when(F.col("_bytes") > max_bytes, dims.TOO_LARGE).when(
+        F.col("_broken"), dims.MARKDOWN_FAILED)
+    return sizes.select("doc_id", error.alias("error")).filter(F.col("error").isNotNull())
+
+
+def _elements(tables: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """Tables, lines and pages on one axis; ``_kind`` 0, 1 and 2."""
+    def row(kind: int, y: Column, bottom: Column, order: Column, text: Column) -> list[Column]:
+        return [F.lit(kind).alias("_kind"), y.cast("double").alias("_y"),
+                bottom.cast("double").alias("_bottom"), order.cast("string").alias("_order"),
+                text.alias("text")]
+
+    none = F.lit(None)
+    grid = strip(grid_to_markdown(F.col("grid")))
+    return (
+        boxed(tables).select(
+            *PAGE, *row(0, F.col("top"), F.col("bottom"), F.col("table_id"), grid),
+            none.cast("long").alias("line_no"))
+        .unionByName(lines.select(
+            *PAGE, *row(1, F.col("top"), none, none, F.col("text")),
+            F.col("line_no").cast("long").alias("line_no")))
+        .unionByName(pages.select(
+            *PAGE, *row(2, F.lit(float("-inf")), F.col("height"), none, none.cast("string")),
+            none.cast("long").alias("line_no"))))
+
+
 def assemble_layout(tables: DataFrame, lines: DataFrame, pages: DataFrame,
                     max_bytes: int = DEFAULT.max_upload_bytes) -> DataFrame:
     """``doc_id, markdown, error`` of every document in ``pages``.
 
     A region or table that cannot be read (NULL text or grid) is left out; a document
-    with a page that cannot be read (NULL height) fails whole. A document whose text is
-    over the upload limit is rejected like an oversize file before anything is
-    collected, so every text assembled here is within the limit.
+    with a page that cannot be read (NULL height) fails whole. A document over the upload
+    limit is rejected like an oversize file, from sums combined before their shuffle, so
+    whatever is gathered below is within the limit.
+
+    With every document bounded, all of its rows meet in one shuffle: a line's place is
+    the number of tables that start above it, and it belongs to the text there unless
+    the last of them still covers it. Regions, parts, pages and the document are grouped
+    in that partitioning.
     """
-    line_bytes = lines.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("_bytes"))
-    grid_text = F.array_join(F.flatten("grid"), "")
-    grid_bytes = tables.groupBy("doc_id").agg(
-        F.sum(F.octet_length(grid_text)).alias("_bytes"))
-    heavy = (
-        line_bytes.unionByName(grid_bytes).groupBy("doc_id").agg(F.sum("_bytes").alias("_bytes"))
-        .filter(F.col("_bytes") > max_bytes)
-        .select("doc_id", F.lit(dims.TOO_LARGE).alias("_heavy")))
-    broken = pages.groupBy("doc_id").agg(
-        F.bool_or(F.col("height").isNull()).alias("_broken"))
-    verdict = broken.join(heavy, "doc_id", "left").select(
-        "doc_id",
-        F.coalesce("_heavy", F.when(F.col("_broken"), dims.MARKDOWN_FAILED)).alias("error"))
-    bad = verdict.filter(F.col("error").isNotNull()).select("doc_id")
-
-    good_tables = tables.join(bad, "doc_id", "left_anti")
-    good_lines = lines.join(bad, "doc_id", "left_anti")
-    good_pages = pages.join(bad, "doc_id", "left_anti")
-    ordered = order_tables(good_tables)
-    regions = text_regions(ordered, good_pages)
-    placed = assign_lines_to_regions(
-        good_lines.select(*PAGE, "line_no", "top", "text").filter(F.col("text").isNotNull()), regions)
-    one = F.lit(0).cast("long")
-    texts = ordered_text(
-        placed, [*PAGE, "ord"], ["top", "line_no"], F.col("text"), "\n", one, out="text")
-    grids = ordered.select(
-        *PAGE, (F.col("table_no") * 2 + 1).alias("ord"),
-        strip(grid_to_markdown(F.col("grid"))).alias("text"))
-    parts = texts.select(*PAGE, "ord", "text").unionByName(grids)
+    bad = _verdicts(tables, lines, pages, max_bytes)
+    found = bad.limit(BROADCAST_ROWS + 1).count()
+    good = (tables, lines, pages)
+    if found:
+        held = F.broadcast(bad) if found <= BROADCAST_ROWS else bad
+        good = tuple(df.join(held, "doc_id", "left_anti") for df in good)
+    axis = _elements(*good).repartition("doc_id")
+    # numeric table ids keep their order as numbers
+    if not isinstance(tables.schema["table_id"].dataType, T.StringType):
+        axis = axis.withColumn("_order", F.col("_order").cast(tables.schema["table_id"].dataType))
+    page = W.partitionBy(*PAGE)
+    above = page.orderBy("_y", "_kind", "_order").rowsBetween(W.unboundedPreceding, 0)
+    is_table = F.col("_kind") == 0
+    placed = axis.select(
+        "*",
+        F.max(F.when(F.col("_kind") == 2, F.col("_bottom"))).over(page).alias("_height"),
+        F.count(F.when(is_table, 1)).over(above).alias("_tables"),
+        F.last(F.when(is_table, F.col("_bottom")), ignorenulls=True).over(above).alias("_covered"))
+    free = (F.col("_y") >= F.coalesce("_covered", F.lit(0.0))) & (F.col("_y") < F.col("_height"))
+    kept = placed.filter(is_table | ((F.col("_kind") == 1) & free))
+    # the n-th table is part 2n - 1, the text after it part 2n
+    ord_ = F.col("_tables") * 2 - F.when(is_table, 1).otherwise(0)
+    item = F.struct("_y", "line_no", "text")
+    parts = kept.filter(F.col("text").isNotNull()).groupBy(*PAGE, ord_.alias("ord")).agg(
+        F.array_sort(F.collect_list(item))["text"].alias("_lines"))
+    parts = parts.select(*PAGE, "ord", F.array_join("_lines", "\n").alias("text"))
     page_text = assemble_page(parts, slice_parts=None)
-    text = ordered_text(page_text, ["doc_id"], ["page_no"], F.col("text"), PAGE_GAP, one)
-    return verdict.join(text.select("doc_id", "markdown"), "doc_id", "left").select(
-        "doc_id",
-        F.when(F.col("error").isNull(), F.coalesce("markdown", F.lit(""))).alias("markdown"),
-        "error")
+    text = ordered_text(
+        page_text, ["doc_id"], ["page_no"], F.col("text"), PAGE_GAP, F.lit(0).cast("long"))
+    docs = good[2].select("doc_id").distinct()
+    made = docs.join(text.select("doc_id", "markdown"), "doc_id", "left").select(
+        "doc_id", F.coalesce("markdown", F.lit("")).alias("markdown"),
+        F.lit(None).cast("string").alias("error"))
+    if not found:
+        return made
+    failed = bad.select("doc_id", F.lit(None).cast("string").alias("markdown"), "error")
+    return made.unionByName(failed)

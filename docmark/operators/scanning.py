@@ -87,14 +87,14 @@ def resolve_attempts(attempts: DataFrame, max_retries: int = DEFAULT.scan_retrie
 
 
 def reconnect_delays(attempts: DataFrame, cap_s: int = DEFAULT.reconnect_cap_s,
-                     width_s: int = 86_400) -> DataFrame:
+                     width_s: int = 86_400, split: bool | None = None) -> DataFrame:
     """Delay after each failed connection: ``2^n`` seconds up to the cap.
 
     ``attempts`` has ``client_id, ts, event_id, ok``; ``n`` counts the failures since the
     last success. It is the failures so far less those before the last success, both
     running values, so that a client's timeline can be cut anywhere.
     """
-    line = Timeline(["client_id"], ["ts", "event_id"])
+    line = Timeline(["client_id"], ["ts", "event_id"], split)
     df = line.spread(attempts, time_bucket("ts", width_s))
     failed = (~F.col("ok")).cast("long")
     df = line.window(df, _fails=line.running_sum(failed, inclusive=False))
