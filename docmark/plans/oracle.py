@@ -7,7 +7,7 @@ slices, buckets or sketches.
 from __future__ import annotations
 
 from docmark import dims
-from docmark.functions import html, text
+from docmark.functions import html
 from docmark.plans import bindings as b
 
 ORACLE: dict[str, str] = {}
@@ -26,8 +26,11 @@ def _case(key: str, table: dict, default: object = None) -> str:
     return f"CASE {key} {arms} ELSE {_q(default)} END"
 
 
+_WHITE = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def _strip(expr: str) -> str:
-    return f"regexp_replace({expr}, '^[{text.SPACE}]+|[{text.SPACE}]+$', '', 'g')"
+    return f"regexp_replace({expr}, '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g')"
 
 
 # --- shared relations --------------------------------------------------------

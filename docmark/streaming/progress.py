@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,28 +19,30 @@ from docmark import dims
 from docmark.limits import DEFAULT
 from docmark.operators.status import check_heartbeat
 
-OUTPUT = (
-    "task_id string, kind string, event_id long, us long, stage string, status string, "
-    "error_reason string, emit_no int")
 STATE = "last_stage string, status string, sent_us long, write_us long, ended boolean"
-ROLLUP_OUTPUT = (
-    "task_id string, event_id long, us long, status string, stage string, error_reason string")
 ROLLUP_STATE = "members string, last string, write_us long, ended boolean"
+# Rows cross to Python and back as JSON: one column costs much less per key than one for
+# each field.
+SENT = (
+    "kind string, event_id long, us long, stage string, status string, error_reason string, "
+    "emit_no int")
+ROLLED = "event_id long, us long, status string, stage string, error_reason string"
 
-_COLUMNS = ["task_id", "kind", "event_id", "us", "stage", "status", "error_reason", "emit_no"]
 _RANK = {stage: i for i, stage in enumerate(dims.STAGES)}
 _FAR_US = 10**18
 
 
-def _text(value: object) -> str | None:
-    return value if isinstance(value, str) else None
+def _ordered(frames: Iterator[pd.DataFrame]) -> list[dict]:
+    """A key's new rows in order."""
+    rows = [json.loads(text) for frame in frames for text in frame["row"]]
+    rows.sort(key=lambda row: (row["us"], row["event_id"]))
+    return rows
 
 
-def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
-    got = [f for f in frames if len(f)]
-    if not got:
-        return None
-    return pd.concat(got).sort_values(["us", "event_id"], kind="stable")
+def _frame(key: str, rows: list[dict]) -> Iterator[pd.DataFrame]:
+    if rows:
+        yield pd.DataFrame(
+            {"key": [key] * len(rows), "row": [json.dumps(row) for row in rows]})
 
 
 def _now_us(state: GroupState, clock: str) -> int:
@@ -61,8 +63,7 @@ def _progress(ttl_us: int, beat_us: int | None, clock: str):
     """Function that advances one task by its new rows, or by the clock alone."""
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        task_id = key[0]
-        out: list[tuple] = []
+        out: list[dict] = []
         live = state.get if state.exists else None
 
         def beats(until: int) -> None:
@@ -73,33 +74,27 @@ def _progress(ttl_us: int, beat_us: int | None, clock: str):
             stop = min(until, wrote + ttl_us)
             while sent + beat_us < stop:
                 sent += beat_us
-                out.append((task_id, "heartbeat", None, sent, None, None, None, 0))
+                out.append({"kind": "heartbeat", "us": sent})
             live = (stage, status, sent, wrote, ended)
 
-        rows = _ordered(frames)
-        if rows is not None:
-            for r in rows.itertuples():
-                if live is not None and r.us > live[3] + ttl_us:
-                    beats(_FAR_US)
-                    live = None
-                if live is None:
-                    if r.op != "init":
-                        continue
-                    live = (None, None, r.us, r.us, False)
-                beats(r.us)
-                last, _, sent, _, ended = live
-                if not ended:
-                    row = (r.event_id, r.us, _text(r.stage), r.status, _text(r.error_reason))
-                    n = 0
-                    if r.stage != last:
-                        n += 1
-                        out.append((task_id, "state", *row, n))
-                        last, sent = r.stage, r.us
-                    if r.status in dims.TERMINAL:
-                        n += 1
-                        out.append((task_id, "state", *row, n))
-                        ended = True
-                live = (last, r.status, sent, r.us, ended)
+        for row in _ordered(frames):
+            us, stage, status = row["us"], row["stage"], row["status"]
+            if live is not None and us > live[3] + ttl_us:
+                beats(_FAR_US)
+                live = None
+            if live is None:
+                if row["op"] != "init":
+                    continue
+                live = (None, None, us, us, False)
+            beats(us)
+            last, _, sent, _, ended = live
+            if not ended:
+                changed, ended = stage != last, status in dims.TERMINAL
+                for n in range(1, changed + ended + 1):
+                    out.append({**row, "kind": "state", "emit_no": n})
+                if changed:
+                    last, sent = stage, us
+            live = (last, status, sent, us, ended)
         now = _now_us(state, clock)
         if live is not None:
             beats(now)
@@ -113,26 +108,28 @@ def _progress(ttl_us: int, beat_us: int | None, clock: str):
             state.update(live)
             next_beat = _FAR_US if beat_us is None or live[4] else live[2] + beat_us
             _wake_at(state, clock, min(next_beat, expiry))
-        yield pd.DataFrame(out, columns=_COLUMNS).astype(
-            {"event_id": "Int64", "us": "int64", "emit_no": "int32"})
+        yield from _frame(key[0], out)
 
     return run
 
 
-def _stateful(keyed: DataFrame, key: str, run, output: str, state: str, clock: str) -> DataFrame:
-    timeout = (
-        GroupStateTimeout.EventTimeTimeout if clock == "event"
-        else GroupStateTimeout.ProcessingTimeTimeout)
-    return keyed.groupBy(key).applyInPandasWithState(run, output, state, "append", timeout)
-
-
 def _timed(stream: DataFrame, clock: str, delay_s: int) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     df = stream.withColumn("ts", ts).withColumn("us", F.unix_micros("ts"))
     return df.withWatermark("ts", f"{delay_s} seconds") if clock == "event" else df
 
 
-_INPUT = ["ts", "us", "task_id", "event_id", "op", "stage", "status", "error_reason"]
+def _stateful(stream: DataFrame, key: str, run, fields: str, state: str, clock: str,
+              more: tuple[str, ...] = ()) -> DataFrame:
+    timeout = (
+        GroupStateTimeout.EventTimeTimeout if clock == "event"
+        else GroupStateTimeout.ProcessingTimeTimeout)
+    columns = ["us", "event_id", "op", "stage", "status", "error_reason", *more]
+    packed = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    out = stream.select("ts", key, packed.alias("row")).groupBy(key).applyInPandasWithState(
+        run, "key string, row string", state, "append", timeout)
+    return out.select(F.col("key").alias(key), F.from_json("row", fields).alias("r")).select(
+        key, "r.*")
 
 
 def stream_progress(stream: DataFrame, ttl_s: int = DEFAULT.state_ttl_s,
@@ -148,8 +145,7 @@ def stream_progress(stream: DataFrame, ttl_s: int = DEFAULT.state_ttl_s,
         check_heartbeat(interval_s)
     beat_us = None if interval_s is None else interval_s * 1_000_000
     run = _progress(ttl_s * 1_000_000, beat_us, clock)
-    rows = _timed(stream, clock, delay_s).select(*_INPUT)
-    return _stateful(rows, "task_id", run, OUTPUT, STATE, clock)
+    return _stateful(_timed(stream, clock, delay_s), "task_id", run, SENT, STATE, clock)
 
 
 def stream_transitions(stream: DataFrame, ttl_s: int = DEFAULT.state_ttl_s,
@@ -186,30 +182,28 @@ def _batch_progress(ttl_us: int, clock: str):
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, last, wrote, ended = state.get if state.exists else ("{}", None, 0, False)
         members = json.loads(held)
-        out: list[tuple] = []
-        rows = _ordered(frames)
-        if rows is not None:
-            for r in rows.itertuples():
-                wrote = max(wrote, r.us)
-                if ended or (r.op != "init" and r.task_id not in members):
-                    continue
-                before = members.get(r.task_id, [r.pos, None, None, ""])
-                reason = before[3] if r.op == "advance" else (_text(r.error_reason) or "")
-                members[r.task_id] = [int(r.pos), r.stage, r.status, reason]
-                now = _rollup(members)
-                text = json.dumps(now)
-                if text != last:
-                    out.append((key[0], r.event_id, r.us, *now))
-                    last = text
-                ended = now[0] in dims.TERMINAL
+        out: list[dict] = []
+        for row in _ordered(frames):
+            task_id, wrote = row["task_id"], max(wrote, row["us"])
+            if ended or (row["op"] != "init" and task_id not in members):
+                continue
+            kept = row["error_reason"] or ""
+            if row["op"] == "advance":
+                kept = members[task_id][3]
+            members[task_id] = [row["pos"], row["stage"], row["status"], kept]
+            status, stage, reason = now = _rollup(members)
+            text = json.dumps(now)
+            if text != last:
+                out.append({**row, "status": status, "stage": stage, "error_reason": reason})
+                last = text
+            ended = status in dims.TERMINAL
         if _now_us(state, clock) > wrote + ttl_us:
             if state.exists:
                 state.remove()
         else:
             state.update((json.dumps({} if ended else members), last, wrote, ended))
             _wake_at(state, clock, wrote + ttl_us)
-        yield pd.DataFrame(
-            out, columns=["task_id", "event_id", "us", "status", "stage", "error_reason"])
+        yield from _frame(key[0], out)
 
     return run
 
@@ -221,8 +215,10 @@ def stream_rollup(stream: DataFrame, members: DataFrame, ttl_s: int = DEFAULT.st
     ``members`` (``batch_id, pos, task_id``) is a static table; a batch has at most the
     batch limit of members, so its state is small.
     """
-    rows = _timed(stream, clock, delay_s).select(*_INPUT).join(
+    own = [c for c in stream.columns if c not in ("batch_id", "pos")]
+    rows = _timed(stream.select(*own), clock, delay_s).join(
         members.select("batch_id", "pos", "task_id"), "task_id")
     run = _batch_progress(ttl_s * 1_000_000, clock)
-    out = _stateful(rows, "batch_id", run, ROLLUP_OUTPUT, ROLLUP_STATE, clock)
+    out = _stateful(
+        rows, "batch_id", run, ROLLED, ROLLUP_STATE, clock, ("task_id", "pos"))
     return out.withColumn("ts", F.timestamp_micros("us")).drop("us")
