@@ -77,12 +77,10 @@ def cells_to_markdown(cells: DataFrame, keys: Sequence[str] = ("table_id",),
     cell = F.struct("col", clean_cell(F.col("cell")).alias("_cell"))
     rows = cells.groupBy(*keys, "row").agg(
         F.array_sort(F.collect_list(cell))["_cell"].alias("_cells"))
-    heads = cells.groupBy(*keys).agg(
-        F.min(F.struct("row", "col")).alias("_low"), F.min("row").alias("_head"))
+    # the header's width from counts alone, without its texts
     width = (
-        cells.join(heads.select(*keys, "_head"), keys)
-        .filter(F.col("row") == F.col("_head"))
-        .groupBy(*keys).agg(F.min("row").alias("_head"), F.count(F.lit(1)).alias("_width")))
+        cells.groupBy(*keys, "row").agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy(*keys).agg(F.min("row").alias("_head"), F.min_by("_n", "row").alias("_width")))
     fitted = rows.join(width, keys).withColumn("_width", F.col("_width").cast("int"))
     line = row_line(fit_row(F.col("_cells"), F.col("_width")))
     text = F.when(

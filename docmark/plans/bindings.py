@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmark.limits import DEFAULT
-from docmark.operators.carry import BUCKET, Timeline, time_bucket
+from docmark.operators.carry import Timeline, has_large_key, time_bucket
 from docmark.sources.uploads import uploads_from_table
 
 LIMITS = replace(DEFAULT, max_upload_bytes=16_384)
@@ -87,10 +87,19 @@ def toxic_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- status ------------------------------------------------------------------
 
 
-def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def user_split(spark: SparkSession, sf_dir: str) -> bool | None:
+    """How to window over anything that belongs to one user.
+
+    Tasks and their batches are each within one user, so without a large user none of
+    them is large; with one, every operator counts its own keys.
+    """
+    return None if has_large_key(table(spark, sf_dir, "events"), ["user_id"]) else False
+
+
+def status_events(spark: SparkSession, sf_dir: str, split: bool | None = None) -> DataFrame:
     """A user's events as the life of tasks: each signup starts the user's next one."""
     ev = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    line = Timeline(["user_id"], ["ts", "event_id"])
+    line = Timeline(["user_id"], ["ts", "event_id"], split)
     ev = line.spread(ev, time_bucket("ts", 86_400))
     ev = line.window(
         ev, run=line.running_sum((F.col("event_type") == "signup").cast("long")))

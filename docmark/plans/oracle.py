@@ -290,6 +290,17 @@ FROM img GROUP BY doc_id, name"""
 add("write_package", ASSETS, select=_MANIFEST)
 add("package_manifest", ASSETS, select=_MANIFEST)
 
+add("resolve_status", STATUS, LATEST, select="""
+SELECT event_id AS request_id, CASE WHEN l.status IS NULL THEN 404 ELSE 200 END AS http_status,
+  l.stage, l.status, l.error_reason FROM ev LEFT JOIN latest l USING (task_id)""")
+add("resolve_progress", UPLOADS, BATCHED, select="""
+, clean AS (
+  SELECT batch_id FROM members GROUP BY batch_id HAVING count(error) = 0)
+SELECT 't' || doc_id AS request_id,
+  CASE WHEN batch_id NOT IN (SELECT batch_id FROM clean) THEN 'task_not_found' END AS error FROM members
+UNION ALL SELECT 'b' || doc_id,
+  CASE WHEN batch_id NOT IN (SELECT batch_id FROM clean) THEN 'no_tasks_found' END FROM members
+UNION ALL SELECT 'x' || doc_id, 'batch_not_found' FROM members""")
 add("resolve_deliveries", STATUS, LATEST, FINISHED, OUTPUTS, select="""
 SELECT event_id AS request_id,
   CASE WHEN l.status IS NULL THEN 410 WHEN l.status <> 'SUCCESS' THEN 404

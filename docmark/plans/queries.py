@@ -69,7 +69,7 @@ def uploads_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table files arriving one by one."""
-    files = uploads.stream_uploads(spark, f"{sf_dir}/*.parquet")
+    files, _ = uploads.stream_uploads(spark, f"{sf_dir}/*.parquet")
     return run_to_table(
         files.select("filename", "length", F.sha2("content", 256).alias("sha256")), "uploads")
 
@@ -121,6 +121,33 @@ def _now(spark: SparkSession, sf_dir: str) -> Column:
     return last.scalar()
 
 
+@query
+def resolve_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = b.status_events(spark, sf_dir)
+    requests = events.select(F.col("event_id").alias("request_id"), "task_id")
+    return deliveries.resolve_status(requests, status.latest_state(events)).drop("task_id")
+
+
+@query
+def resolve_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for each document's task and batch, and for a batch that never was."""
+    members = _batch_members(spark, sf_dir)
+    taken = members.join(
+        validation.batch_first_reject(members).filter("recorded").select("task_id"),
+        "task_id", "left_semi")
+    record = b.batch_records(members)
+    ids = F.array(
+        F.struct(F.concat(F.lit("t"), F.col("doc_id")).alias("request_id"), F.col("task_id"),
+                 F.lit(None).cast("string").alias("batch_id")),
+        F.struct(F.concat(F.lit("b"), F.col("doc_id")).alias("request_id"),
+                 F.lit(None).cast("string").alias("task_id"), F.col("batch_id")),
+        F.struct(F.concat(F.lit("x"), F.col("doc_id")).alias("request_id"),
+                 F.lit(None).cast("string").alias("task_id"),
+                 F.concat(F.lit("x"), F.col("batch_id")).alias("batch_id")))
+    requests = members.select(F.inline(ids))
+    return deliveries.resolve_progress(requests, record, members, taken)
+
+
 @query
 def resolve_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = b.status_events(spark, sf_dir)
@@ -259,7 +286,7 @@ def resolve_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reconnect_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanning.reconnect_delays(b.connections(spark, sf_dir))
+    return scanning.reconnect_delays(b.connections(spark, sf_dir), split=b.user_split(spark, sf_dir))
 
 
 def _xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,9 +479,11 @@ def successful_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def apply_known_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = b.status_events(spark, sf_dir)
+    split = b.user_split(spark, sf_dir)
+    events = b.status_events(spark, sf_dir, split)
     known = status.apply_known_tasks(
-        events.filter(F.col("op") != "init"), events.filter(F.col("op") == "init"), b.TTL_S)
+        events.filter(F.col("op") != "init"), events.filter(F.col("op") == "init"), b.TTL_S,
+        split=split)
     return known.select("task_id", "event_id", "op")
 
 
@@ -586,25 +615,27 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stage_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return status.stage_transitions(b.status_events(spark, sf_dir)).select(
+    split = b.user_split(spark, sf_dir)
+    sent = status.stage_transitions(b.status_events(spark, sf_dir, split), split=split)
+    return sent.select(
         "task_id", "event_id", "stage", "status", "error_reason", "emit_no")
 
 
 @query
 def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sent = status.stage_transitions(b.status_events(spark, sf_dir))
-    beats = status.heartbeats(sent, b.BEAT_S, check_range=False, until=_now(spark, sf_dir))
+    split = b.user_split(spark, sf_dir)
+    sent = status.stage_transitions(b.status_events(spark, sf_dir, split), split=split)
+    beats = status.heartbeats(
+        sent, b.BEAT_S, check_range=False, until=_now(spark, sf_dir), split=split)
     return beats.select("task_id", "event_id", "beat_no", us("beat_at"))
 
 
-def _rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = status.accepted_events(b.status_events(spark, sf_dir))
-    return status.rollup_history(events, b.run_members(events))
-
-
 @query
 def batch_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return status.batch_transitions(_rollups(spark, sf_dir)).select(
+    split = b.user_split(spark, sf_dir)
+    events = status.accepted_events(b.status_events(spark, sf_dir, split), split=split)
+    rollups = status.rollup_history(events, b.run_members(events), split=split)
+    return status.batch_transitions(rollups, split=split).select(
         "batch_id", "event_id", "status", "stage", "error_reason")
 
 
@@ -640,7 +671,8 @@ def stage_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def state_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = status.state_ttl(b.status_events(spark, sf_dir), b.TTL_S)
+    split = b.user_split(spark, sf_dir)
+    out = status.state_ttl(b.status_events(spark, sf_dir, split), b.TTL_S, split=split)
     return out.select("task_id", "event_id", us("valid_until"), "lapsed")
 
 

@@ -1,4 +1,4 @@
-"""Download requests against states and outputs."""
+"""Status, progress and download requests against states and outputs."""
 
 from __future__ import annotations
 
@@ -12,6 +12,38 @@ ZIP_TYPE = "application/zip"
 MARKDOWN_TYPE = "text/markdown"
 
 
+def resolve_status(requests: DataFrame, state: DataFrame) -> DataFrame:
+    """Status lookups: ``request_id, task_id`` with ``http_status, stage, status, error_reason``.
+
+    A task without a state is not found.
+    """
+    known = state.select("task_id", "stage", "status", "error_reason")
+    missing = F.col("status").isNull()
+    code = F.when(missing, dims.ERRORS[dims.NOT_FOUND][1]).otherwise(200)
+    return requests.join(known, "task_id", "left").select(
+        *requests.columns, code.alias("http_status"), "stage", "status", "error_reason")
+
+
+def resolve_progress(requests: DataFrame, batches: DataFrame, members: DataFrame,
+                     states: DataFrame) -> DataFrame:
+    """What opening a progress stream gives at once: ``request_id, error``.
+
+    ``requests`` has ``request_id`` and either ``task_id`` or ``batch_id``. ``error`` is
+    NULL where there is a state to follow; else it tells what is missing.
+    """
+    live = states.select("task_id").distinct().withColumn("_live", F.lit(True))
+    followed = members.join(live, "task_id", "left_semi").select("batch_id").distinct()
+    known = batches.select("batch_id").distinct().withColumn("_known", F.lit(True))
+    error = F.when(
+        F.col("task_id").isNotNull(), F.when(F.col("_live").isNull(), "task_not_found")
+    ).when(F.col("_known").isNull(), "batch_not_found").when(
+        F.col("_followed").isNull(), "no_tasks_found")
+    return (
+        requests.join(live, "task_id", "left").join(known, "batch_id", "left")
+        .join(followed.withColumn("_followed", F.lit(True)), "batch_id", "left")
+        .select("request_id", error.alias("error")))
+
+
 def resolve_deliveries(requests: DataFrame, state: DataFrame, outputs: DataFrame) -> DataFrame:
     """Add ``http_status, media_type, file_name, error`` to ``request_id, task_id``.
 

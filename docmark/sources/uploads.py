@@ -33,6 +33,10 @@ def read_uploads(spark: SparkSession, path: str,
     The length predicate reaches the source, and the rejects do not select the content.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return _by_size(files, max_bytes)
+
+
+def _by_size(files: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
     named = files.withColumn("filename", _filename(F.col("path")))
     uploads = named.filter(F.col("length") <= max_bytes).select(
         "path", "filename", "content", "length")
@@ -55,13 +59,13 @@ def uploads_from_table(df: DataFrame, id_col: str, content_col: Column | str,
 
 
 def stream_uploads(spark: SparkSession, path: str,
-                   max_files_per_trigger: int = 1_000) -> DataFrame:
-    """Files as they arrive, each an independent unit."""
+                   max_bytes: int = DEFAULT.max_upload_bytes,
+                   max_files_per_trigger: int = 1_000) -> tuple[DataFrame, DataFrame]:
+    """``(uploads, rejects)`` of files as they arrive, each an independent unit."""
     files = (
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .load(path))
-    return files.select(
-        "path", _filename(F.col("path")).alias("filename"), "content", "length")
+    return _by_size(files, max_bytes)
