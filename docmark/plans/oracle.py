@@ -652,7 +652,7 @@ add("stream_heartbeats", *_STREAMED, select=f"""
 , last_write AS (SELECT task_id, max(ts) AS wrote FROM accepted GROUP BY task_id),
 nxt AS (
   SELECT s.*, coalesce(lead(ts) OVER (PARTITION BY task_id ORDER BY ts, event_id, emit_no),
-    least((SELECT max(date_trunc('millisecond', ts)) FROM events), wrote + INTERVAL {b.TTL_S} SECOND)) AS until
+    least((SELECT max(date_trunc('millisecond', ts)) - INTERVAL 1 SECOND FROM events), wrote + INTERVAL {b.TTL_S} SECOND)) AS until
   FROM sent s JOIN last_write USING (task_id)),
 beats AS (
   SELECT task_id, epoch_us(ts) AS t, epoch_us(until) AS u,

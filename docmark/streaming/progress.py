@@ -28,6 +28,10 @@ SENT = (
     "emit_no int")
 ROLLED = "event_id long, us long, status string, stage string, error_reason string"
 
+# A row at the watermark counts as late, so without a delay rows that share their time with
+# the last row of the batch before would be dropped.
+DELAY_S = 1
+
 _RANK = {stage: i for i, stage in enumerate(dims.STAGES)}
 _FAR_US = 10**18
 
@@ -134,12 +138,13 @@ def _stateful(stream: DataFrame, key: str, run, fields: str, state: str, clock:
 
 def stream_progress(stream: DataFrame, ttl_s: int = DEFAULT.state_ttl_s,
                     interval_s: int | None = DEFAULT.heartbeat_s, check_range: bool = True,
-                    clock: str = "event", delay_s: int = 0) -> DataFrame:
+                    clock: str = "event", delay_s: int = DELAY_S) -> DataFrame:
     """What a progress stream sends: ``kind`` state or heartbeat, with its time ``us``.
 
     A task is known from its init on and until its TTL runs out after the last write;
     other updates are dropped. ``clock`` event makes timeouts follow the watermark, so
-    that a replay gives the same rows; processing follows the wall clock.
+    that a replay gives the same rows; processing follows the wall clock. Rows may come
+    out of order by less than ``delay_s``; heartbeats are late by as much.
     """
     if interval_s is not None and check_range:
         check_heartbeat(interval_s)
@@ -149,7 +154,7 @@ def stream_progress(stream: DataFrame, ttl_s: int = DEFAULT.state_ttl_s,
 
 
 def stream_transitions(stream: DataFrame, ttl_s: int = DEFAULT.state_ttl_s,
-                       clock: str = "event", delay_s: int = 0) -> DataFrame:
+                       clock: str = "event", delay_s: int = DELAY_S) -> DataFrame:
     """Stage transitions on a stream; see the batch operator of the same rule."""
     out = stream_progress(stream, ttl_s, None, clock=clock, delay_s=delay_s)
     return out.select(
@@ -159,7 +164,7 @@ def stream_transitions(stream: DataFrame, ttl_s: int = DEFAULT.state_ttl_s,
 
 def stream_heartbeats(stream: DataFrame, interval_s: int = DEFAULT.heartbeat_s,
                       ttl_s: int = DEFAULT.state_ttl_s, check_range: bool = True,
-                      clock: str = "event", delay_s: int = 0) -> DataFrame:
+                      clock: str = "event", delay_s: int = DELAY_S) -> DataFrame:
     """Heartbeats on a stream, up to the clock and the task's expiry."""
     out = stream_progress(stream, ttl_s, interval_s, check_range, clock, delay_s)
     return out.filter(F.col("kind") == "heartbeat").select(
@@ -209,7 +214,7 @@ def _batch_progress(ttl_us: int, clock: str):
 
 
 def stream_rollup(stream: DataFrame, members: DataFrame, ttl_s: int = DEFAULT.state_ttl_s,
-                  clock: str = "event", delay_s: int = 0) -> DataFrame:
+                  clock: str = "event", delay_s: int = DELAY_S) -> DataFrame:
     """Changes of each batch's roll-up, from a stream of its members' events.
 
     ``members`` (``batch_id, pos, task_id``) is a static table; a batch has at most the

@@ -21,7 +21,7 @@ TABLES = (
 def session(cores: str = "8") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]").appName("docmark-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", os.environ.get("TEST_PARTITIONS", "4"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
