@@ -123,6 +123,11 @@ def retention(finished: DataFrame, now: Column, keep_s: int = DEFAULT.retention_
     return finished.filter(live), finished.filter(~live)
 
 
+def without_purged(rows: DataFrame, purged: DataFrame, key: str = "task_id") -> DataFrame:
+    """Rows of states or outputs that are left after a purge; a missing item is no error."""
+    return rows.join(purged.select(key), key, "left_anti")
+
+
 # --- progress of a task ------------------------------------------------------
 
 

@@ -1,14 +1,14 @@
 """Progress of tasks and batches on a stream of status events.
 
 State is kept per task (or per batch, whose members are bounded by the batch limit) and
-ends with its TTL, so it does not grow with the stream's age. There is one timeout per
-key: the earlier of the next heartbeat and the expiry.
+ends with its TTL, so it does not grow with the stream's age. Keys share state groups by
+hash; a group has one timeout, the earliest of its keys' next heartbeats and expiries.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,36 +19,31 @@ from docmark import dims
 from docmark.limits import DEFAULT
 from docmark.operators.status import check_heartbeat
 
-STATE = "last_stage string, status string, sent_us long, write_us long, ended boolean"
-ROLLUP_STATE = "members string, last string, write_us long, ended boolean"
-# Rows cross to Python and back as JSON: one column costs much less per key than one for
-# each field.
+# Rows and state cross to Python and back as JSON: one column costs much less per group
+# than one for each field.
 SENT = (
-    "kind string, event_id long, us long, stage string, status string, error_reason string, "
-    "emit_no int")
-ROLLED = "event_id long, us long, status string, stage string, error_reason string"
-
+    "task_id string, kind string, event_id long, us long, stage string, status string, "
+    "error_reason string, emit_no int")
+ROLLED = (
+    "batch_id string, event_id long, us long, status string, stage string, error_reason string")
 # A row at the watermark counts as late, so without a delay rows that share their time with
 # the last row of the batch before would be dropped.
 DELAY_S = 1
+# Keys are hashed into this many state groups. A call into Python costs far more than a
+# step of one key, so a group should hold tens to hundreds of live keys.
+SLOTS = 1024
 
 _RANK = {stage: i for i, stage in enumerate(dims.STAGES)}
 _FAR_US = 10**18
 
 
 def _ordered(frames: Iterator[pd.DataFrame]) -> list[dict]:
-    """A key's new rows in order."""
+    """A group's new rows in order."""
     rows = [json.loads(text) for frame in frames for text in frame["row"]]
     rows.sort(key=lambda row: (row["us"], row["event_id"]))
     return rows
 
 
-def _frame(key: str, rows: list[dict]) -> Iterator[pd.DataFrame]:
-    if rows:
-        yield pd.DataFrame(
-            {"key": [key] * len(rows), "row": [json.dumps(row) for row in rows]})
-
-
 def _now_us(state: GroupState, clock: str) -> int:
     ms = state.getCurrentWatermarkMs() if clock == "event" else state.getCurrentProcessingTimeMs()
     return ms * 1000
@@ -63,58 +58,116 @@ def _wake_at(state: GroupState, clock: str, deadline_us: int) -> None:
         state.setTimeoutDuration(max(wait_ms, 1))
 
 
-def _progress(ttl_us: int, beat_us: int | None, clock: str):
-    """Function that advances one task by its new rows, or by the clock alone."""
+Live = dict[str, dict]
+Step = Callable[[Live, dict, list[dict]], None]
+Settle = Callable[[Live, int, list[dict]], int]
 
+
+def _keyed(step: Step, settle: Settle, clock: str):
+    """Function of a state group: step by each new row, then settle with the clock.
+
+    ``settle`` drops what has expired and returns the group's next deadline.
+    """
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out: list[dict] = []
-        live = state.get if state.exists else None
+        live = json.loads(state.get[0]) if state.exists else {}
+        for row in _ordered(frames):
+            step(live, row, out)
+        deadline = settle(live, _now_us(state, clock), out)
+        if live:
+            state.update((json.dumps(live),))
+            _wake_at(state, clock, deadline)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame({"row": [json.dumps(row) for row in out]})
 
-        def beats(until: int) -> None:
-            nonlocal live
-            stage, status, sent, wrote, ended = live
-            if beat_us is None or ended:
-                return
-            stop = min(until, wrote + ttl_us)
-            while sent + beat_us < stop:
-                sent += beat_us
-                out.append({"kind": "heartbeat", "us": sent})
-            live = (stage, status, sent, wrote, ended)
+    return run
 
-        for row in _ordered(frames):
-            us, stage, status = row["us"], row["stage"], row["status"]
-            if live is not None and us > live[3] + ttl_us:
-                beats(_FAR_US)
-                live = None
-            if live is None:
-                if row["op"] != "init":
-                    continue
-                live = (None, None, us, us, False)
-            beats(us)
-            last, _, sent, _, ended = live
-            if not ended:
-                changed, ended = stage != last, status in dims.TERMINAL
-                for n in range(1, changed + ended + 1):
-                    out.append({**row, "kind": "state", "emit_no": n})
-                if changed:
-                    last, sent = stage, us
-            live = (last, status, sent, us, ended)
-        now = _now_us(state, clock)
-        if live is not None:
-            beats(now)
-            expiry = live[3] + ttl_us
+
+def _progress(ttl_us: int, beat_us: int | None) -> tuple[Step, Settle]:
+    """Tasks: last stage sent, time of the last send and the last write, whether ended."""
+    def beats(task_id: str, task: dict, until: int, out: list[dict]) -> None:
+        if beat_us is None or task["ended"]:
+            return
+        stop = min(until, task["wrote"] + ttl_us)
+        while task["sent"] + beat_us < stop:
+            task["sent"] += beat_us
+            out.append({"task_id": task_id, "kind": "heartbeat", "us": task["sent"]})
+
+    def step(live: Live, row: dict, out: list[dict]) -> None:
+        task_id, us = row["task_id"], row["us"]
+        task = live.get(task_id)
+        if task is not None and us > task["wrote"] + ttl_us:
+            beats(task_id, task, _FAR_US, out)
+            del live[task_id]
+            task = None
+        if task is None:
+            if row["op"] != "init":
+                return
+            task = live[task_id] = {"stage": None, "sent": us, "wrote": us, "ended": False}
+        beats(task_id, task, us, out)
+        task["wrote"] = us
+        if task["ended"]:
+            return
+        changed = row["stage"] != task["stage"]
+        task["ended"] = row["status"] in dims.TERMINAL
+        for n in range(1, changed + task["ended"] + 1):
+            out.append({**row, "kind": "state", "emit_no": n})
+        if changed:
+            task["stage"], task["sent"] = row["stage"], us
+
+    def settle(live: Live, now: int, out: list[dict]) -> int:
+        deadline = _FAR_US
+        for task_id, task in list(live.items()):
+            beats(task_id, task, now, out)
+            expiry = task["wrote"] + ttl_us
             if now > expiry:
-                live = None
-        if live is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(live)
-            next_beat = _FAR_US if beat_us is None or live[4] else live[2] + beat_us
-            _wake_at(state, clock, min(next_beat, expiry))
-        yield from _frame(key[0], out)
+                del live[task_id]
+                continue
+            idle = beat_us is not None and not task["ended"]
+            deadline = min(deadline, expiry, task["sent"] + beat_us if idle else _FAR_US)
+        return deadline
+
+    return step, settle
+
+
+def _rollup(members: dict[str, list]) -> list:
+    """``[status, stage, reason]`` of the known members of one batch."""
+    known = sorted(members.values(), key=lambda m: m[0])
+    statuses = [m[2] for m in known]
+    if all(s == "SUCCESS" for s in statuses):
+        status = "SUCCESS"
+    else:
+        status = "FAILURE" if "FAILURE" in statuses else "ACTIVE"
+    stage = min(known, key=lambda m: _RANK.get(m[1], 0))[1]
+    return [status, stage, next((m[3] for m in known if m[3]), None)]
 
-    return run
+
+def _batch_progress(ttl_us: int) -> tuple[Step, Settle]:
+    """Batches: state of each member, last roll-up sent, last write, whether ended."""
+    def step(live: Live, row: dict, out: list[dict]) -> None:
+        batch = live.setdefault(
+            row["batch_id"], {"members": {}, "last": None, "wrote": row["us"], "ended": False})
+        batch["wrote"] = max(batch["wrote"], row["us"])
+        members, task_id = batch["members"], row["task_id"]
+        if batch["ended"] or (row["op"] != "init" and task_id not in members):
+            return
+        reason = members[task_id][3] if row["op"] == "advance" else row["error_reason"]
+        members[task_id] = [row["pos"], row["stage"], row["status"], reason]
+        now = _rollup(members)
+        if now != batch["last"]:
+            batch["last"] = now
+            out.append({**row, **dict(zip(("status", "stage", "error_reason"), now))})
+        if now[0] in dims.TERMINAL:
+            batch.update(ended=True, members={})
+
+    def settle(live: Live, now: int, out: list[dict]) -> int:
+        for batch_id in [b for b, batch in live.items() if now > batch["wrote"] + ttl_us]:
+            del live[batch_id]
+        return min((batch["wrote"] + ttl_us for batch in live.values()), default=_FAR_US)
+
+    return step, settle
 
 
 def _timed(stream: DataFrame, clock: str, delay_s: int) -> DataFrame:
@@ -123,40 +176,44 @@ def _timed(stream: DataFrame, clock: str, delay_s: int) -> DataFrame:
     return df.withWatermark("ts", f"{delay_s} seconds") if clock == "event" else df
 
 
-def _stateful(stream: DataFrame, key: str, run, fields: str, state: str, clock: str,
-              more: tuple[str, ...] = ()) -> DataFrame:
+def _stateful(stream: DataFrame, key: str, rule: tuple[Step, Settle], fields: str, clock: str,
+              slots: int) -> DataFrame:
     timeout = (
         GroupStateTimeout.EventTimeTimeout if clock == "event"
         else GroupStateTimeout.ProcessingTimeTimeout)
-    columns = ["us", "event_id", "op", "stage", "status", "error_reason", *more]
+    more = [c for c in ("batch_id", "pos") if key == "batch_id"]
+    columns = ["us", "event_id", "task_id", "op", "stage", "status", "error_reason", *more]
     packed = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    out = stream.select("ts", key, packed.alias("row")).groupBy(key).applyInPandasWithState(
-        run, "key string, row string", state, "append", timeout)
-    return out.select(F.col("key").alias(key), F.from_json("row", fields).alias("r")).select(
-        key, "r.*")
+    slot = F.pmod(F.xxhash64(key), F.lit(slots))
+    out = stream.select("ts", slot.alias("slot"), packed.alias("row")).groupBy(
+        "slot").applyInPandasWithState(
+        _keyed(*rule, clock), "row string", "live string", "append", timeout)
+    return out.select(F.from_json("row", fields).alias("r")).select("r.*")
 
 
 def stream_progress(stream: DataFrame, ttl_s: int = DEFAULT.state_ttl_s,
                     interval_s: int | None = DEFAULT.heartbeat_s, check_range: bool = True,
-                    clock: str = "event", delay_s: int = DELAY_S) -> DataFrame:
+                    clock: str = "event", delay_s: int = DELAY_S, slots: int = SLOTS) -> DataFrame:
     """What a progress stream sends: ``kind`` state or heartbeat, with its time ``us``.
 
     A task is known from its init on and until its TTL runs out after the last write;
     other updates are dropped. ``clock`` event makes timeouts follow the watermark, so
     that a replay gives the same rows; processing follows the wall clock. Rows may come
-    out of order by less than ``delay_s``; heartbeats are late by as much.
+    out of order by less than ``delay_s``; heartbeats are late by as much. ``slots``
+    must stay the same while a checkpoint is in use.
     """
     if interval_s is not None and check_range:
         check_heartbeat(interval_s)
     beat_us = None if interval_s is None else interval_s * 1_000_000
-    run = _progress(ttl_s * 1_000_000, beat_us, clock)
-    return _stateful(_timed(stream, clock, delay_s), "task_id", run, SENT, STATE, clock)
+    rule = _progress(ttl_s * 1_000_000, beat_us)
+    return _stateful(_timed(stream, clock, delay_s), "task_id", rule, SENT, clock, slots)
 
 
 def stream_transitions(stream: DataFrame, ttl_s: int = DEFAULT.state_ttl_s,
-                       clock: str = "event", delay_s: int = DELAY_S) -> DataFrame:
+                       clock: str = "event", delay_s: int = DELAY_S,
+                       slots: int = SLOTS) -> DataFrame:
     """Stage transitions on a stream; see the batch operator of the same rule."""
-    out = stream_progress(stream, ttl_s, None, clock=clock, delay_s=delay_s)
+    out = stream_progress(stream, ttl_s, None, True, clock, delay_s, slots)
     return out.select(
         "task_id", "event_id", F.timestamp_micros("us").alias("ts"), "stage", "status",
         "error_reason", "emit_no")
@@ -164,57 +221,16 @@ def stream_transitions(stream: DataFrame, ttl_s: int = DEFAULT.state_ttl_s,
 
 def stream_heartbeats(stream: DataFrame, interval_s: int = DEFAULT.heartbeat_s,
                       ttl_s: int = DEFAULT.state_ttl_s, check_range: bool = True,
-                      clock: str = "event", delay_s: int = DELAY_S) -> DataFrame:
+                      clock: str = "event", delay_s: int = DELAY_S,
+                      slots: int = SLOTS) -> DataFrame:
     """Heartbeats on a stream, up to the clock and the task's expiry."""
-    out = stream_progress(stream, ttl_s, interval_s, check_range, clock, delay_s)
+    out = stream_progress(stream, ttl_s, interval_s, check_range, clock, delay_s, slots)
     return out.filter(F.col("kind") == "heartbeat").select(
         "task_id", F.timestamp_micros("us").alias("beat_at"))
 
 
-def _rollup(members: dict[str, list]) -> list:
-    """``[status, stage, reason]`` of the known members of one batch."""
-    known = sorted(members.values())
-    statuses = [m[2] for m in known]
-    if all(s == "SUCCESS" for s in statuses):
-        status = "SUCCESS"
-    else:
-        status = "FAILURE" if "FAILURE" in statuses else "ACTIVE"
-    stage = min(known, key=lambda m: (_RANK.get(m[1], 0), m[0]))[1]
-    return [status, stage, next((m[3] for m in known if m[3]), None)]
-
-
-def _batch_progress(ttl_us: int, clock: str):
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, last, wrote, ended = state.get if state.exists else ("{}", None, 0, False)
-        members = json.loads(held)
-        out: list[dict] = []
-        for row in _ordered(frames):
-            task_id, wrote = row["task_id"], max(wrote, row["us"])
-            if ended or (row["op"] != "init" and task_id not in members):
-                continue
-            kept = row["error_reason"] or ""
-            if row["op"] == "advance":
-                kept = members[task_id][3]
-            members[task_id] = [row["pos"], row["stage"], row["status"], kept]
-            status, stage, reason = now = _rollup(members)
-            text = json.dumps(now)
-            if text != last:
-                out.append({**row, "status": status, "stage": stage, "error_reason": reason})
-                last = text
-            ended = status in dims.TERMINAL
-        if _now_us(state, clock) > wrote + ttl_us:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((json.dumps({} if ended else members), last, wrote, ended))
-            _wake_at(state, clock, wrote + ttl_us)
-        yield from _frame(key[0], out)
-
-    return run
-
-
 def stream_rollup(stream: DataFrame, members: DataFrame, ttl_s: int = DEFAULT.state_ttl_s,
-                  clock: str = "event", delay_s: int = DELAY_S) -> DataFrame:
+                  clock: str = "event", delay_s: int = DELAY_S, slots: int = SLOTS) -> DataFrame:
     """Changes of each batch's roll-up, from a stream of its members' events.
 
     ``members`` (``batch_id, pos, task_id``) is a static table; a batch has at most the
@@ -223,7 +239,6 @@ def stream_rollup(stream: DataFrame, members: DataFrame, ttl_s: int = DEFAULT.st
     own = [c for c in stream.columns if c not in ("batch_id", "pos")]
     rows = _timed(stream.select(*own), clock, delay_s).join(
         members.select("batch_id", "pos", "task_id"), "task_id")
-    run = _batch_progress(ttl_s * 1_000_000, clock)
-    out = _stateful(
-        rows, "batch_id", run, ROLLED, ROLLUP_STATE, clock, ("task_id", "pos"))
+    rule = _batch_progress(ttl_s * 1_000_000)
+    out = _stateful(rows, "batch_id", rule, ROLLED, clock, slots)
     return out.withColumn("ts", F.timestamp_micros("us")).drop("us")

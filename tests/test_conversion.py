@@ -13,8 +13,8 @@ def one(spark, value, fn, kind="string"):
 
 
 def test_samples(spark):
-    assert one(spark, "Hello MarkItDown text parsing", text.text_to_markdown) == (
-        "Hello MarkItDown text parsing")
+    assert one(spark, "Hello plain text parsing", text.text_to_markdown) == (
+        "Hello plain text parsing")
     page = one(spark, "<html><body><h1>Title</h1><p>Paragraph</p></body></html>", html.html_to_markdown)
     assert page == "# Title\n\nParagraph"
     csv = one(spark, "Header1,Header2\nValue1,Value2", tables.csv_to_markdown)

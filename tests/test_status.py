@@ -195,6 +195,8 @@ def test_retention(spark):
     kept, purged = status.retention(df, F.lit(at(601)), 600)
     assert [r.task_id for r in kept.collect()] == ["c"]
     assert sorted(r.task_id for r in purged.collect()) == ["a", "b"]
+    states = spark.createDataFrame([("a",), ("c",)], "task_id string")
+    assert [r.task_id for r in status.without_purged(states, purged).collect()] == ["c"]
 
 
 def test_timeline_marks(spark):
