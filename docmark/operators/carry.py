@@ -7,9 +7,11 @@ bucket needs from its neighbours comes from one summary row per bucket. The summ
 the only thing a key's whole history is ordered over, and its size is bounded by the time
 span over the bucket width. Both plans give the same rows.
 
-Which plan is taken follows from the largest key, counted beforehand on the key columns
-alone (``split=None``), or from what the caller knows (``split=True`` or ``False``). The
-bucket is a function of the row's own time, so a recomputed task gives the same rows.
+Which plan is taken follows from the largest key, counted beforehand on the key and time
+columns alone (``split=None``), or from what the caller knows (``split=True`` or
+``False``). The count also gives the buckets' width: narrow enough that the largest key's
+buckets are well below the size of a large key. The bucket is a function of the row's own
+time, so a recomputed task gives the same rows.
 """
 
 from __future__ import annotations
@@ -23,11 +25,16 @@ from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
 LARGE_KEY_ROWS = 1_000_000
+DEFAULT_WIDTH = 3_600.0
 
 
-def time_bucket(ts: str, width_s: int) -> Column:
-    """Number of the time slice a timestamp falls in."""
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(width_s * 1_000_000))
+# buckets aim at this part of a large key, as rows are not spread evenly over time
+BUCKET_SHARE = 0.1
+
+
+def seconds(ts: str) -> Column:
+    """A timestamp as a number, for the time axis."""
+    return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1_000_000)
 
 
 def has_large_key(df: DataFrame, keys: Sequence[str], rows: int = LARGE_KEY_ROWS) -> bool:
@@ -36,6 +43,21 @@ def has_large_key(df: DataFrame, keys: Sequence[str], rows: int = LARGE_KEY_ROWS
     return not counts.filter(F.col("_n") > rows).isEmpty()
 
 
+def bucket_width(df: DataFrame, keys: Sequence[str], axis: Column, rows: int) -> float | None:
+    """Width of buckets that cuts every key with more than ``rows`` rows; None without any.
+
+    One row per key is counted before the shuffle and one row comes back.
+    """
+    sizes = df.select(*keys, axis.alias("_x")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), (F.max("_x") - F.min("_x")).alias("_span"))
+    large = sizes.filter(F.col("_n") > rows).agg(
+        F.min(F.col("_span") / F.col("_n")).alias("spacing")).first()
+    if large.spacing is None:
+        return None
+    # a key without any extent cannot be cut; any width will do
+    return large.spacing * rows * BUCKET_SHARE or 1.0
+
+
 @dataclass(frozen=True)
 class Measure:
     """One window value, in the parts that a cut timeline needs."""
@@ -51,7 +73,7 @@ class Timeline:
     """Windows over ``keys`` in ``order``.
 
     >>> line = Timeline(["task_id"], ["ts", "event_id"])
-    >>> df = line.spread(events, time_bucket("ts", 86400))
+    >>> df = line.spread(events, seconds("ts"))
     >>> df = line.window(df, prev=line.lag("stage"), seen=line.running_sum(F.lit(1)))
 
     :meth:`spread` comes first: it decides the plan. Keys must not be NULL.
@@ -64,12 +86,18 @@ class Timeline:
         self.split = split
         self.large_rows = large_rows
 
-    def spread(self, df: DataFrame, bucket: Column) -> DataFrame:
-        """Add the bucket and, for large keys, partition by it once for all windows."""
+    def spread(self, df: DataFrame, axis: Column, width: float | None = None) -> DataFrame:
+        """Add the bucket and, for large keys, partition by it once for all windows.
+
+        ``axis`` is a number that grows with the first column of the order.
+        """
         if self.split is None:
-            self.split = has_large_key(df, self.keys, self.large_rows)
+            counted = bucket_width(df, self.keys, axis, self.large_rows)
+            self.split = counted is not None
+            width = width or counted
         if not self.split:
             return df
+        bucket = F.floor(axis / F.lit(float(width or DEFAULT_WIDTH)))
         return df.withColumn(BUCKET, bucket).repartition(*self.keys, BUCKET)
 
     @property

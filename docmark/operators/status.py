@@ -15,10 +15,9 @@ from pyspark.sql import types as T
 
 from docmark import dims
 from docmark.limits import DEFAULT
-from docmark.operators.carry import BUCKET, Timeline, time_bucket
+from docmark.operators.carry import BUCKET, Timeline, seconds
 
 ORDER = ("ts", "event_id")
-DAY_S = 86_400
 _BEATS_PER_SLICE = 10_000
 
 
@@ -70,7 +69,7 @@ def finished_tasks(events: DataFrame) -> DataFrame:
 
 
 def accepted_events(events: DataFrame, ttl_s: int | None = None,
-                    width_s: int = DAY_S, split: bool | None = None) -> DataFrame:
+                    width_s: float | None = None, split: bool | None = None) -> DataFrame:
     """Events that find their task known and not expired; inits are always accepted.
 
     A gap over the TTL, or an init, starts an island. Only islands that start with an
@@ -78,7 +77,7 @@ def accepted_events(events: DataFrame, ttl_s: int | None = None,
     that renews the TTL.
     """
     line = Timeline(["task_id"], ORDER, split)
-    df = line.spread(events, time_bucket("ts", width_s))
+    df = line.spread(events, seconds("ts"), width_s)
     df = line.window(df, _prev=line.lag("ts"))
     init = F.col("op") == "init"
     lapsed = F.lit(False) if ttl_s is None else (F.col("ts") > _after(F.col("_prev"), ttl_s))
@@ -88,21 +87,21 @@ def accepted_events(events: DataFrame, ttl_s: int | None = None,
 
 
 def apply_known_tasks(updates: DataFrame, inits: DataFrame, ttl_s: int | None = None,
-                      width_s: int = DAY_S, split: bool | None = None) -> DataFrame:
+                      width_s: float | None = None, split: bool | None = None) -> DataFrame:
     """Updates of tasks with an init before them and no expiry between."""
     both = updates.unionByName(inits)
     return accepted_events(both, ttl_s, width_s, split).filter(F.col("op") != "init")
 
 
 def state_ttl(events: DataFrame, ttl_s: int = DEFAULT.state_ttl_s,
-              width_s: int = DAY_S, split: bool | None = None) -> DataFrame:
+              width_s: float | None = None, split: bool | None = None) -> DataFrame:
     """Add ``expires_at``, ``valid_until`` and ``lapsed`` to every write.
 
     A state can be read from its write until the next write or its expiry, whichever
     is first; ``lapsed`` tells that no write renewed it in time.
     """
     line = Timeline(["task_id"], ORDER, split)
-    df = line.spread(events, time_bucket("ts", width_s))
+    df = line.spread(events, seconds("ts"), width_s)
     df = line.window(df, _next=line.lead("ts"))
     expires = _after(F.col("ts"), ttl_s)
     nxt = F.col("_next").cast("timestamp")
@@ -131,7 +130,8 @@ def without_purged(rows: DataFrame, purged: DataFrame, key: str = "task_id") ->
 # --- progress of a task ------------------------------------------------------
 
 
-def stage_transitions(events: DataFrame, width_s: int = DAY_S, split: bool | None = None) -> DataFrame:
+def stage_transitions(events: DataFrame, width_s: float | None = None,
+                      split: bool | None = None) -> DataFrame:
     """Rows a progress stream sends: each change of stage, and the terminal state once more.
 
     A change of stage into a terminal status gives two rows (``emit_no`` 1 and 2);
@@ -139,7 +139,7 @@ def stage_transitions(events: DataFrame, width_s: int = DAY_S, split: bool | Non
     """
     line = Timeline(["task_id"], ORDER, split)
     terminal = is_terminal(F.col("status")).cast("int")
-    df = line.spread(events, time_bucket("ts", width_s))
+    df = line.spread(events, seconds("ts"), width_s)
     df = line.window(
         df,
         _prev=line.lag("stage"),
@@ -160,7 +160,7 @@ def check_heartbeat(interval_s: int) -> None:
 
 def heartbeats(emitted: DataFrame, interval_s: int = DEFAULT.heartbeat_s,
                check_range: bool = True, until: Column | None = None,
-               width_s: int = DAY_S, split: bool | None = None) -> DataFrame:
+               width_s: float | None = None, split: bool | None = None) -> DataFrame:
     """One beat per full idle interval after each sent row, until the next one is sent.
 
     No beat follows a terminal row. After a task's last row beats go on to ``until``
@@ -170,7 +170,7 @@ def heartbeats(emitted: DataFrame, interval_s: int = DEFAULT.heartbeat_s,
     if check_range:
         check_heartbeat(interval_s)
     line = Timeline(["task_id"], [*ORDER, "emit_no"], split)
-    df = line.spread(emitted, time_bucket("ts", width_s))
+    df = line.spread(emitted, seconds("ts"), width_s)
     df = line.window(df, _next=line.lead("ts"))
     end = F.col("_next") if until is None else F.coalesce(F.col("_next"), until)
     start_us = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -269,7 +269,8 @@ def batch_barrier(states: DataFrame, timeout_s: int = DEFAULT.barrier_timeout_s)
         "members", "included")
 
 
-def rollup_history(events: DataFrame, members: DataFrame, width_s: int = DAY_S, split: bool | None = None) -> DataFrame:
+def rollup_history(events: DataFrame, members: DataFrame, width_s: float | None = None,
+                   split: bool | None = None) -> DataFrame:
     """The batch roll-up after each event of a member (``batch_id, pos, task_id``).
 
     Events are turned into changes of counters (members known, ended well, failed, and
@@ -277,7 +278,7 @@ def rollup_history(events: DataFrame, members: DataFrame, width_s: int = DAY_S,
     collected. Tasks are initialised once, so the first reason in member order stays.
     """
     of_task = Timeline(["task_id"], ORDER, split)
-    ev = of_task.spread(events, time_bucket("ts", width_s))
+    ev = of_task.spread(events, seconds("ts"), width_s)
     ev = of_task.window(ev, _prev=of_task.lag(F.struct("stage", "status"))).drop(BUCKET)
     ev = ev.join(members.select("batch_id", "pos", "task_id"), "task_id")
 
@@ -287,7 +288,7 @@ def rollup_history(events: DataFrame, members: DataFrame, width_s: int = DAY_S,
 
     rank, was_rank = dims.stage_rank(F.col("stage")), dims.stage_rank(F.col("_prev.stage"))
     line = Timeline(["batch_id"], ORDER, split)
-    ev = line.spread(ev, time_bucket("ts", width_s))
+    ev = line.spread(ev, seconds("ts"), width_s)
     reason = F.when(
         (F.col("op") == "fail") & (F.col("error_reason") != ""),
         F.struct("pos", "error_reason"))
@@ -310,10 +311,11 @@ def rollup_history(events: DataFrame, members: DataFrame, width_s: int = DAY_S,
         F.col("_reason.error_reason").alias("error_reason"))
 
 
-def batch_transitions(rollups: DataFrame, width_s: int = DAY_S, split: bool | None = None) -> DataFrame:
+def batch_transitions(rollups: DataFrame, width_s: float | None = None,
+                      split: bool | None = None) -> DataFrame:
     """Roll-ups that differ from the one before, up to and with the first terminal one."""
     line = Timeline(["batch_id"], ORDER, split)
-    df = line.spread(rollups, time_bucket("ts", width_s))
+    df = line.spread(rollups, seconds("ts"), width_s)
     state = F.struct("status", "stage", "error_reason")
     df = line.window(
         df,

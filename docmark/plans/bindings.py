@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmark.limits import DEFAULT
-from docmark.operators.carry import Timeline, has_large_key, time_bucket
+from docmark.operators.carry import Timeline, has_large_key, seconds
 from docmark.sources.uploads import uploads_from_table
 
 LIMITS = replace(DEFAULT, max_upload_bytes=16_384)
@@ -100,7 +100,7 @@ def status_events(spark: SparkSession, sf_dir: str, split: bool | None = None) -
     """A user's events as the life of tasks: each signup starts the user's next one."""
     ev = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     line = Timeline(["user_id"], ["ts", "event_id"], split)
-    ev = line.spread(ev, time_bucket("ts", 86_400))
+    ev = line.spread(ev, seconds("ts"))
     ev = line.window(
         ev, run=line.running_sum((F.col("event_type") == "signup").cast("long")))
     kind = F.col("event_type")

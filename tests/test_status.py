@@ -308,13 +308,18 @@ def test_stats_of_nothing(spark, events):
     assert stats.count_visitors(events.withColumnRenamed("task_id", "user_id")).first().visitors == 14
 
 
-def test_size_check_picks_the_plan(spark, events):
-    line = carry.Timeline(["task_id"], ["ts", "event_id"], large_rows=100)
-    line.spread(events, carry.time_bucket("ts", 60))
-    assert line.split is True
+def test_size_check_picks_the_plan(spark, events, rows):
     line = carry.Timeline(["task_id"], ["ts", "event_id"], large_rows=10_000)
-    assert carry.BUCKET not in line.spread(events, carry.time_bucket("ts", 60)).columns
+    assert carry.BUCKET not in line.spread(events, carry.seconds("ts")).columns
     assert line.split is False
+    line = carry.Timeline(["task_id"], ["ts", "event_id"], large_rows=100)
+    df = line.spread(events, carry.seconds("ts"))
+    assert line.split is True
+    sizes = df.groupBy("task_id", carry.BUCKET).count().agg(F.max("count").alias("n")).first()
+    assert sizes.n < 50 < sum(r[0] == "hot" for r in rows)
+    numbered = line.window(df, n=line.running_sum(F.lit(1)))
+    want = {r[1]: i + 1 for log in by_task(rows).values() for i, r in enumerate(log)}
+    assert {r.event_id: r.n for r in numbered.collect()} == want
 
 
 @pytest.mark.parametrize("split", SPLITS)

@@ -57,7 +57,7 @@ def cut(log, n):
 def test_transitions(spark, tmp_path, parts):
     log, ttl = make_log(), 100
     got = play(spark, tmp_path, cut(log, parts), SCHEMA,
-               lambda s: progress.stream_transitions(s, ttl), "tr")
+               lambda s: progress.stream_transitions(s, ttl, slots=5), "tr")
     known = status.accepted_events(spark.createDataFrame(log, SCHEMA), ttl)
     want = status.stage_transitions(known)
     cols = ["task_id", "event_id", "ts", "stage", "status", "error_reason", "emit_no"]
@@ -69,7 +69,7 @@ def test_transitions(spark, tmp_path, parts):
 def test_heartbeats(spark, tmp_path, parts):
     log, ttl, beat = make_log(4), 100, 20
     got = play(spark, tmp_path, cut(log, parts), SCHEMA,
-               lambda s: progress.stream_heartbeats(s, beat, ttl), "hb")
+               lambda s: progress.stream_heartbeats(s, beat, ttl, slots=5), "hb")
     known = status.accepted_events(spark.createDataFrame(log, SCHEMA), ttl)
     last = known.groupBy("task_id").agg(F.max("ts").alias("wrote"))
     sent = status.stage_transitions(known).join(last, "task_id")
@@ -135,7 +135,7 @@ def test_rollup(spark, tmp_path, parts):
     members = spark.createDataFrame(
         [(f"b{t // 3}", t % 3, f"t{t}") for t in range(16)], "batch_id string, pos int, task_id string")
     got = play(spark, tmp_path, cut(log, parts), SCHEMA,
-               lambda s: progress.stream_rollup(s, members, ttl_s=10**6), "ro")
+               lambda s: progress.stream_rollup(s, members, ttl_s=10**6, slots=3), "ro")
     known = status.accepted_events(spark.createDataFrame(log, SCHEMA))
     want = status.batch_transitions(status.rollup_history(known, members))
     cols = ["batch_id", "event_id", "status", "stage", "error_reason"]
