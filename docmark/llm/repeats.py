@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmark.llm.common import KEY, cut_words, row_key, run_hashes, slices, space_class, span_hashes
+from docmark.llm.common import KEY, cut_words, row_key, run_hashes, slices, space_class, span_hashes, written
 
 WINDOW = 35
 PHRASE = 8
@@ -38,7 +38,7 @@ SPACES = space_class()
 
 
 def _segments(got, window: int, phrase: int):
-    """For each anchor of each text: text, anchor hash, segment hash, first word, windows."""
+    """For each anchor of each text: text, anchor hash, segment hash, first word, number of windows."""
     h = got.hashes()
     runs = run_hashes(h, phrase)
     reach = window - phrase + 1
@@ -66,6 +66,8 @@ def _segments(got, window: int, phrase: int):
 
 
 def _anchors(docs: DataFrame, text: str, window: int, phrase: int) -> DataFrame:
+    """A row for each segment; place is its first word times 64 plus its number of windows."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             found = _segments(cut_words(batch.column(text), SPACES, False), window, phrase)
@@ -75,16 +77,15 @@ def _anchors(docs: DataFrame, text: str, window: int, phrase: int) -> DataFrame:
             k1, k2 = (batch.column(k).to_numpy()[doc] for k in KEY)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(k1), pa.array(k2), pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64)),
-                 pa.array(first.astype(np.int64)), pa.array(count.astype(np.int32))],
-                [*KEY, "anchor", "segment", "first", "n_windows"])
+                 pa.array(first.astype(np.int64) * 64 + count)], [*KEY, "anchor", "segment", "place"])
 
-    return docs.mapInArrow(cut, "__k1 bigint, __k2 bigint, anchor bigint, segment bigint, first bigint, n_windows int")
+    return docs.mapInArrow(cut, "__k1 bigint, __k2 bigint, anchor bigint, segment bigint, place bigint")
 
 
 def _texts(docs: DataFrame, examples: DataFrame, text: str, window: int) -> DataFrame:
     """The words of each example segment, cut from the documents that hold them."""
     wanted = examples.groupBy(*KEY).agg(F.collect_list(F.struct(
-        "anchor", "segment", "n", "n_windows", "first", "mixed")).alias("wanted"))
+        "anchor", "segment", "n", "place", "mixed")).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -94,12 +95,13 @@ def _texts(docs: DataFrame, examples: DataFrame, text: str, window: int) -> Data
             got = cut_words(batch.column(text), SPACES, False)
             joined, at = got.joined()
             out = [(r["anchor"], r["segment"], r["n"], r["mixed"],
-                    joined[at[b + r["first"]] : at[b + r["first"] + r["n_windows"] + window - 1] - 1].decode("utf-8", "replace"))
+                    joined[at[b + r["place"] // 64] : at[b + r["place"] // 64 + r["place"] % 64 + window - 1] - 1].decode("utf-8", "replace"))
                    for b, found in zip(got.bounds[:-1].tolist(), rows, strict=True) for r in found or ()]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["anchor", "segment", "n", "mixed", "words"])
 
     # a repeated row gives the same example again; located rows are made distinct later
-    return docs.join(wanted, KEY, "left").select(text, "wanted").mapInArrow(
+    # all columns pass through, so that this and the last step share one exchange of the documents
+    return docs.join(wanted, KEY, "left").mapInArrow(
         fetch, "anchor bigint, segment bigint, n bigint, mixed boolean, words string")
 
 
@@ -188,25 +190,28 @@ def find_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, phra
     slim = keyed.select(*KEY, text)
     found = _anchors(slim, text, window, phrase)
     recurring = found.groupBy("anchor").count().where("count > 1").select("anchor")
-    places = found.join(recurring, "anchor")
+    places = written(found.join(recurring, "anchor"), "repeats-places")
     # first() of one row each: any occurrence will do as the example
     groups = places.groupBy("anchor", "segment").agg(
-        F.count("*").alias("n"), *(F.first(c).alias(c) for c in (*KEY, "first", "n_windows")))
+        F.count("*").alias("n"), *(F.first(c).alias(c) for c in (*KEY, "place")))
     sizes = groups.groupBy("anchor").agg(F.count("*").alias("size"))
-    examples = groups.join(sizes, "anchor").select(
-        "anchor", "segment", "n", *KEY, "first", "n_windows", (F.col("size") > max_group).alias("mixed"))
-    texts = _texts(slim, examples, text, window)
-    few = texts.where(~F.col("mixed")).withColumn("mask", F.lit(None).cast("long"))
-    many = texts.where("mixed")
-    located = few.unionByName(many.join(_masks(many, window), ["anchor", "segment"], "left").withColumn(
-        "mask", F.coalesce("mask", F.lit(0))))
+    examples = written(groups.join(sizes, "anchor").select(
+        "anchor", "segment", "n", *KEY, "place", (F.col("size") > max_group).alias("mixed")), "repeats-examples")
+    located = _texts(keyed, examples, text, window)
+    if examples.where("mixed").isEmpty():
+        located = located.withColumn("mask", F.lit(None).cast("long"))
+    else:
+        located = written(located, "repeats-segments")
+        many = located.where("mixed")
+        located = located.where(~F.col("mixed")).withColumn("mask", F.lit(None).cast("long")).unionByName(
+            many.join(_masks(many, window), ["anchor", "segment"], "left").withColumn("mask", F.coalesce("mask", F.lit(0))))
     located = located.select("anchor", "segment", "n", "mask", "words").repartition(
         "anchor", F.when(F.col("mask").isNotNull(), F.col("segment")).otherwise(0))
     located = located.sortWithinPartitions(F.col("mask").isNotNull(), "anchor").mapInArrow(
         _shard(window, shard_segments), "anchor bigint, segment bigint, cover bigint")
     located = located.dropDuplicates(["anchor", "segment"])
-    hits = places.join(located, ["anchor", "segment"]).select(*KEY, "first", "cover").distinct()
-    hits = hits.groupBy(*KEY).agg(F.collect_list(F.struct("first", "cover")).alias("found"))
+    hits = places.join(located, ["anchor", "segment"]).groupBy(*KEY).agg(
+        F.collect_set(F.struct("place", "cover")).alias("found"))
     return _cut(keyed.join(hits, KEY, "left").drop(*KEY), text)
 
 
@@ -233,7 +238,7 @@ def _cut(joined: DataFrame, text: str) -> DataFrame:
             for b, found in zip(got.bounds[:-1].tolist(), batch.column("found").to_pylist(), strict=True):
                 for r in found or ():
                     bits = np.flatnonzero(np.unpackbits(np.frombuffer(np.int64(r["cover"]).tobytes(), np.uint8), bitorder="little"))
-                    gone[b + r["first"] + bits] = True
+                    gone[b + r["place"] // 64 + bits] = True
             removed, kept = [], []
             for b, e in zip(got.bounds[:-1].tolist(), got.bounds[1:].tolist(), strict=True):
                 lost = gone[b:e]
