@@ -11,8 +11,9 @@ comparison, so a node gives fewer links than it has members, whatever its number
 With the defaults, a pair at the threshold misses all trees with a chance below 1e-6 (0.85) or 1e-4
 (0.8) while its nodes stay small; in nodes that branch on, the two-way branches hold the chance of a tree.
 
-Classes whose whole signatures agree cannot be branched apart; beyond the limit they are compared in
-blocks that all hold one pivot, which links what is near it.
+Classes that still share a large node at the greatest depth agree in every token asked for and are
+near each other; they are compared in blocks that all hold the same few pivots, so that what is near
+a pivot is linked across blocks.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ from docmark.llm.common import KEY, cut_words, mix, row_key, run_hashes, slices,
 TOKENS = 96
 TREES = 16
 ROOT_TOKENS = 3
-NODE_LIMIT = 256
-MAX_DEPTH = 48
+NODE_LIMIT = 1024
+MAX_DEPTH = 8
+PIVOTS = 16
 SPACES = space_class()
 
 
@@ -144,7 +146,7 @@ def _leaves(classes: DataFrame, similarity: float, node_limit: int, max_depth: i
         blocks = F.ceil(F.col("count") / (node_limit / 2))
         part = lambda number: F.xxhash64("node", number).alias("node")
         done.append(large.select("class", part(F.pmod(F.xxhash64("class"), blocks))))
-        pivots = large.groupBy("node").agg(F.min("class").alias("class"), F.first("count").alias("count"))
+        pivots = large.where(F.pmod(F.xxhash64("class"), F.ceil(F.col("count") / PIVOTS)) == 0)
         done.append(pivots.select("class", "node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b")).select("class", part(F.col("b"))))
     out = done[0]
     for more in done[1:]:

@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmark.llm import chat_format, decontaminate, near_dedup, packing, repeats, token_output
+import corpus_pipeline
+from docmark.llm import (
+    chat_format,
+    decontaminate,
+    langid,
+    near_dedup,
+    neighbours,
+    packing,
+    quality,
+    repeats,
+    secrets,
+    token_output,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +36,16 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_chats(turns.unionByName(probe)))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return secrets.scan(docs, secrets.fit(docs)).drop("text_hash")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.find_repeats(_documents(spark, sf_dir)))
 
@@ -32,6 +54,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir), words=3, percent=85)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = langid.fit(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return langid.digest(langid.identify(_documents(spark, sf_dir), field))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_documents(spark, sf_dir)))
 
@@ -41,11 +68,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         _documents(spark, sf_dir), _table(spark, sf_dir, "benchmark")).drop("text"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality.digest(quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels"))))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.pack_matrix(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op4_substring_dedup, op5_near_dedup, op7_packing, op8_decontamination, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_chat_format, op2_nearest_neighbours, op3_secret_scan, op4_substring_dedup, op5_near_dedup,
+    op6_language_id, op7_packing, op8_decontamination, op9_quality, op10_token_output)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE: dict[str, str] = {}

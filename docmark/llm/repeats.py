@@ -197,14 +197,11 @@ def find_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, phra
     sizes = groups.groupBy("anchor").agg(F.count("*").alias("size"))
     examples = written(groups.join(sizes, "anchor").select(
         "anchor", "segment", "n", *KEY, "place", (F.col("size") > max_group).alias("mixed")), "repeats-examples")
-    located = _texts(keyed, examples, text, window)
-    if examples.where("mixed").isEmpty():
-        located = located.withColumn("mask", F.lit(None).cast("long"))
-    else:
-        located = written(located, "repeats-segments")
-        many = located.where("mixed")
-        located = located.where(~F.col("mixed")).withColumn("mask", F.lit(None).cast("long")).unionByName(
-            many.join(_masks(many, window), ["anchor", "segment"], "left").withColumn("mask", F.coalesce("mask", F.lit(0))))
+    located = _texts(keyed, examples.where(~F.col("mixed")), text, window).withColumn("mask", F.lit(None).cast("long"))
+    if not examples.where("mixed").isEmpty():
+        many = _texts(keyed, examples.where("mixed"), text, window)
+        located = located.unionByName(many.join(_masks(many, window), ["anchor", "segment"], "left").withColumn(
+            "mask", F.coalesce("mask", F.lit(0))))
     located = located.select("anchor", "segment", "n", "mask", "words").repartition(
         "anchor", F.when(F.col("mask").isNotNull(), F.col("segment")).otherwise(0))
     located = located.sortWithinPartitions(F.col("mask").isNotNull(), "anchor").mapInArrow(
