@@ -101,7 +101,7 @@ def _texts(docs: DataFrame, examples: DataFrame, text: str, window: int) -> Data
 
     # a repeated row gives the same example again; located rows are made distinct later
     # all columns pass through, so that this and the last step share one exchange of the documents
-    return docs.join(wanted, KEY, "left").mapInArrow(
+    return docs.join(wanted, KEY).mapInArrow(
         fetch, "anchor bigint, segment bigint, n bigint, mixed boolean, words string")
 
 
