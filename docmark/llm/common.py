@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one round of array work takes; a longer text is a round of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)

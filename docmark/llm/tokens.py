@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -19,6 +20,7 @@ END = 1
 #: Parts whose ids a task keeps.
 KEPT_PARTS = 200_000
 _TWO_SPACES = re.compile(r" \s* ")
+_SPACE = re.compile(r"\s")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -42,27 +44,46 @@ class Encoder:
         self.special = re.compile("|".join(
             re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.splits = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
-        self.parts: dict[str, list[int]] = {}
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        self.marks = dict(zip(",.", self._whole([",", "."]), strict=True))
+        self.parts: dict[str, bytes] = {}  # ids of a part with a space before it
+        self.older: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes parts many at a time: a line feed between two is a piece, and an id, of its own."""
+        plain = [p for p in new if self.line is not None and not _SPACE.search(p) and p]
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            ids = np.array(self.tokenizer.encode("\n".join([" " + p for p in some]), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.line)
+            if len(cuts) == len(some) - 1:
+                raw, begins, ends = ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
+                self.parts.update((p, raw[4 * a : 4 * z]) for p, a, z in zip(some, begins, ends, strict=True))
+        rest = [p for p in new if p not in self.parts]
+        self.parts.update(zip(rest, self._whole([" " + p for p in rest]), strict=True))
 
     def encode(self, texts: list[str | None], end: int = END) -> list[np.ndarray]:
         """The ids of each text, then the end id; null is an empty text."""
         texts = [t or "" for t in texts]
-        known = self.parts
-        if len(known) > KEPT_PARTS:
-            known.clear()
-        cut: list[list[str] | None] = []
-        for t in texts:
-            if not self.splits or _TWO_SPACES.search(t) or self.special.search(t):
-                cut.append(None)
-                continue
-            head, *rest = t.split(" ")
-            cut.append([head, *(" " + p for p in rest)])
-        new = [p for p in set(chain.from_iterable(c for c in cut if c is not None)) if p not in known]
-        known.update(zip(new, self._whole(new), strict=True))
-        odd = iter(self._whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        look = known.__getitem__
-        return [np.fromiter(chain(next(odd) if c is None else chain.from_iterable(map(look, c)), (end,)), np.uint32)
-                for c in cut]
+        if len(self.parts) > KEPT_PARTS:
+            self.parts, self.older = {}, self.parts
+        cut = [None if not self.splits or _TWO_SPACES.search(t) or self.special.search(t) else t.split(" ") for t in texts]
+        heads = self._whole([t if c is None else c[0] for t, c in zip(texts, cut, strict=True)])
+        new = []
+        for p in set(chain.from_iterable(c[1:] for c in cut if c is not None)).difference(self.parts):
+            known = self.older.get(p)
+            if known is None:
+                new.append(p)
+            else:
+                self.parts[p] = known
+        # a comma or full stop after a letter is a piece of its own
+        marked = [p for p in new if p[-1:] in self.marks and p[-2:-1].isalpha()]
+        self._learn(list(({*new} - {*marked} | {p[:-1] for p in marked}).difference(self.parts)))
+        self.parts.update((p, self.parts[p[:-1]] + self.marks[p[-1]]) for p in marked)
+        look, stop = self.parts.__getitem__, array("I", [end]).tobytes()
+        return [np.frombuffer(b"".join([head, *(map(look, c[1:]) if c else ()), stop]), np.uint32)
+                for head, c in zip(heads, cut, strict=True)]
