@@ -51,7 +51,8 @@ def content_error(ext: Column, content: Column, limits: Limits = DEFAULT,
         .when(ext.isin(*dims.ZIP_EXTENSIONS), binary.zip_container(content))
         .otherwise(signed)
     )
-    return F.when(~ok, dims.MISMATCH)
+    # NULL contents answer no test, so they are refused
+    return F.when(~F.coalesce(ok, F.lit(False)), dims.MISMATCH)
 
 
 def upload_error(filename: Column, content: Column, length: Column,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,8 @@ from docmark.limits import DEFAULT
 from docmark.operators.carry import Timeline, has_large_key, seconds
 from docmark.sources.uploads import uploads_from_table
 
-LIMITS = replace(DEFAULT, max_upload_bytes=16_384)
+LIMITS = DEFAULT
+SMALL_LIMIT = 16_384  # only for the query that shows the size rejection
 TTL_S = 43_200
 KEEP_S = 86_400
 BEAT_S = 3_600

@@ -322,7 +322,7 @@ FROM run_members m JOIN latest USING (task_id) LEFT JOIN closed c ON m.batch_id
 # --- validation --------------------------------------------------------------
 
 add("size_guard", UPLOADS, select=f"""
-SELECT doc_id, CASE WHEN length > {MAX} THEN 'PayloadTooLargeError' END AS error FROM docs_up""")
+SELECT doc_id, CASE WHEN length > {b.SMALL_LIMIT} THEN 'PayloadTooLargeError' END AS error FROM docs_up""")
 
 _ODD = """CASE doc_id % 6 WHEN 0 THEN 'Doc.' || doc_id || '.TXT' WHEN 1 THEN '.' || doc_id
   WHEN 2 THEN 'doc' || doc_id WHEN 3 THEN 'doc' || doc_id || '.'

@@ -176,7 +176,7 @@ def resolve_batch_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = b.uploads_documents(spark, sf_dir)
-    return validation.size_guard(files, b.LIMITS.max_upload_bytes).select("doc_id", "error")
+    return validation.size_guard(files, b.SMALL_LIMIT).select("doc_id", "error")
 
 
 @query
