@@ -150,6 +150,9 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     Hit spans are cut out. A document goes as a whole if at least ``drop_share`` of its words are
     hit (1.0: only if nothing but hits is left). Documents without a hit stay as they are, byte by byte.
     """
+    names, place = docs.columns, docs.columns.index(text)
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))  # no name can clash with a new one
+    text = f"c{place}"
     found = find_contamination(docs, benchmark, text)
     kept = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words") * F.lit(drop_share)))
 
@@ -171,7 +174,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "tex
             yield pa.RecordBatch.from_arrays([columns[i] for i in keep], [batch.schema.names[i] for i in keep])
 
     slim = kept.select(*docs.columns, "hit_spans")
-    return slim.mapInArrow(cut, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)).select(*docs.columns)
+    return slim.mapInArrow(cut, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)).toDF(*names)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def test_decontamination_matches_a_search(spark, corpus):
         assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got.collect()) == want
     assert decontaminate.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     kept = decontaminate.remove_contamination(docs, bench).collect()
-    assert {r.doc_id for r in kept if r.text == dict(corpus).get(r.doc_id)} >= {0, 1, 2, 50, 52}
+    assert {r.doc_id for r in kept if r.text == dict(corpus).get(r.doc_id)} >= {0, 1, 2, 50}  # 52 holds nothing but an item
     again = decontaminate.find_contamination(spark.createDataFrame([(r.doc_id, r.text) for r in kept], DOCS), bench)
     assert again.where("n_hit > 0 and doc_id = 10").count() == 0
 
