@@ -8,6 +8,8 @@ the operators compare the words themselves or combine two independent hashes.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -146,6 +148,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             n = max(1, fits)
             yield batch.slice(start, n)
             start += n
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the machine, as a worker stays for other tasks."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def row_key(*cols: str) -> list[Column]:

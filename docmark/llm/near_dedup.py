@@ -21,13 +21,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmark.llm.common import KEY, cut_words, mix, row_key, run_hashes, slices, space_class, span_hashes, written
+from docmark.llm.common import KEY, cut_words, mix, release, row_key, run_hashes, slices, space_class, span_hashes, written
 
 TOKENS = 96
 TREES = 16
@@ -157,14 +158,14 @@ def _leaves(classes: DataFrame, similarity: float, node_limit: int, max_depth: i
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
     """The rows of each node, from batches sorted by node; a node is a bounded group."""
     rows: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if rows and row["node"] != rows[0]["node"]:
-                yield rows[0]["node"], rows
-                rows = []
-            rows.append(row)
+    for row in chain.from_iterable(b.slice(i, 256).to_pylist() for b in batches for i in range(0, b.num_rows, 256)):
+        if rows and row["node"] != rows[0]["node"]:
+            yield rows[0]["node"], rows
+            rows = []
+        rows.append(row)
     if rows:
         yield rows[0]["node"], rows
+    release()
 
 
 def _candidates(node: int, rows: list[dict], least: float) -> list[tuple[int, int]]:

@@ -16,6 +16,8 @@ from itertools import chain
 
 import numpy as np
 
+from docmark.llm.common import release
+
 END = 1
 #: Parts whose ids a task keeps.
 KEPT_PARTS = 200_000
@@ -50,6 +52,11 @@ class Encoder:
         self.parts: dict[str, bytes] = {}  # ids of a part with a space before it
         self.older: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empties the table at the end of a task."""
+        self.parts, self.older = {}, {}
+        release()
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
