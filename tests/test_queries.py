@@ -3,12 +3,14 @@
 import pytest
 
 import __spark_entry__ as entry
+from docmark.plans.oracle import ORACLE
+from docmark.plans.queries import QUERIES
 from tests.support import differences
 
 WITHOUT_SQL = {"read_uploads", "stream_uploads"}
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, sf_dir, name):
     assert differences(spark, con, name, sf_dir) == []
 
@@ -20,4 +22,4 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_sql_but_those_on_files():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
