@@ -170,7 +170,6 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: in
         packer.close()
         if packer.done:
             yield result()
-        encoder(vocabulary).forget()
 
     packed = slim.mapInArrow(run, f"doc {kind}, {PIECES}")
     return packed.withColumnRenamed("doc", doc_id)

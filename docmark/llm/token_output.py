@@ -139,7 +139,6 @@ def pack_matrix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
                 held += len(ids)
         if segments:
             yield from result(segments)
-        encoder(vocabulary).forget()
 
     return slim.mapInArrow(run, f"doc_ids array<{kind}>, {ROWS}")
 

@@ -132,9 +132,22 @@ def ids_of(text):
     return Tokenizer.from_file(vocabulary_path()).encode(text or "", add_special_tokens=False).ids + [1]
 
 
-def test_encoding_by_parts_is_encoding_as_a_whole():
-    odd = ["a   b", "a \n b  ", " lead", "x\n\n\ny  z", "it's  don't", "<|endoftext|> end ", "é,  ñ. k", "t\t x \t y", "a, b.c ,d", "1, 2."]
+def test_encoding_is_the_tokenizers_own():
+    odd = ["a   b", "a \n b  ", " lead", "x\n\n\ny  z", "it's  don't", "<|endoftext|> end ", "é,  ñ. k", "t\t x \t y", "a, b.c ,d", "1, 2.",
+           " " * 3000 + "x", "x" + "\n" * 999 + "y", "ab" * 5000, "IT'S 'Ll", "\u0085 \xa0x\u3000"]
+    assert encoder().fast is not None
     assert [v.tolist() for v in encoder().encode([*odd, None])] == [ids_of(t) for t in [*odd, None]]
+    marks = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    for at in range(0, len(marks), 4096):
+        text = "\n".join(f"a{c}b {c}1{c} {c}{c} .{c}'s  {c} \n{c}" for c in marks[at : at + 4096])
+        assert encoder().fast.encode_ordinary(text) == encoder().tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_are_left_to_tokenizers():
+    other = encoder(vocabulary_path("word_bpe_49k.json"))
+    assert other.fast is None
+    texts = ["Some words, é", ""]
+    assert [v.tolist()[:-1] for v in other.encode(texts)] == [other.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_packing_keeps_every_id_once(spark, corpus):
