@@ -67,11 +67,12 @@ def assemble_document(pages: DataFrame, documents: DataFrame | None = None,
 
 
 def cells_to_markdown(cells: DataFrame, keys: Sequence[str] = ("table_id",),
-                      slice_rows: int = TABLE_ROWS) -> DataFrame:
+                      slice_rows: int | None = None) -> DataFrame:
     """Long-form cells (``keys, row, col, cell``) to one table per key.
 
-    The first row is the header; rows are padded or cut to its width. Only one row's
-    cells, and one slice of rows, are ever held together.
+    The first row is the header; rows are padded or cut to its width. A table is one
+    text, however far apart its row numbers are; a caller whose tables are too long for
+    a value cuts them into parts of ``slice_rows`` row numbers.
     """
     keys = list(keys)
     cell = F.struct("col", clean_cell(F.col("cell")).alias("_cell"))
@@ -86,7 +87,9 @@ def cells_to_markdown(cells: DataFrame, keys: Sequence[str] = ("table_id",),
     text = F.when(
         F.col("row") == F.col("_head"), F.concat(line, separator_line(F.col("_width")))
     ).otherwise(line)
-    part = F.floor((F.col("row") - F.col("_head")) / F.lit(slice_rows)).cast("long")
+    part = F.lit(0).cast("long")
+    if slice_rows is not None:
+        part = F.floor((F.col("row") - F.col("_head")) / F.lit(slice_rows)).cast("long")
     return ordered_text(fitted, keys, ["row"], text, "", part)
 
 

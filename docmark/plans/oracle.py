@@ -433,7 +433,7 @@ FROM part""")
 add("html_to_markdown", select=f"SELECT page_id, {_html_sql('html')} AS markdown FROM pages")
 add("text_to_markdown", UPLOADS, select="SELECT doc_id, md5(raw) AS markdown_md5 FROM docs_up")
 add("csv_to_markdown", select="""
-SELECT o_custkey, o_orderkey // 100000 AS part,
+SELECT o_custkey, 0::BIGINT AS part,
   '| key | priority |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(
     '| ' || o_orderkey || ' | ' || o_orderpriority || ', "' || o_orderstatus || '" |' || chr(10),
     '' ORDER BY o_orderkey) AS markdown
@@ -505,7 +505,7 @@ WITH r AS (
       ELSE [o_orderkey::VARCHAR, o_orderstatus, o_orderpriority] END AS c,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
 h AS (SELECT table_id, k AS k0, len(c) AS w FROM r WHERE n = 1)
-SELECT table_id, (k - k0) // 100000 AS part, string_agg(
+SELECT table_id, 0::BIGINT AS part, string_agg(
   '| ' || array_to_string(list_resize(c, w, ''), ' | ') || ' |' || chr(10) || CASE WHEN n = 1 THEN
   '| ' || array_to_string(list_transform(range(w), lambda i: '---'), ' | ') || ' |' || chr(10) ELSE '' END,
   '' ORDER BY n) AS markdown

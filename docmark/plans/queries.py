@@ -351,7 +351,7 @@ def csv_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(', ""'), F.col("o_orderstatus"), F.lit('"""'))
     csv = assembly.ordered_text(
         orders, ["o_custkey"], ["o_orderkey"], line, "\r\n",
-        assembly.slice_of("o_orderkey", assembly.TABLE_ROWS), out="csv")
+        assembly.slice_of("o_orderkey", None), out="csv")
     body = F.concat(F.lit("key,priority\n"), F.col("csv"))
     return csv.select("o_custkey", "part", tables.csv_to_markdown(body).alias("markdown"))
 

@@ -172,6 +172,13 @@ def test_cells(spark):
     assert "".join(r.markdown for r in cut) == got[("t", 0)]
 
 
+def test_a_table_is_one_text_whatever_its_row_numbers(spark):
+    df = spark.createDataFrame(
+        [("t", n, 0, str(n)) for n in (3, 250_000, 9_000_000_000)], "table_id string, row long, col int, cell string")
+    got = [(r.part, r.markdown) for r in assembly.cells_to_markdown(df).collect()]
+    assert got == [(0, "| 3 |\n| --- |\n| 250000 |\n| 9000000000 |\n")]
+
+
 ASSETS = "doc_id string, page_index long, image_index long, name string, data binary, extension string"
 
 
