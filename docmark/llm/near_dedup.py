@@ -231,7 +231,9 @@ def components(links: DataFrame) -> DataFrame:
     Least labels pass along links and are then looked up at the label itself, so that long chains
     take a few rounds. Nothing is gathered but the number of changes.
     """
-    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-links")
+    # both directions of one evaluation: two evaluations could choose different links
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = written(links.select(F.inline(both)).distinct(), "near-links")
     labels = written(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "near-labels")
     while True:
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
@@ -258,6 +260,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     they share the component and are all kept if it bears their id. Other columns are not looked at. An empty
     table gives no rows.
     """
+    return _labelled(docs, doc_id, text, words, percent, node_limit, max_depth).drop(*KEY)
+
+
+def _labelled(docs: DataFrame, doc_id: str, text: str, words: int = 5, percent: int = 80,
+              node_limit: int = NODE_LIMIT, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The rows of :func:`near_duplicates` with the key of each row."""
     kind = dict(docs.dtypes)[doc_id]
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     slim = slim.select("*", *row_key("id", "text"))
@@ -272,7 +280,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = leaves.groupBy("class").agg(F.collect_list("node").alias("nodes")).join(classes, "class").select(
         "class", *KEY, "nodes", F.unhex(low).alias("sketch"))
     known = written(known, "near-known")
-    by_node = lambda df: df.repartition("node").sortWithinPartitions("node")
+    # sorted by class too, so that a task that runs again gives the same links
+    by_node = lambda df: df.repartition("node").sortWithinPartitions("node", "class")
     active = by_node(known.select("class", "nodes", "sketch", F.explode("nodes").alias("node"))).mapInArrow(
         _active(least), "class binary, node bigint")
     wanted = active.groupBy("class").agg(F.collect_list("node").alias("active")).join(known, "class")
@@ -283,13 +292,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = classes.select("class", "id").join(linked, F.col("class") == F.col("node"), "left")
     least_id = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("least"))
     named = named.join(least_id, "root", "left").select("class", F.coalesce("least", "id").alias("component_id"))
-    out = rows.select("id", "n", "class").join(named, "class", "left").select(
-        F.col("id").alias(doc_id), F.col("n").alias("n_shingles"),
+    out = rows.select("id", *KEY, "n", "class").join(named, "class", "left").select(
+        *KEY, F.col("id").alias(doc_id), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one document of each group; same columns. Repeated rows count as copies: one stays."""
-    groups = near_duplicates(docs, doc_id, text, **options).where("kept").select(F.col(doc_id).alias("__id")).distinct()
-    return docs.join(groups, docs[doc_id].eqNullSafe(groups["__id"]), "left_semi").dropDuplicates([doc_id])
+    """docs with one document of each group; same columns.
+
+    Of rows with equal id and text one stays. Rows without an id are judged like others: copies of a text that
+    has an id go, and different texts all stay.
+    """
+    kept = _labelled(docs, doc_id, text, **options).where("kept").select(*KEY).distinct()
+    keyed = docs.select("*", *row_key(doc_id, text))
+    return keyed.join(kept, KEY, "left_semi").dropDuplicates(KEY).select(*docs.columns)

@@ -69,6 +69,32 @@ def test_repeats_match_a_count_of_windows(spark, corpus):
     assert repeats.find_repeats(docs.limit(0)).count() == 0
 
 
+def test_components_take_links_from_one_evaluation(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def links(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            k = batch.column("id").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f"n{i:02}".encode() for i in k]), pa.array([f"n{i + 2:02}".encode() for i in k])], ["a", "b"])
+
+    chain = spark.range(0, 20, 1, 4).mapInArrow(links, "a binary, b binary")
+    got = {r.node.decode(): r.root.decode() for r in near_dedup.components(chain).collect()}
+    assert got == {f"n{i:02}": f"n{i % 2:02}" for i in range(22)}
+    assert seen.value == 20
+
+
+def test_keep_one_leaves_different_texts(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, base), (2, base + " end"), (2, base + " end"), (3, "alone"), (3, "alone"), (4, None), (5, ""),
+            (None, base), (None, "no id, first"), (None, "no id, second")]
+    got = near_dedup.keep_one(spark.createDataFrame(rows, DOCS).withColumn("id", F.lit("x")))
+    assert got.columns == ["doc_id", "text", "id"]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(
+        [(1, base), (3, "alone"), (4, None), (5, ""), (None, "no id, first"), (None, "no id, second")])
+
+
 def test_near_duplicates_match_all_pairs(spark, corpus):
     for n, percent in ((3, 85), (5, 80)):
         sets = []
