@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 from docmark import dims
 from docmark.functions.tables import grid_to_markdown
 from docmark.functions.text import strip
-from docmark.limits import DEFAULT
 from docmark.operators.assembly import BROADCAST_ROWS, PAGE_GAP, assemble_page, ordered_text
 from docmark.operators.carry import BUCKET, Timeline, bucket_width
 
@@ -105,21 +104,10 @@ def assign_lines_to_regions(lines: DataFrame, regions: DataFrame,
         *lines.columns, F.col("_in.ord").alias("ord"))
 
 
-def _verdicts(tables: DataFrame, lines: DataFrame, pages: DataFrame,
-              max_bytes: int) -> DataFrame:
+def _verdicts(pages: DataFrame) -> DataFrame:
     """``doc_id, error`` of the documents that cannot be assembled."""
-    # one byte more per row, so that empty rows count as well
-    line_size = lines.select("doc_id", (F.octet_length("text") + 1).alias("_bytes"))
-    grid_size = tables.select(
-        "doc_id", (F.octet_length(F.array_join(F.flatten("grid"), "")) + 1).alias("_bytes"))
-    page_size = pages.select(
-        "doc_id", F.lit(1).alias("_bytes"), F.col("height").isNull().alias("_broken"))
-    rows = line_size.unionByName(grid_size).unionByName(page_size, allowMissingColumns=True)
-    sizes = rows.groupBy("doc_id").agg(
-        F.sum("_bytes").alias("_bytes"), F.bool_or("_broken").alias("_broken"))
-    error = F.when(F.col("_bytes") > max_bytes, dims.TOO_LARGE).when(
-        F.col("_broken"), dims.MARKDOWN_FAILED)
-    return sizes.select("doc_id", error.alias("error")).filter(F.col("error").isNotNull())
+    broken = pages.groupBy("doc_id").agg(F.bool_or(F.col("height").isNull()).alias("_broken"))
+    return broken.filter("_broken").select("doc_id", F.lit(dims.MARKDOWN_FAILED).alias("error"))
 
 
 def _elements(tables: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFrame:
@@ -143,21 +131,19 @@ def _elements(tables: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFram
             none.cast("long").alias("line_no"))))
 
 
-def assemble_layout(tables: DataFrame, lines: DataFrame, pages: DataFrame,
-                    max_bytes: int = DEFAULT.max_upload_bytes) -> DataFrame:
+def assemble_layout(tables: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFrame:
     """``doc_id, markdown, error`` of every document in ``pages``.
 
     A region or table that cannot be read (NULL text or grid) is left out; a document
-    with a page that cannot be read (NULL height) fails whole. A document over the upload
-    limit is rejected like an oversize file, from sums combined before their shuffle, so
-    whatever is gathered below is within the limit.
+    with a page that cannot be read (NULL height) fails whole. The upload limit is one of
+    files, not of the text in them, so a document of any length is assembled.
 
-    With every document bounded, all of its rows meet in one shuffle: a line's place is
+    A document is one text, so all of its rows meet in one shuffle: a line's place is
     the number of tables that start above it, and it belongs to the text there unless
     the last of them still covers it. Regions, parts, pages and the document are grouped
     in that partitioning.
     """
-    bad = _verdicts(tables, lines, pages, max_bytes)
+    bad = _verdicts(pages)
     found = bad.limit(BROADCAST_ROWS + 1).count()
     good = (tables, lines, pages)
     if found:
