@@ -349,6 +349,31 @@ def test_secrets_found_and_prose_left(spark):
     assert secrets.scan(frame.limit(0), scanner).count() == 0
 
 
+def test_secret_candidates_beside_names_and_paths():
+    aws, github, sha = "AKIA" + "B7" * 8, "ghp_" + "a1B2" * 9, hashlib.sha1(b"x").hexdigest()
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow\n-----END RSA PRIVATE KEY-----"
+    for text, value, kind in (
+            (f"GITHUB_TOKEN={github} x", github, "github"), (f"AWS_ACCESS_KEY_ID={aws}", aws, "aws"), (f"api/v1/{aws}/x", aws, "aws"),
+            (f"token={sha}", sha, "assigned"), (f"PRIVATE_KEY={pem} x", pem, "private_key"), (f"name=x/{sha}", sha, "run"),
+            ('password: "p@s w0!"', "p@s w0!", "assigned"), ("pwd = x9", "x9", "assigned"), (f"AKIAAKIA{'B7' * 8}", aws, "aws"),
+            (f"?a=1&token={sha}&b=2", sha, "assigned"), (f"Authorization: Bearer {sha}", sha, "assigned"), (f"id={sha}", sha, "run")):
+        found = {(text[a:b], k) for a, b, k in secrets.candidates(text)}
+        assert (value, kind) in found, (text, found)
+    assert secrets.candidates("Author: J. Doe, 1999") == []
+
+
+def test_secrets_beside_names_are_cut(spark):
+    rng = random.Random(6)
+    keys = [f"ghp_{rng.getrandbits(144):036x}" for _ in range(60)]
+    docs = [(i, f"{prose(rng, 30)} {('GITHUB_TOKEN=' if i % 2 else 'api/v1/')}{k} token: the extraordinarilylongword{i} end") for i, k in enumerate(keys)]
+    frame = spark.createDataFrame(docs, DOCS)
+    clean = {r.doc_id: r.text for r in secrets.redact(frame, secrets.scan(frame, secrets.fit(frame))).collect()}
+    assert all(clean[i] == docs[i][1].replace(k, secrets.MARK) for i, k in enumerate(keys))
+    both = spark.createDataFrame([(1, "abcdefghij")], DOCS).withColumn("text_hash", F.xxhash64("text"))
+    spans = both.select("doc_id", "text_hash", F.explode(F.expr("array(struct(1L AS start, 4L AS length), struct(3L AS start, 4L AS length))")).alias("s"))
+    assert secrets.redact(both.drop("text_hash"), spans.select("doc_id", "text_hash", "s.*")).first().text == f"a{secrets.MARK}hij"
+
+
 def test_bytes_of_columns_with_offsets():
     roles, texts = pa.array(["x", "user", None])[1:], pa.array(["x", "a<|b", "é"])[1:]
     formatted, first, length = chat_format.assemble(roles, texts)
