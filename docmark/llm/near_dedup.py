@@ -8,12 +8,12 @@ are compared exhaustively: signatures propose pairs, each pair in the first node
 full shingle sets confirm them. A pair that the node's confirmed links already connect needs no
 comparison, so a node gives fewer links than it has members, whatever its number of pairs.
 
-With the defaults, a pair at the threshold misses all trees with a chance below 1e-6 (0.85) or 1e-4
-(0.8) while its nodes stay small; in nodes that branch on, the two-way branches hold the chance of a tree.
-
-Classes that still share a large node at the greatest depth agree in every token asked for and are
-near each other; they are compared in blocks that all hold the same few pivots, so that what is near
-a pivot is linked across blocks.
+With the defaults, a pair at the threshold that meets no large node misses all trees with a chance below 1e-6
+(0.85) or 2e-5 (0.8). Branching alone does not hold that chance, as a pair is lost on the way down. So classes
+of large nodes are also joined exactly: shingles have one order, rare ones first, and two sets of the wanted
+similarity have one of their first ``n - ceil(similarity * n) + 1`` shingles in common. Classes with such a
+shingle in common share a node; if they are too many, shingles that occur together are one group, and
+every two blocks of it are compared in a node.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ TREES = 16
 ROOT_TOKENS = 3
 NODE_LIMIT = 1024
 MAX_DEPTH = 8
-PIVOTS = 16
+#: Cells in which shingles are counted to order them; equal counts are ordered by the shingle.
+CELLS = 1 << 20
 SPACES = space_class()
 
 
@@ -128,10 +129,10 @@ def _children(similarity: float):
     return run
 
 
-def _leaves(classes: DataFrame, similarity: float, node_limit: int, max_depth: int) -> DataFrame:
-    """(class, node) of all nodes small enough to be compared, with two members or more."""
+def _leaves(classes: DataFrame, similarity: float, node_limit: int, max_depth: int) -> tuple[DataFrame, DataFrame | None]:
+    """(class, node) of all nodes small enough to be compared, with two members or more; and the classes of large nodes."""
     level = classes.select("class", "signature").mapInArrow(_roots, "class binary, node bigint")
-    done = []
+    done, hot = [], None
     for depth in range(max_depth + 1):
         sizes = level.groupBy("node").count().where("count > 1")
         members = written(level.join(sizes, "node"), "near-nodes")
@@ -139,20 +140,69 @@ def _leaves(classes: DataFrame, similarity: float, node_limit: int, max_depth: i
         large = members.where(F.col("count") > node_limit)
         if large.isEmpty():
             break
+        if hot is None:  # nodes below hold no other classes
+            hot = written(large.select("class").distinct(), "near-hot")
         if depth < max_depth:
             level = large.select("class", "node").join(classes.select("class", "signature"), "class").mapInArrow(
                 _children(similarity), "class binary, node bigint").distinct()
-            continue
-        # alike in every token that was asked: blocks around a pivot
-        blocks = F.ceil(F.col("count") / (node_limit / 2))
-        part = lambda number: F.xxhash64("node", number).alias("node")
-        done.append(large.select("class", part(F.pmod(F.xxhash64("class"), blocks))))
-        pivots = large.where(F.pmod(F.xxhash64("class"), F.ceil(F.col("count") / PIVOTS)) == 0)
-        done.append(pivots.select("class", "node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b")).select("class", part(F.col("b"))))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    return out.distinct(), hot
+
+
+def _cell_counts(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in slices(batches, "text"):
+            for s in shingle_sets(batch.column("text"), words):
+                np.add.at(counts, (s % np.uint64(CELLS)).astype(np.int64), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "count"])
+
+    return run
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles in order of their cells' counts, one of which every set of the wanted similarity has too."""
+    n = len(shingles)
+    first = n - -(-percent * n // 100) + 1
+    return shingles[np.lexsort((shingles, counts[(shingles % np.uint64(CELLS)).astype(np.int64)]))[:first]]
+
+
+def _exact_leaves(texts: DataFrame, words: int, percent: int, node_limit: int) -> DataFrame:
+    """(class, node) so that every two of these classes with the wanted similarity share a node."""
+    cells = texts.mapInArrow(_cell_counts(words), "cell bigint, count bigint").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[cells.column("cell").to_numpy()] = cells.column("count").to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            firsts = [prefix(s, shared.value, percent) for s in shingle_sets(batch.column("text"), words)]
+            owner = np.repeat(np.arange(len(firsts)), [len(f) for f in firsts])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("class").take(pa.array(owner)), pa.array(mix(np.concatenate(firsts)).view(np.int64))], ["class", "node"])
+
+    # repeats of a text give the same rows
+    tokens = texts.mapInArrow(run, "class binary, node bigint").distinct()
+    sizes = tokens.groupBy("node").count().where("count > 1")
+    members = written(tokens.join(sizes, "node"), "near-prefixes")
+    small = members.where(F.col("count") <= node_limit).select("class", "node")
+    large = members.where(F.col("count") > node_limit).select("class", "node")
+    if large.isEmpty():
+        return small
+    # shingles that occur in the same class are one group, so that a pair is not compared for each of them
+    as_key = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    least = large.groupBy("class").agg(F.min("node").alias("least"))
+    groups = components(large.join(least, "class").select(as_key("least").alias("a"), as_key("node").alias("b")).distinct())
+    grouped = large.join(groups.withColumnRenamed("node", "token"), as_key(large.node) == F.col("token"))
+    grouped = written(grouped.select("class", F.col("root").alias("group")).distinct(), "near-grouped")
+    sizes = grouped.groupBy("group").agg(F.ceil(F.count("*") / (node_limit / 2)).alias("blocks"))
+    placed = grouped.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    others = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).where("other != block")
+    node = F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other"))
+    return small.unionByName(others.select("class", node.alias("node")))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
@@ -274,7 +324,11 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, words: int = 5, percent:
         F.min("id").alias("id"), *(F.first(c).alias(c) for c in (*KEY, "signature")))
     classes = written(classes, "near-classes")
     least = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / TOKENS)
-    leaves = _leaves(classes, percent / 100, node_limit, max_depth)
+    leaves, hot = _leaves(classes, percent / 100, node_limit, max_depth)
+    if hot is not None:
+        own = hot.join(classes, "class").select("class", *KEY)
+        exact = _exact_leaves(slim.select("text", *KEY).join(own, KEY).select("class", "text"), words, percent, node_limit)
+        leaves = leaves.unionByName(exact).distinct()
     # one byte of each token is enough to propose pairs
     low = F.regexp_replace(F.hex("signature"), "(..)......", "$1")
     known = leaves.groupBy("class").agg(F.collect_list("node").alias("nodes")).join(classes, "class").select(

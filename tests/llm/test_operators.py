@@ -124,6 +124,38 @@ def test_near_duplicates_match_all_pairs(spark, corpus):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def _template_pages(rng, pages, shared, own):
+    """Pages of one template that agree in it only, and of every page a copy with some words changed, as near as 0.85."""
+    template = [f"t{i}" for i in range(shared)]
+    rows = []
+    for i in range(pages):
+        words = template + [f"o{i}x{k}" for k in range(own)]
+        near = list(words)
+        for k in rng.sample(range(0, len(near), 8), 2):
+            near[k] = f"n{i}x{k}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+    return rows
+
+
+def test_pairs_far_from_all_others_in_large_nodes_are_linked(spark):
+    rows = _template_pages(random.Random(9), 250, 88, 12)
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(98)} for _, t in rows]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(0.85 <= alike(2 * i, 2 * i + 1) < 0.95 for i in range(250))
+    assert max(alike(i, j) for i in range(500) for j in range(i) if i // 2 != j // 2) < 0.85
+    docs = spark.createDataFrame(rows, DOCS)
+    got = near_dedup.near_duplicates(docs, words=3, percent=85, node_limit=4, max_depth=0)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i // 2 * 2 for i in range(500)}
+
+
+def test_every_two_blocks_of_a_common_shingle_meet(spark):
+    texts = spark.createDataFrame([(bytes([i]), "a b c d e") for i in range(30)], "class binary, text string")
+    nodes = defaultdict(set)
+    for r in near_dedup._exact_leaves(texts, 3, 80, 8).collect():
+        nodes[r.node].add(bytes(r["class"]))
+    assert all(any({bytes([i]), bytes([j])} <= m for m in nodes.values()) for i in range(30) for j in range(i))
+
+
 def test_decontamination_matches_a_search(spark, corpus):
     items = [(7, corpus[8][1]), (8, "AB ab!ab"), (9, None), (10, "..."), (None, "é ü"), (11, corpus[-3][1])]
     windows = defaultdict(set)
