@@ -148,6 +148,19 @@ def test_pairs_far_from_all_others_in_large_nodes_are_linked(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: i // 2 * 2 for i in range(500)}
 
 
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 3, near_dedup.CELLS)
+    for percent in (80, 85):
+        for n in (1, 2, 7, 40, 200):
+            for _ in range(40):
+                a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+                lost = rng.integers(0, len(a) * (100 - percent) // 100 + 1)
+                b = rng.permutation(a)[lost:]
+                assert len(b) * 100 >= percent * len(a)
+                assert np.intersect1d(near_dedup.prefix(a, counts, percent), near_dedup.prefix(np.sort(b), counts, percent)).size
+
+
 def test_every_two_blocks_of_a_common_shingle_meet(spark):
     texts = spark.createDataFrame([(bytes([i]), "a b c d e") for i in range(30)], "class binary, text string")
     nodes = defaultdict(set)
