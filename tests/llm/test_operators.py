@@ -419,6 +419,18 @@ def test_secrets_beside_names_are_cut(spark):
     assert secrets.redact(both.drop("text_hash"), spans.select("doc_id", "text_hash", "s.*")).first().text == f"a{secrets.MARK}hij"
 
 
+def test_dictionary_counts_every_text(spark):
+    rows = [(i, "common words") for i in range(3000)] + [(None, "Rareword rareword")] * 400 + [(9000 + i, "zyx") for i in range(5)] + [(1, None)]
+    language = secrets.learn_language(spark.createDataFrame(rows, DOCS).repartition(3))
+    assert language.words == {"common", "words", "rareword", "zyx"}
+    pairs = Counter()
+    for _, t in rows:
+        for w in re.findall(r"[a-z]+", (t or "").lower()):
+            pairs.update(w[k : k + 2] for k in range(len(w) - 1))
+    total = sum(pairs.values()) + 1
+    assert language.pairs == {k: pytest.approx(np.log(n / total)) for k, n in pairs.items()}
+
+
 def test_bytes_of_columns_with_offsets():
     roles, texts = pa.array(["x", "user", None])[1:], pa.array(["x", "a<|b", "é"])[1:]
     formatted, first, length = chat_format.assemble(roles, texts)
