@@ -10,7 +10,10 @@ import corpus_pipeline
 from docmark.llm import (
     chat_format,
     decontaminate,
+    divergence,
     langid,
+    manifest,
+    mixing,
     near_dedup,
     neighbours,
     packing,
@@ -77,9 +80,22 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.pack_matrix(_documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.plan(_table(spark, sf_dir, "documents")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digest(manifest.prove(_table(spark, sf_dir, "documents"), shown=manifest.tampered()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_chat_format, op2_nearest_neighbours, op3_secret_scan, op4_substring_dedup, op5_near_dedup,
-    op6_language_id, op7_packing, op8_decontamination, op9_quality, op10_token_output)}
+    op6_language_id, op7_packing, op8_decontamination, op9_quality, op10_token_output,
+    op11_source_divergence, op12_source_mixing, op13_merkle_manifest)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 #: Operators that are trained, approximate or pack tokens, and texts by windows, are tested against plain rules.
@@ -93,4 +109,5 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
   CAST(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars
-FROM turns GROUP BY conv_id"""}
+FROM turns GROUP BY conv_id""",
+    "op11_source_divergence": divergence.SQL, "op12_source_mixing": mixing.SQL, "op13_merkle_manifest": manifest.SQL}
