@@ -30,7 +30,7 @@ PRIOR = 5
 #: Text bytes whose pointers are sorted together.
 SHARD_BYTES = 4_000_000
 #: Sources of one side of a tile, and counts that a block of terms aims at.
-TILE, BLOCK_ROWS = 64, 100_000
+TILE, BLOCK_ROWS = 64, 10_000
 _CHUNK_CELLS = 1 << 22
 
 
