@@ -142,3 +142,7 @@ def lookup(key: Column, table: Mapping[str, object], default: object = None) ->
 def stage_rank(stage: Column) -> Column:
     """Position of a stage in the pipeline; an unknown stage ranks 0."""
     return lookup(stage, {s: i for i, s in enumerate(STAGES)}, 0)
+
+# What followers are told when a state has lapsed.
+TASK_NOT_FOUND = "task_not_found"
+NO_TASKS_FOUND = "no_tasks_found"

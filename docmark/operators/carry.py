@@ -1,17 +1,17 @@
 """Windows over keys of any size.
 
 A window partitioned by a key puts all rows of that key into one task. That is the right
-plan while keys are small: one shuffle, no join. Where a key is too large for a task, its
-timeline is cut into buckets of time: windows run inside ``(key, bucket)``, and what a
-bucket needs from its neighbours comes from one summary row per bucket. The summary is
-the only thing a key's whole history is ordered over, and its size is bounded by the time
-span over the bucket width. Both plans give the same rows.
-
-Which plan is taken follows from the largest key, counted beforehand on the key and time
-columns alone (``split=None``), or from what the caller knows (``split=True`` or
-``False``). The count also gives the buckets' width: narrow enough that the largest key's
-buckets are well below the size of a large key. The bucket is a function of the row's own
-time, so a recomputed task gives the same rows.
+plan while keys are small: one shuffle, no join. Where a key is too large for a task, the
+rows are parted by ranges of ``(key, order)`` with about the same number of rows in each
+(:mod:`docmark.operators.ordered`), so that bursts, equal times and a sparse key beside a
+dense one are cut alike. Windows run inside ``(key, range)``, and what a range needs from its
+neighbours comes from one summary row per key and range. The summary is the only thing a key's
+whole history is ordered over. Both plans give the same rows.
+
+Which plan is taken follows from the largest key, counted beforehand on the key columns alone
+(``split=None``), or from what the caller knows (``split=True`` or ``False``). The count also
+gives the number of ranges. Ranges are written once, and so is the result of each window over
+them, so that several windows read what the ones before have found and not their inputs again.
 """
 
 from __future__ import annotations
@@ -23,18 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKET = "_bucket"
-LARGE_KEY_ROWS = 1_000_000
-DEFAULT_WIDTH = 3_600.0
-
-
-# buckets aim at this part of a large key, as rows are not spread evenly over time
-BUCKET_SHARE = 0.1
+from docmark.operators.ordered import AT, PART, in_ranges
+from docmark.scratch import scratch_path
 
-
-def seconds(ts: str) -> Column:
-    """A timestamp as a number, for the time axis."""
-    return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1_000_000)
+BUCKET = PART
+LARGE_KEY_ROWS = 1_000_000
+# ranges aim at this part of a large key
+RANGE_SHARE = 0.5
 
 
 def has_large_key(df: DataFrame, keys: Sequence[str], rows: int = LARGE_KEY_ROWS) -> bool:
@@ -43,19 +38,16 @@ def has_large_key(df: DataFrame, keys: Sequence[str], rows: int = LARGE_KEY_ROWS
     return not counts.filter(F.col("_n") > rows).isEmpty()
 
 
-def bucket_width(df: DataFrame, keys: Sequence[str], axis: Column, rows: int) -> float | None:
-    """Width of buckets that cuts every key with more than ``rows`` rows; None without any.
+def ranges_needed(df: DataFrame, keys: Sequence[str], rows: int) -> int | None:
+    """Ranges that cut every key with more than ``rows`` rows; None without any.
 
     One row per key is counted before the shuffle and one row comes back.
     """
-    sizes = df.select(*keys, axis.alias("_x")).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), (F.max("_x") - F.min("_x")).alias("_span"))
-    large = sizes.filter(F.col("_n") > rows).agg(
-        F.min(F.col("_span") / F.col("_n")).alias("spacing")).first()
-    if large.spacing is None:
+    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(
+        F.max("_n").alias("largest"), F.sum("_n").alias("total")).first()
+    if found.largest is None or found.largest <= rows:
         return None
-    # a key without any extent cannot be cut; any width will do
-    return large.spacing * rows * BUCKET_SHARE or 1.0
+    return max(2, -(-found.total // max(1, int(rows * RANGE_SHARE))))
 
 
 @dataclass(frozen=True)
@@ -73,7 +65,7 @@ class Timeline:
     """Windows over ``keys`` in ``order``.
 
     >>> line = Timeline(["task_id"], ["ts", "event_id"])
-    >>> df = line.spread(events, seconds("ts"))
+    >>> df = line.spread(events)
     >>> df = line.window(df, prev=line.lag("stage"), seen=line.running_sum(F.lit(1)))
 
     :meth:`spread` comes first: it decides the plan. Keys must not be NULL.
@@ -86,19 +78,15 @@ class Timeline:
         self.split = split
         self.large_rows = large_rows
 
-    def spread(self, df: DataFrame, axis: Column, width: float | None = None) -> DataFrame:
-        """Add the bucket and, for large keys, partition by it once for all windows.
-
-        ``axis`` is a number that grows with the first column of the order.
-        """
+    def spread(self, df: DataFrame, ranges: int | None = None) -> DataFrame:
+        """For large keys, write the rows in ranges and partition by them."""
         if self.split is None:
-            counted = bucket_width(df, self.keys, axis, self.large_rows)
+            counted = ranges_needed(df, self.keys, self.large_rows)
             self.split = counted is not None
-            width = width or counted
+            ranges = ranges or counted
         if not self.split:
             return df
-        bucket = F.floor(axis / F.lit(float(width or DEFAULT_WIDTH)))
-        return df.withColumn(BUCKET, bucket).repartition(*self.keys, BUCKET)
+        return in_ranges(df, [*self.keys, *self.order], ranges).drop(AT)
 
     @property
     def _by(self) -> list[str]:
@@ -154,23 +142,27 @@ class Timeline:
             F.min(value), lambda agg: F.min(agg).over(self._before()),
             F.min(value).over(self._until(inclusive)), F.least)
 
-    def running_last(self, value: Column) -> Measure:
-        """Last value up to this row that is not NULL."""
+    def running_last(self, value: Column, inclusive: bool = True) -> Measure:
+        """Last value up to this row (or up to the one before) that is not NULL."""
         return Measure(
             F.max_by(value, F.when(value.isNotNull(), F.struct(*self.order))),
             lambda agg: F.last(agg, ignorenulls=True).over(self._before()),
-            F.last(value, ignorenulls=True).over(self._until(True)), F.coalesce)
+            F.last(value, ignorenulls=True).over(self._until(inclusive)), F.coalesce)
 
     def window(self, df: DataFrame, **measures: Measure) -> DataFrame:
         """Add the measures to a frame that was :meth:`spread`."""
         if not self.split:
             return df.select(
                 *df.columns, *[m.finish(m.inside).alias(n) for n, m in measures.items()])
-        summary = df.groupBy(*self._by).agg(
+        rows = df.repartition(*self._by)
+        summary = rows.groupBy(*self._by).agg(
             *[m.summary.alias(f"_agg_{n}") for n, m in measures.items()])
         carried = summary.select(
             *self._by, *[m.carried(f"_agg_{n}").alias(f"_in_{n}") for n, m in measures.items()])
-        return df.join(carried, self._by).select(
+        found = rows.join(carried, self._by).select(
             *df.columns,
             *[m.finish(m.merge(m.inside, F.col(f"_in_{n}"))).alias(n)
               for n, m in measures.items()])
+        path = scratch_path(df.sparkSession, "window")
+        found.write.parquet(path)
+        return df.sparkSession.read.parquet(path)

@@ -7,8 +7,8 @@ Inputs are the relations a layout decoder gives:
   ``bbox = (x0, top, x1, bottom)``, top <= bottom
 * ``lines(doc_id, page_no, line_no, top, bottom, text)``
 
-The single steps run on :class:`Timeline` with the height on the page as the time axis, so
-a page with a large share of all rows is spread as well.
+The single steps run on :class:`Timeline` with the height on the page as the order, so a page
+with a large share of all rows is spread as well.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from docmark import dims
 from docmark.functions.tables import grid_to_markdown
 from docmark.functions.text import strip
 from docmark.operators.assembly import BROADCAST_ROWS, PAGE_GAP, assemble_page, ordered_text
-from docmark.operators.carry import BUCKET, Timeline, bucket_width
+from docmark.operators.carry import BUCKET, Timeline
 
 PAGE = ["doc_id", "page_no"]
 
@@ -34,16 +34,16 @@ def boxed(tables: DataFrame) -> DataFrame:
         F.get("bbox", F.lit(3)).alias("bottom"))
 
 
-def order_tables(tables: DataFrame, band: float | None = None, split: bool | None = None) -> DataFrame:
+def order_tables(tables: DataFrame, ranges: int | None = None, split: bool | None = None) -> DataFrame:
     """Tables with a usable box from top to bottom; adds ``top, bottom, table_no`` (from 0)."""
     valid = boxed(tables)
     line = Timeline(PAGE, ["top", "table_id"], split)
-    df = line.spread(valid, F.col("top"), band)
+    df = line.spread(valid, ranges)
     df = line.window(df, table_no=line.running_sum(F.lit(1), inclusive=False))
     return df.drop(BUCKET)
 
 
-def text_regions(ordered: DataFrame, pages: DataFrame, band: float | None = None,
+def text_regions(ordered: DataFrame, pages: DataFrame, ranges: int | None = None,
                  split: bool | None = None) -> DataFrame:
     """Regions of text around a page's tables: ``doc_id, page_no, ord, top, bottom``.
 
@@ -61,13 +61,7 @@ def text_regions(ordered: DataFrame, pages: DataFrame, band: float | None = None
         F.lit(None).cast(ordered.schema["table_id"].dataType).alias("table_id"),
         F.lit(None).cast("double").alias("_bottom"))
     line = Timeline(PAGE, ["_end", "_y", "table_id"], split)
-    if split is None:
-        # a page has one end, so its tables alone make it large
-        counted = bucket_width(marks, PAGE, F.col("_y"), line.large_rows)
-        line.split, band = counted is not None, band or counted
-    # a page's end comes after all of its tables, wherever they are
-    at = F.when(F.col("_end") == 1, F.lit(1e9)).otherwise(F.col("_y"))
-    df = line.spread(marks.unionByName(ends), at, band)
+    df = line.spread(marks.unionByName(ends), ranges)
     df = line.window(
         df, _above=line.lag("_bottom"),
         _no=line.running_sum(F.lit(1), inclusive=False))
@@ -78,7 +72,7 @@ def text_regions(ordered: DataFrame, pages: DataFrame, band: float | None = None
 
 
 def assign_lines_to_regions(lines: DataFrame, regions: DataFrame,
-                            band: float | None = None, split: bool | None = None) -> DataFrame:
+                            ranges: int | None = None, split: bool | None = None) -> DataFrame:
     """Lines with the ``ord`` of the region ``[top, bottom)`` their top falls in.
 
     Regions of a page do not overlap, so this is an as-of lookup: regions and lines are
@@ -98,7 +92,7 @@ def assign_lines_to_regions(lines: DataFrame, regions: DataFrame,
         F.lit(None).cast("struct<ord:bigint,end:double>").alias("_region"),
         *[c for c in lines.columns if c not in PAGE])
     axis = Timeline(PAGE, ["_y", "_kind", "_seq"], split)
-    df = axis.spread(starts.unionByName(marks), F.col("_y"), band)
+    df = axis.spread(starts.unionByName(marks), ranges)
     df = axis.window(df, _in=axis.running_last(F.col("_region")))
     return df.filter((F.col("_kind") == 1) & (F.col("_y") < F.col("_in.end"))).select(
         *lines.columns, F.col("_in.ord").alias("ord"))

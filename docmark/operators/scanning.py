@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docmark import dims
 from docmark.functions.binary import contains_any
 from docmark.limits import DEFAULT
-from docmark.operators.carry import Timeline, seconds
+from docmark.operators.carry import Timeline
 
 
 def signature_scan(df: DataFrame, hashes: DataFrame, patterns: Sequence[bytes] = (),
@@ -87,7 +87,7 @@ def resolve_attempts(attempts: DataFrame, max_retries: int = DEFAULT.scan_retrie
 
 
 def reconnect_delays(attempts: DataFrame, cap_s: int = DEFAULT.reconnect_cap_s,
-                     width_s: float | None = None, split: bool | None = None) -> DataFrame:
+                     ranges: int | None = None, split: bool | None = None) -> DataFrame:
     """Delay after each failed connection: ``2^n`` seconds up to the cap.
 
     ``attempts`` has ``client_id, ts, event_id, ok``; ``n`` counts the failures since the
@@ -95,7 +95,7 @@ def reconnect_delays(attempts: DataFrame, cap_s: int = DEFAULT.reconnect_cap_s,
     running values, so that a client's timeline can be cut anywhere.
     """
     line = Timeline(["client_id"], ["ts", "event_id"], split)
-    df = line.spread(attempts, seconds("ts"), width_s)
+    df = line.spread(attempts, ranges)
     failed = (~F.col("ok")).cast("long")
     df = line.window(df, _fails=line.running_sum(failed, inclusive=False))
     at_success: Column = F.when(F.col("ok"), F.col("_fails"))

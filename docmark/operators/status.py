@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from docmark import dims
 from docmark.limits import DEFAULT
-from docmark.operators.carry import BUCKET, Timeline, seconds
+from docmark.operators.carry import Timeline
 
 ORDER = ("ts", "event_id")
 _BEATS_PER_SLICE = 10_000
@@ -68,8 +68,17 @@ def finished_tasks(events: DataFrame) -> DataFrame:
 # --- acceptance and expiry ---------------------------------------------------
 
 
+def _accepted(line: Timeline, df: DataFrame, ttl_s: int | None) -> DataFrame:
+    df = line.window(df, _before=line.lag("ts"))
+    init = F.col("op") == "init"
+    lapsed = F.lit(False) if ttl_s is None else (F.col("ts") > _after(F.col("_before"), ttl_s))
+    starts = init | F.col("_before").isNull() | lapsed
+    df = line.window(df, _known=line.running_last(F.when(starts, init)))
+    return df.filter(F.col("_known")).drop("_before", "_known")
+
+
 def accepted_events(events: DataFrame, ttl_s: int | None = None,
-                    width_s: float | None = None, split: bool | None = None) -> DataFrame:
+                    ranges: int | None = None, split: bool | None = None) -> DataFrame:
     """Events that find their task known and not expired; inits are always accepted.
 
     A gap over the TTL, or an init, starts an island. Only islands that start with an
@@ -77,31 +86,66 @@ def accepted_events(events: DataFrame, ttl_s: int | None = None,
     that renews the TTL.
     """
     line = Timeline(["task_id"], ORDER, split)
-    df = line.spread(events, seconds("ts"), width_s)
-    df = line.window(df, _prev=line.lag("ts"))
-    init = F.col("op") == "init"
-    lapsed = F.lit(False) if ttl_s is None else (F.col("ts") > _after(F.col("_prev"), ttl_s))
-    starts = init | F.col("_prev").isNull() | lapsed
-    df = line.window(df, _known=line.running_last(F.when(starts, init)))
-    return df.filter(F.col("_known")).select(*events.columns)
+    return _accepted(line, line.spread(events, ranges), ttl_s).select(*events.columns)
 
 
 def apply_known_tasks(updates: DataFrame, inits: DataFrame, ttl_s: int | None = None,
-                      width_s: float | None = None, split: bool | None = None) -> DataFrame:
+                      ranges: int | None = None, split: bool | None = None) -> DataFrame:
     """Updates of tasks with an init before them and no expiry between."""
     both = updates.unionByName(inits)
-    return accepted_events(both, ttl_s, width_s, split).filter(F.col("op") != "init")
+    return accepted_events(both, ttl_s, ranges, split).filter(F.col("op") != "init")
+
+
+def task_lives(events: DataFrame, ttl_s: int | None = None, ranges: int | None = None,
+               split: bool | None = None) -> DataFrame:
+    """The writes that are accepted, each with what it means in its task's life.
+
+    Adds ``_changed`` (its stage is another than the one before in this life), ``_over`` (a
+    terminal state was sent before), ``_fresh`` (starts a life), ``_next`` (time of the next
+    write in any life) and ``_reason`` (the state's reason after it).
+    """
+    plain = [c for c, v in (("_carried", False), ("_done", False)) if c not in events.columns]
+    events = events.withColumns({c: F.lit(False) for c in plain})
+    line = Timeline(["task_id"], ORDER, split)
+    df = line.spread(events, ranges)
+    if ttl_s is not None:
+        df = _accepted(line, df, ttl_s)
+    # a failure's reason stays until an init clears it
+    told = F.when(F.col("_carried") | (F.col("op") == "fail"), F.col("error_reason"))
+    df = line.window(
+        df, _prev=line.lag(F.struct("ts", "stage")), _next=line.lead("ts"),
+        _told=line.running_last(F.when(F.col("op") != "advance", F.struct(told.alias("reason")))))
+    lapsed = F.lit(False) if ttl_s is None else F.col("ts") > _after(F.col("_prev.ts"), ttl_s)
+    df = df.withColumn("_fresh", F.col("_prev").isNull() | lapsed)
+    ends = is_terminal(F.col("status")) | F.col("_done")
+    df = line.window(df, _ended=line.running_last(
+        F.when(ends, True).when(F.col("_fresh"), False), inclusive=False))
+    before = F.when(~F.col("_fresh"), F.col("_prev.stage"))
+    return df.select(
+        *events.columns, "_fresh", "_next", F.col("_told.reason").alias("_reason"),
+        (~F.col("stage").eqNullSafe(before)).alias("_changed"),
+        (~F.col("_fresh") & F.coalesce("_ended", F.lit(False))).alias("_over"))
+
+
+def _lapses(ttl_s: int | None, until: Column | None) -> Column:
+    """Whether a life ends after this write, as far as is known."""
+    if ttl_s is None:
+        return F.lit(False)
+    expiry = _after(F.col("ts"), ttl_s)
+    known = F.lit(False) if until is None else until.cast("timestamp") > expiry
+    return F.when(F.col("_next").isNull(), F.coalesce(known, F.lit(False))).otherwise(
+        F.col("_next").cast("timestamp") > expiry)
 
 
 def state_ttl(events: DataFrame, ttl_s: int = DEFAULT.state_ttl_s,
-              width_s: float | None = None, split: bool | None = None) -> DataFrame:
+              ranges: int | None = None, split: bool | None = None) -> DataFrame:
     """Add ``expires_at``, ``valid_until`` and ``lapsed`` to every write.
 
     A state can be read from its write until the next write or its expiry, whichever
     is first; ``lapsed`` tells that no write renewed it in time.
     """
     line = Timeline(["task_id"], ORDER, split)
-    df = line.spread(events, seconds("ts"), width_s)
+    df = line.spread(events, ranges)
     df = line.window(df, _next=line.lead("ts"))
     expires = _after(F.col("ts"), ttl_s)
     nxt = F.col("_next").cast("timestamp")
@@ -130,26 +174,36 @@ def without_purged(rows: DataFrame, purged: DataFrame, key: str = "task_id") ->
 # --- progress of a task ------------------------------------------------------
 
 
-def stage_transitions(events: DataFrame, width_s: float | None = None,
-                      split: bool | None = None) -> DataFrame:
+def stage_transitions(events: DataFrame, ranges: int | None = None, split: bool | None = None,
+                      ttl_s: int | None = None, until: Column | None = None) -> DataFrame:
     """Rows a progress stream sends: each change of stage, and the terminal state once more.
 
-    A change of stage into a terminal status gives two rows (``emit_no`` 1 and 2);
-    nothing follows a task's first terminal event.
+    A change of stage into a terminal status gives two rows (``emit_no`` 1 and 2); nothing follows
+    the first terminal event of a life. A life that lapses without one is closed by a row with
+    ``error`` task_not_found at its expiry, and an init after that starts anew.
     """
-    line = Timeline(["task_id"], ORDER, split)
-    terminal = is_terminal(F.col("status")).cast("int")
-    df = line.spread(events, seconds("ts"), width_s)
-    df = line.window(
-        df,
-        _prev=line.lag("stage"),
-        _ended=line.running_max(terminal, inclusive=False))
-    changed = (~F.col("stage").eqNullSafe(F.col("_prev"))).cast("int")
-    copies = changed + terminal
-    live = df.filter(F.coalesce(F.col("_ended"), F.lit(0)) == 0).withColumn("_copies", copies)
-    return live.filter(F.col("_copies") > 0).select(
-        "task_id", "event_id", "ts", "stage", "status", "error_reason",
-        F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("emit_no"))
+    return transitions_of(task_lives(events, ttl_s, ranges, split), ttl_s, until)
+
+
+def transitions_of(lives: DataFrame, ttl_s: int | None, until: Column | None = None) -> DataFrame:
+    ends = is_terminal(F.col("status"))
+    seen = ~F.col("_over") & ~F.col("_carried")
+    closes = ~F.col("_over") & ~ends & ~F.col("_done") & F.col("_lapses")
+    ts = F.col("ts").cast("timestamp")
+    state = [F.col(c).alias(c) for c in ("stage", "status", "error_reason")]
+    none = [F.lit(None).cast("string").alias(c) for c in ("stage", "status", "error_reason")]
+
+    def row(on: Column, at: Column, values: list[Column], emit_no: Column, error: str | None) -> Column:
+        return F.struct(
+            on.alias("on"), at.alias("ts"), *values, emit_no.cast("int").alias("emit_no"),
+            F.lit(error).cast("string").alias("error"))
+
+    sent = F.array(
+        row(seen & F.col("_changed"), ts, state, F.lit(1), None),
+        row(seen & ends, ts, state, F.col("_changed").cast("int") + 1, None),
+        row(closes, _after(F.col("ts"), ttl_s or 0), none, F.lit(1), dims.TASK_NOT_FOUND))
+    ended = lives.withColumn("_lapses", _lapses(ttl_s, until))
+    return ended.select("task_id", "event_id", F.inline(F.filter(sent, lambda r: r["on"]))).drop("on")
 
 
 def check_heartbeat(interval_s: int) -> None:
@@ -160,34 +214,41 @@ def check_heartbeat(interval_s: int) -> None:
 
 def heartbeats(emitted: DataFrame, interval_s: int = DEFAULT.heartbeat_s,
                check_range: bool = True, until: Column | None = None,
-               width_s: float | None = None, split: bool | None = None) -> DataFrame:
+               ranges: int | None = None, split: bool | None = None,
+               after: Column | None = None, key: str = "task_id") -> DataFrame:
     """One beat per full idle interval after each sent row, until the next one is sent.
 
-    No beat follows a terminal row. After a task's last row beats go on to ``until``
-    (exclusive), or stop when it is not given. Long gaps are expanded slice by slice,
-    so that no single array holds all beats of a gap.
+    No beat follows a terminal or closing row. After a key's last row beats go on to ``until``
+    (exclusive), or stop when it is not given; only beats after ``after`` are given. Long gaps
+    are expanded slice by slice, so that no single array holds all beats of a gap.
     """
     if check_range:
         check_heartbeat(interval_s)
-    line = Timeline(["task_id"], [*ORDER, "emit_no"], split)
-    df = line.spread(emitted, seconds("ts"), width_s)
+    order = [c for c in (*ORDER, "kind", "emit_no") if c in emitted.columns]
+    line = Timeline([key], order, split)
+    df = line.spread(emitted, ranges)
     df = line.window(df, _next=line.lead("ts"))
     end = F.col("_next") if until is None else F.coalesce(F.col("_next"), until)
     start_us = F.unix_micros(F.col("ts").cast("timestamp"))
     step_us = interval_s * 1_000_000
     beats = F.floor((F.unix_micros(end.cast("timestamp")) - start_us - 1) / F.lit(step_us))
+    first = F.lit(1).cast("long")
+    if after is not None:
+        past = F.floor((F.unix_micros(after.cast("timestamp")) - start_us) / F.lit(step_us))
+        first = F.greatest(first, F.coalesce(past, F.lit(0)).cast("long") + 1)
+    ended = is_terminal(F.col("status"))
+    if "error" in emitted.columns:
+        ended = ended | F.col("error").isNotNull()
     idle = (
-        df.filter(~is_terminal(F.col("status")))
-        .select("task_id", "event_id", start_us.alias("_us"), beats.cast("long").alias("_n"))
-        .filter(F.col("_n") > 0))
+        df.filter(~ended)
+        .select(key, "event_id", start_us.alias("_us"), first.alias("_first"), beats.cast("long").alias("_n"))
+        .filter(F.col("_n") >= F.col("_first")))
     size = F.lit(_BEATS_PER_SLICE).cast("long")
-    sliced = idle.withColumn(
-        "_slice",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / size))))
-    low = F.col("_slice") * size + 1
-    high = F.least(F.col("_n"), (F.col("_slice") + 1) * size)
-    return sliced.withColumn("beat_no", F.explode(F.sequence(low, high))).select(
-        "task_id", "event_id", "beat_no",
+    sliced = idle.withColumn("_slice", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("_n") - F.col("_first")) / size))))
+    low = F.col("_first") + F.col("_slice") * size
+    return sliced.withColumn("beat_no", F.explode(F.sequence(low, F.least(F.col("_n"), low + size - 1)))).select(
+        key, "event_id", "beat_no",
         F.timestamp_micros(F.col("_us") + F.col("beat_no") * step_us).alias("beat_at"))
 
 
@@ -269,58 +330,93 @@ def batch_barrier(states: DataFrame, timeout_s: int = DEFAULT.barrier_timeout_s)
         "members", "included")
 
 
-def rollup_history(events: DataFrame, members: DataFrame, width_s: float | None = None,
-                   split: bool | None = None) -> DataFrame:
-    """The batch roll-up after each event of a member (``batch_id, pos, task_id``).
+def member_changes(lives: DataFrame, ttl_s: int | None, until: Column | None = None) -> DataFrame:
+    """Each write as a state of its task (``kind`` 0), and the end of each life (``kind`` 1)."""
+    ts = F.col("ts").cast("timestamp")
+    none = F.lit(None).cast("string")
+    change = lambda on, at, kind, stage, status, reason: F.struct(
+        on.alias("on"), at.alias("ts"), F.lit(kind).alias("kind"), stage.alias("stage"),
+        status.alias("status"), reason.alias("error_reason"))
+    rows = F.array(
+        change(F.lit(True), ts, 0, F.col("stage"), F.col("status"), F.col("_reason")),
+        change(F.col("_lapses"), _after(F.col("ts"), ttl_s or 0), 1, none, none, none))
+    carried = F.col("_carried") & (F.col("kind") == 0)
+    ended = lives.withColumn("_lapses", _lapses(ttl_s, until))
+    return ended.select("task_id", "event_id", "_carried", F.inline(F.filter(rows, lambda r: r["on"]))).select(
+        "task_id", "event_id", "ts", "kind", "stage", "status", "error_reason", carried.alias("_carried"))
+
+
+def rollup_history(events: DataFrame, members: DataFrame, ranges: int | None = None,
+                   split: bool | None = None, ttl_s: int | None = None, until: Column | None = None,
+                   max_members: int = DEFAULT.max_batch_files) -> DataFrame:
+    """The batch roll-up after each write of a member, and after the end of each member's life.
+
+    ``members`` has ``batch_id, pos, task_id`` with ``pos`` from 0 and under ``max_members``;
+    others are an error. See :func:`batch_rollup` for the rule; a batch without any living
+    member has ``error`` no_tasks_found.
+    """
+    changes = member_changes(task_lives(events, ttl_s, ranges, split), ttl_s, until)
+    return rollups_of(changes.join(members.select("batch_id", "pos", "task_id"), "task_id"),
+                      ranges, split, max_members).drop("_carried")
+
 
-    Events are turned into changes of counters (members known, ended well, failed, and
-    at each stage), which are summed along the batch's timeline; no member list is
-    collected. Tasks are initialised once, so the first reason in member order stays.
+def rollups_of(changes: DataFrame, ranges: int | None = None, split: bool | None = None,
+               max_members: int = DEFAULT.max_batch_files) -> DataFrame:
+    """Roll-ups after each of the changes (with ``batch_id, pos``).
+
+    A batch holds few members, so the last state of each is one running value, and the
+    rule is applied to the array of them in member order.
     """
-    of_task = Timeline(["task_id"], ORDER, split)
-    ev = of_task.spread(events, seconds("ts"), width_s)
-    ev = of_task.window(ev, _prev=of_task.lag(F.struct("stage", "status"))).drop(BUCKET)
-    ev = ev.join(members.select("batch_id", "pos", "task_id"), "task_id")
-
-    def change(now: Column, before: Column) -> Column:
-        was = F.when(F.col("_prev").isNull(), 0).otherwise(F.coalesce(before, F.lit(False)).cast("int"))
-        return F.coalesce(now, F.lit(False)).cast("int") - was
-
-    rank, was_rank = dims.stage_rank(F.col("stage")), dims.stage_rank(F.col("_prev.stage"))
-    line = Timeline(["batch_id"], ORDER, split)
-    ev = line.spread(ev, seconds("ts"), width_s)
-    reason = F.when(
-        (F.col("op") == "fail") & (F.col("error_reason") != ""),
-        F.struct("pos", "error_reason"))
-    ev = line.window(
-        ev,
-        _known=line.running_sum(F.col("_prev").isNull().cast("int")),
-        _good=line.running_sum(
-            change(F.col("status") == "SUCCESS", F.col("_prev.status") == "SUCCESS")),
-        _bad=line.running_sum(
-            change(F.col("status") == "FAILURE", F.col("_prev.status") == "FAILURE")),
-        **{f"_at{i}": line.running_sum(change(rank == i, was_rank == i))
-           for i in range(len(dims.STAGES))},
-        _reason=line.running_min(reason))
-    status = F.when(F.col("_good") == F.col("_known"), "SUCCESS").when(
-        F.col("_bad") > 0, "FAILURE").otherwise("ACTIVE")
-    stage = F.coalesce(*[
-        F.when(F.col(f"_at{i}") > 0, s) for i, s in enumerate(dims.STAGES)])
-    return ev.select(
-        "batch_id", "event_id", "ts", status.alias("status"), stage.alias("stage"),
-        F.col("_reason.error_reason").alias("error_reason"))
-
-
-def batch_transitions(rollups: DataFrame, width_s: float | None = None,
+    place = F.when(F.col("pos").between(0, max_members - 1), F.col("pos")).otherwise(F.raise_error(
+        F.concat(F.lit(f"more than {max_members} members in batch "), F.col("batch_id").cast("string"))))
+    line = Timeline(["batch_id"], [*ORDER, "kind"], split)
+    own = [c for c in changes.columns if c not in ("task_id", "pos", "stage", "status", "error_reason")]
+    state = F.struct("stage", "status", "error_reason", (F.col("kind") == 0).alias("alive"))
+    df = line.spread(changes.withColumn("pos", place.cast("int")), ranges)
+    df = line.window(df, **{
+        f"_m{i}": line.running_last(F.when(F.col("pos") == i, state)) for i in range(max_members)})
+    alive = F.filter(F.array(*[f"_m{i}" for i in range(max_members)]), lambda m: m["alive"])
+    df = df.withColumn("_alive", alive)
+    any_of = lambda test: F.exists("_alive", lambda m: F.coalesce(test(m["status"]), F.lit(False)))
+    status = F.when(F.size("_alive") == 0, None).when(
+        ~any_of(lambda s: ~s.eqNullSafe(F.lit("SUCCESS"))), "SUCCESS").when(
+        any_of(lambda s: s == "FAILURE"), "FAILURE").otherwise("ACTIVE")
+    earliest = F.array_min(F.transform("_alive", lambda m, i: F.struct(
+        dims.stage_rank(m["stage"]).alias("rank"), i.alias("i"), m["stage"].alias("stage"))))
+    reasons = F.filter(F.transform("_alive", lambda m: m["error_reason"]), lambda r: r != "")
+    return df.select(
+        *own, status.alias("status"), earliest["stage"].alias("stage"), F.get(reasons, F.lit(0)).alias("error_reason"),
+        F.when(F.size("_alive") == 0, dims.NO_TASKS_FOUND).alias("error"))
+
+
+def batch_transitions(rollups: DataFrame, ranges: int | None = None,
                       split: bool | None = None) -> DataFrame:
-    """Roll-ups that differ from the one before, up to and with the first terminal one."""
-    line = Timeline(["batch_id"], ORDER, split)
-    df = line.spread(rollups, seconds("ts"), width_s)
+    """Roll-ups that differ from the one before, up to and with the first terminal one.
+
+    When no member is alive any more, that is sent as the last row; a member that starts later
+    begins anew.
+    """
+    return followed_rollups(rollups, ranges, split).filter("_emit").select(*rollups.columns)
+
+
+def followed_rollups(rollups: DataFrame, ranges: int | None = None, split: bool | None = None) -> DataFrame:
+    """Adds ``_emit``, whether a roll-up is sent, and ``_mark``: true where sending ends, false where
+    it can begin anew.
+
+    On streams, ``_carried`` rows have in ``_sent`` what was sent last, and in ``_done`` whether
+    sending had ended.
+    """
+    streamed = "_carried" in rollups.columns
+    carried = F.col("_carried") if streamed else F.lit(False)
     state = F.struct("status", "stage", "error_reason")
+    none_left = F.col("error").isNotNull() if "error" in rollups.columns else F.lit(False)
+    mark = F.when(none_left, False).when(is_terminal(F.col("status")), True)
+    if streamed:
+        mark = F.when(carried, F.coalesce("_done", F.lit(False))).otherwise(mark)
+    line = Timeline(["batch_id"], [c for c in (*ORDER, "kind") if c in rollups.columns], split)
+    df = line.spread(rollups.withColumn("_mark", mark), ranges)
+    last = F.when(carried, F.col("_sent")).otherwise(state) if streamed else state
     df = line.window(
-        df,
-        _prev=line.lag(state),
-        _ended=line.running_max(is_terminal(F.col("status")).cast("int"), inclusive=False))
+        df, _prev=line.lag(last), _ended=line.running_last(F.col("_mark"), inclusive=False))
     fresh = ~state.eqNullSafe(F.col("_prev"))
-    return df.filter((F.coalesce(F.col("_ended"), F.lit(0)) == 0) & fresh).select(
-        *rollups.columns)
+    return df.withColumn("_emit", ~carried & fresh & ~F.coalesce("_ended", F.lit(False)))

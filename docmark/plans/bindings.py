@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmark.limits import DEFAULT
-from docmark.operators.carry import Timeline, has_large_key, seconds
+from docmark.operators.carry import Timeline, has_large_key
 from docmark.sources.uploads import uploads_from_table
 
 LIMITS = DEFAULT
@@ -14,6 +14,7 @@ SMALL_LIMIT = 16_384  # only for the query that shows the size rejection
 TTL_S = 43_200
 KEEP_S = 86_400
 BEAT_S = 3_600
+STREAM_FILES, STREAM_FILE_ROWS = 3, 1_000_000
 FAIL_REASON = "The document could not be converted to Markdown."
 PATTERNS = (b'token = "', b"PRIVATE KEY")
 EXTENSIONS = {5: ".csv", 6: ".json", 7: ".pdf", 8: ".docx", 9: ".exe"}
@@ -99,7 +100,7 @@ def status_events(spark: SparkSession, sf_dir: str, split: bool | None = None) -
     """A user's events as the life of tasks: each signup starts the user's next one."""
     ev = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     line = Timeline(["user_id"], ["ts", "event_id"], split)
-    ev = line.spread(ev, seconds("ts"))
+    ev = line.spread(ev)
     ev = line.window(
         ev, run=line.running_sum((F.col("event_type") == "signup").cast("long")))
     kind = F.col("event_type")

@@ -147,18 +147,30 @@ accepted AS (
     PARTITION BY task_id, island ORDER BY ts, event_id) AS opener FROM islands)
   WHERE opener = 'init')"""
 
-TRANSITIONS = """
-flagged AS (
-  SELECT *, stage IS DISTINCT FROM lag(stage) OVER w AS changed,
-    status IN ('SUCCESS', 'FAILURE') AS terminal,
-    coalesce(max(CASE WHEN status IN ('SUCCESS', 'FAILURE') THEN 1 ELSE 0 END) OVER (
-      PARTITION BY task_id ORDER BY ts, event_id
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended
-  FROM {src} WINDOW w AS (PARTITION BY task_id ORDER BY ts, event_id)),
+# lives of tasks: writes with no gap over the TTL between them
+_LAST = "(SELECT max(ts) FROM events)"
+LIVES = f"""
+writes AS (
+  SELECT *, lag(ts) OVER w AS before, lead(ts) OVER w AS nxt, status IN ('SUCCESS', 'FAILURE') AS terminal
+  FROM accepted WINDOW w AS (PARTITION BY task_id ORDER BY ts, event_id)),
+numbered AS (
+  SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL {b.TTL_S} SECOND THEN 1 ELSE 0 END) OVER (
+    PARTITION BY task_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS life FROM writes),
+lives AS (
+  SELECT *, stage IS DISTINCT FROM lag(stage) OVER l AS changed,
+    count(*) FILTER (WHERE terminal) OVER (
+      PARTITION BY task_id, life ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS ended,
+    last_value(CASE op WHEN 'fail' THEN coalesce(error_reason, '') WHEN 'init' THEN '' END IGNORE NULLS) OVER (
+      PARTITION BY task_id, life ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS reason,
+    ts + INTERVAL {b.TTL_S} SECOND AS expiry,
+    CASE WHEN nxt IS NULL THEN expiry <= {_LAST} ELSE nxt > expiry END AS lapses
+  FROM numbered WINDOW l AS (PARTITION BY task_id, life ORDER BY ts, event_id)),
 sent AS (
-  SELECT task_id, event_id, ts, stage, status, error_reason, n::INTEGER AS emit_no
-  FROM flagged, (VALUES (1), (2)) v(n)
-  WHERE ended = 0 AND n <= changed::INT + terminal::INT)"""
+  SELECT task_id, event_id, ts, stage, status, error_reason, n::INTEGER AS emit_no, NULL::VARCHAR AS error
+  FROM lives, (VALUES (1), (2)) v(n) WHERE NOT ended AND n <= changed::INT + terminal::INT
+  UNION ALL
+  SELECT task_id, event_id, expiry, NULL, NULL, NULL, 1, {_q(dims.TASK_NOT_FOUND)}
+  FROM lives WHERE NOT ended AND NOT terminal AND lapses)"""
 
 LAYOUT = """
 items AS (
@@ -572,45 +584,62 @@ SELECT (SELECT count(DISTINCT user_id) FROM events) AS visitors,
 
 add("latest_state", STATUS, LATEST, select="""
 SELECT task_id, stage, status, error_reason, epoch_us(updated_at) AS updated_at FROM latest""")
-add("stage_transitions", STATUS, TRANSITIONS.format(src="ev"), select="""
-SELECT task_id, event_id, stage, status, error_reason, emit_no FROM sent""")
-add("heartbeats", STATUS, TRANSITIONS.format(src="ev"), select=f"""
-, nxt AS (
-  SELECT *, coalesce(lead(ts) OVER (PARTITION BY task_id ORDER BY ts, event_id, emit_no),
-    (SELECT max(ts) FROM events)) AS until FROM sent),
+_LIVED = (STATUS, ACCEPTED.format(ttl=b.TTL_S), LIVES)
+_SENT_SELECT = """
+SELECT task_id, event_id, stage, status, error_reason, emit_no, error, epoch_us(ts) AS sent_at FROM sent"""
+
+
+def _beats(key: str, rows: str, order: str) -> str:
+    return f"""
+, followed AS (
+  SELECT *, coalesce(lead(ts) OVER (PARTITION BY {key} ORDER BY {order}),
+    {_LAST} + INTERVAL 1 MICROSECOND) AS until FROM {rows}),
 beats AS (
-  SELECT task_id, event_id, ts, until,
+  SELECT {key}, event_id, ts, until,
     unnest(generate_series(1, (epoch_us(until) - epoch_us(ts)) // {b.BEAT_S * 1_000_000} + 1)) AS beat_no
-  FROM nxt WHERE status NOT IN ('SUCCESS', 'FAILURE'))
-SELECT task_id, event_id, beat_no, epoch_us(ts) + beat_no * {b.BEAT_S * 1_000_000} AS beat_at
-FROM beats WHERE epoch_us(ts) + beat_no * {b.BEAT_S * 1_000_000} < epoch_us(until)""")
+  FROM followed WHERE status NOT IN ('SUCCESS', 'FAILURE') AND error IS NULL)
+SELECT {key}, event_id, beat_no, epoch_us(ts) + beat_no * {b.BEAT_S * 1_000_000} AS beat_at
+FROM beats WHERE epoch_us(ts) + beat_no * {b.BEAT_S * 1_000_000} < epoch_us(until)"""
+
 
-# as-of states of every member at every event of its batch, by brute force
+add("stage_transitions", *_LIVED, select=_SENT_SELECT)
+add("heartbeats", *_LIVED, select=_beats("task_id", "sent", "ts, event_id, emit_no"))
+
+# as-of states of every member at every change of its batch, by brute force
 _BATCH_SENT = f"""
-known AS (
-  SELECT e.*, m.batch_id, m.pos FROM ev e JOIN run_members m USING (task_id)),
+changes AS (
+  SELECT task_id, event_id, ts, 0 AS kind, stage, status, reason FROM lives
+  UNION ALL SELECT task_id, event_id, expiry, 1, NULL, NULL, NULL FROM lives WHERE lapses),
+spans AS (
+  SELECT m.batch_id, m.pos, c.*, row(c.ts, c.event_id, c.kind) AS at,
+    lead(row(c.ts, c.event_id, c.kind)) OVER (PARTITION BY c.task_id ORDER BY c.ts, c.event_id, c.kind) AS upto
+  FROM changes c JOIN run_members m USING (task_id)),
 states_then AS (
-  SELECT a.batch_id, a.event_id, a.ts, k.task_id, k.pos,
-    max_by(k.stage, row(k.ts, k.event_id)) AS stage, max_by(k.status, row(k.ts, k.event_id)) AS status,
-    max_by(k.error_reason, row(k.ts, k.event_id)) FILTER (WHERE k.op = 'fail') AS error_reason
-  FROM known a JOIN known k ON a.batch_id = k.batch_id AND row(k.ts, k.event_id) <= row(a.ts, a.event_id)
-  GROUP BY ALL),
+  SELECT a.batch_id, a.event_id, a.ts, a.kind, k.pos, k.stage, k.status, k.reason
+  FROM spans a LEFT JOIN spans k ON a.batch_id = k.batch_id AND k.kind = 0 AND k.at <= a.at
+    AND (k.upto IS NULL OR k.upto > a.at)),
 rolled AS (
-  SELECT batch_id, event_id, ts,
-    CASE WHEN bool_and(status = 'SUCCESS') THEN 'SUCCESS' WHEN bool_or(status = 'FAILURE') THEN 'FAILURE'
-      ELSE 'ACTIVE' END AS status,
+  SELECT batch_id, event_id, ts, kind,
+    CASE WHEN count(pos) = 0 THEN NULL WHEN bool_and(status = 'SUCCESS') THEN 'SUCCESS'
+      WHEN bool_or(status = 'FAILURE') THEN 'FAILURE' ELSE 'ACTIVE' END AS status,
     first(stage ORDER BY {_RANK}, pos) AS stage,
-    first(error_reason ORDER BY pos) FILTER (WHERE error_reason <> '') AS error_reason
+    first(reason ORDER BY pos) FILTER (WHERE reason <> '') AS error_reason,
+    CASE WHEN count(pos) = 0 THEN {_q(dims.NO_TASKS_FOUND)} END AS error
   FROM states_then GROUP BY ALL),
-batch_sent AS (
+watched AS (
   SELECT *, lag({{'a': status, 'b': stage, 'c': error_reason}}) OVER w AS prev,
-    count(*) FILTER (WHERE status IN ('SUCCESS', 'FAILURE')) OVER (
-      PARTITION BY batch_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended
-  FROM rolled WINDOW w AS (PARTITION BY batch_id ORDER BY ts, event_id))"""
+    count(error) OVER (PARTITION BY batch_id ORDER BY ts, event_id, kind
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS watch
+  FROM rolled WINDOW w AS (PARTITION BY batch_id ORDER BY ts, event_id, kind)),
+batch_sent AS (
+  SELECT * FROM (SELECT *, count(*) FILTER (WHERE status IN ('SUCCESS', 'FAILURE')) OVER (
+      PARTITION BY batch_id, watch ORDER BY ts, event_id, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended
+    FROM watched)
+  WHERE ended = 0 AND {{'a': status, 'b': stage, 'c': error_reason}} IS DISTINCT FROM prev)"""
 _BATCH_SELECT = """
-SELECT batch_id, event_id, status, stage, error_reason FROM batch_sent
-WHERE ended = 0 AND {'a': status, 'b': stage, 'c': error_reason} IS DISTINCT FROM prev"""
-add("batch_transitions", STATUS, MEMBERS, _BATCH_SENT, select=_BATCH_SELECT)
+SELECT batch_id, event_id, status, stage, error_reason, error, epoch_us(ts) AS sent_at FROM batch_sent"""
+add("batch_transitions", *_LIVED, MEMBERS, _BATCH_SENT, select=_BATCH_SELECT)
+add("batch_heartbeats", *_LIVED, MEMBERS, _BATCH_SENT, select=_beats("batch_id", "batch_sent", "ts, event_id, kind"))
 
 add("order_tables", LAYOUT, select="""
 SELECT doc_id, page_no, table_id, table_no, top, bottom FROM tables_ordered""")
@@ -645,22 +674,9 @@ FROM (SELECT *, lead(ts) OVER (PARTITION BY task_id ORDER BY ts, event_id) AS nx
 add("retention", STATUS, FINISHED, select=f"""
 SELECT task_id, status, epoch_us(finished_at) AS finished_at,
   finished_at + INTERVAL {b.KEEP_S} SECOND > (SELECT max(ts) FROM events) AS kept FROM finished""")
-_STREAMED = (STATUS, ACCEPTED.format(ttl=b.TTL_S), TRANSITIONS.format(src="accepted"))
-add("stream_transitions", *_STREAMED, select="""
-SELECT task_id, event_id, stage, status, error_reason, emit_no FROM sent""")
-add("stream_heartbeats", *_STREAMED, select=f"""
-, last_write AS (SELECT task_id, max(ts) AS wrote FROM accepted GROUP BY task_id),
-nxt AS (
-  SELECT s.*, coalesce(lead(ts) OVER (PARTITION BY task_id ORDER BY ts, event_id, emit_no),
-    least((SELECT max(date_trunc('millisecond', ts)) - INTERVAL 1 SECOND FROM events), wrote + INTERVAL {b.TTL_S} SECOND)) AS until
-  FROM sent s JOIN last_write USING (task_id)),
-beats AS (
-  SELECT task_id, epoch_us(ts) AS t, epoch_us(until) AS u,
-    unnest(generate_series(1, (epoch_us(until) - epoch_us(ts)) // {b.BEAT_S * 1_000_000} + 1)) AS k
-  FROM nxt WHERE status NOT IN ('SUCCESS', 'FAILURE') AND until > ts)
-SELECT task_id, t + k * {b.BEAT_S * 1_000_000} AS beat_at FROM beats
-WHERE t + k * {b.BEAT_S * 1_000_000} < u""")
-add("stream_rollup", STATUS, MEMBERS, _BATCH_SENT, select=_BATCH_SELECT)
+add("stream_transitions", *_LIVED, select=_SENT_SELECT)
+add("stream_heartbeats", *_LIVED, select=_beats("task_id", "sent", "ts, event_id, emit_no"))
+add("stream_rollup", *_LIVED, MEMBERS, _BATCH_SENT, select=_BATCH_SELECT)
 add("stream_validate", UPLOADS, select="SELECT doc_id, mime, error FROM docs_checked")
 
 # --- whole pipeline ----------------------------------------------------------

@@ -29,8 +29,8 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def us(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp")).alias(ts)
+def us(ts: str, name: str | None = None) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp")).alias(name or ts)
 
 
 def digest(col: str, name: str) -> Column:
@@ -613,30 +613,57 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         "task_id", "stage", "status", "error_reason", us("updated_at"))
 
 
+def _until(spark: SparkSession, sf_dir: str) -> Column:
+    """Just after the last event: followers know all that happened up to it."""
+    return _now(spark, sf_dir) + F.expr("INTERVAL 0.000001 SECONDS")
+
+
+def _sent(spark: SparkSession, sf_dir: str, split: bool | None) -> DataFrame:
+    return status.stage_transitions(
+        b.status_events(spark, sf_dir, split), split=split, ttl_s=b.TTL_S, until=_until(spark, sf_dir))
+
+
+_SENT = ("task_id", "event_id", "stage", "status", "error_reason", "emit_no", "error")
+
+
 @query
 def stage_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = b.user_split(spark, sf_dir)
-    sent = status.stage_transitions(b.status_events(spark, sf_dir, split), split=split)
-    return sent.select(
-        "task_id", "event_id", "stage", "status", "error_reason", "emit_no")
+    sent = _sent(spark, sf_dir, b.user_split(spark, sf_dir))
+    return sent.select(*_SENT, us("ts", "sent_at"))
 
 
 @query
 def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = b.user_split(spark, sf_dir)
-    sent = status.stage_transitions(b.status_events(spark, sf_dir, split), split=split)
     beats = status.heartbeats(
-        sent, b.BEAT_S, check_range=False, until=_now(spark, sf_dir), split=split)
+        _sent(spark, sf_dir, split), b.BEAT_S, check_range=False, until=_until(spark, sf_dir), split=split)
     return beats.select("task_id", "event_id", "beat_no", us("beat_at"))
 
 
+def _batch_sent(spark: SparkSession, sf_dir: str, split: bool | None) -> DataFrame:
+    events = b.status_events(spark, sf_dir, split)
+    rollups = status.rollup_history(
+        events, b.run_members(events), split=split, ttl_s=b.TTL_S, until=_until(spark, sf_dir))
+    return status.batch_transitions(rollups, split=split)
+
+
+_ROLLED = ("batch_id", "event_id", "status", "stage", "error_reason", "error")
+
+
 @query
 def batch_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = _batch_sent(spark, sf_dir, b.user_split(spark, sf_dir))
+    return sent.select(*_ROLLED, us("ts", "sent_at"))
+
+
+@query
+def batch_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beats of the followers of batches."""
     split = b.user_split(spark, sf_dir)
-    events = status.accepted_events(b.status_events(spark, sf_dir, split), split=split)
-    rollups = status.rollup_history(events, b.run_members(events), split=split)
-    return status.batch_transitions(rollups, split=split).select(
-        "batch_id", "event_id", "status", "stage", "error_reason")
+    beats = status.heartbeats(
+        _batch_sent(spark, sf_dir, split), b.BEAT_S, check_range=False, until=_until(spark, sf_dir),
+        split=split, key="batch_id")
+    return beats.select("batch_id", "event_id", "beat_no", us("beat_at"))
 
 
 @query
@@ -685,34 +712,61 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
         "task_id", "status", us("finished_at"), "kept")
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """``(stream, table)`` of the status events, written once to the shared folder."""
-    path = scratch_path(spark, "status-events")
-    b.status_events(spark, sf_dir).write.parquet(path)
-    events = spark.read.parquet(path)
-    return spark.readStream.schema(events.schema).parquet(path), events
+def _arriving(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]:
+    """``(stream, table, folder)``: the status events as files that arrive one after the other.
+
+    A file holds what happened in a stretch of time and, in no order, rows that have slipped from
+    earlier ones by anything up to the TTL. A tick at the end moves the clock to the last event.
+    """
+    path = scratch_path(spark, "progress")
+    slip = F.pmod(F.xxhash64("event_id"), F.lit(b.TTL_S * 1_000_000))
+    b.status_events(spark, sf_dir).withColumn("_at", F.unix_micros("ts") + slip).write.parquet(f"{path}/log")
+    log = spark.read.parquet(f"{path}/log")
+    seen = log.agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("low"), F.max("_at").alias("high"),
+                   F.max("ts").alias("last")).first()
+    files = max(b.STREAM_FILES, -(-seen.n // b.STREAM_FILE_ROWS))
+    width = ((seen.high or 0) - (seen.low or 0)) // files + 1
+    log.withColumn("_file", F.floor((F.col("_at") - F.lit(seen.low)) / width)).repartition("_file").write.partitionBy(
+        "_file").parquet(f"{path}/parts")
+    parts = spark.read.schema(f"{progress.EVENTS}, _file long").parquet(f"{path}/parts")
+    for number in range(files):
+        parts.where(F.col("_file") == number).drop("_file").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    tick = log.agg((F.max("ts") + F.make_dt_interval(secs=F.lit(b.TTL_S))).alias("ts"))
+    tick.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name)
+                  for f in parts.drop("_file").schema]).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(progress.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return stream, log, path
+
+
+def _run(writer, spark: SparkSession, path: str, table: str) -> DataFrame:
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return progress.results(spark, path, table)
 
 
 @query
 def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream, _ = _event_stream(spark, sf_dir)
-    return run_to_table(progress.stream_transitions(stream, b.TTL_S), "transitions").select(
-        "task_id", "event_id", "stage", "status", "error_reason", "emit_no")
+    stream, _, path = _arriving(spark, sf_dir)
+    sent = _run(progress.stream_transitions(
+        stream, path, ttl_s=b.TTL_S, split=b.user_split(spark, sf_dir)), spark, path, "sent")
+    return sent.select(*_SENT, us("ts", "sent_at"))
 
 
 @query
 def stream_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream, _ = _event_stream(spark, sf_dir)
-    beats = progress.stream_heartbeats(stream, b.BEAT_S, b.TTL_S, check_range=False)
-    return run_to_table(beats, "heartbeats").select("task_id", us("beat_at"))
+    stream, _, path = _arriving(spark, sf_dir)
+    beats = _run(progress.stream_heartbeats(
+        stream, path, b.BEAT_S, check_range=False, ttl_s=b.TTL_S, split=b.user_split(spark, sf_dir)),
+        spark, path, "beats")
+    return beats.select("task_id", "event_id", "beat_no", us("beat_at"))
 
 
 @query
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream, events = _event_stream(spark, sf_dir)
-    out = progress.stream_rollup(stream, b.run_members(events), ttl_s=400 * 86_400)
-    return run_to_table(out, "rollup").select(
-        "batch_id", "event_id", "status", "stage", "error_reason")
+    stream, events, path = _arriving(spark, sf_dir)
+    rolled = _run(progress.stream_rollup(
+        stream, path, lambda _: b.run_members(events), ttl_s=b.TTL_S, split=b.user_split(spark, sf_dir)),
+        spark, path, "rollups")
+    return rolled.select(*_ROLLED, us("ts", "sent_at"))
 
 
 @query

@@ -35,3 +35,20 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
         .start(f"{path}/rows"))
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it names."""
+    store, at = _file_system(spark, path)
+    return store.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder; a missing one is no error."""
+    store, at = _file_system(spark, path)
+    store.delete(at, True)

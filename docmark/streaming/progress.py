@@ -1,244 +1,212 @@
 """Progress of tasks and batches on a stream of status events.
 
-State is kept per task (or per batch, whose members are bounded by the batch limit) and
-ends with its TTL, so it does not grow with the stream's age. Keys share state groups by
-hash; a group has one timeout, the earliest of its keys' next heartbeats and expiries.
+Each micro-batch applies the batch operators of :mod:`docmark.operators.status` to the events that
+became due and to one row for each task that is still alive, and writes its results, and the rows that
+carry on, as tables below one folder:
+
+* ``sent`` stage transitions, ``beats`` heartbeats, ``rollups`` changes of batches
+* ``late`` events that came after the clock had passed them; they change nothing
+* ``tasks`` the latest state of every live task, ``batches`` what was sent last of every live batch,
+  ``waiting`` events the clock has not reached yet
+* ``clock`` the time all this is complete up to, written last
+
+The clock is the latest event time less ``delay_s``, so events may come out of order by that much.
+The default is the TTL of states: whoever is later than that updates a state that has lapsed.
+A row without ``task_id`` is a tick, which moves the clock and nothing else.
+
+Every table has a folder for each micro-batch, which reads the folders of the micro-batch before and
+overwrites its own: a micro-batch that is played again changes nothing. The checkpoint lies beside
+the tables, so the numbers always are those of the query that wrote them.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
 
-from docmark import dims
 from docmark.limits import DEFAULT
-from docmark.operators.status import check_heartbeat
-
-# Rows and state cross to Python and back as JSON: one column costs much less per group
-# than one for each field.
-SENT = (
-    "task_id string, kind string, event_id long, us long, stage string, status string, "
-    "error_reason string, emit_no int")
-ROLLED = (
-    "batch_id string, event_id long, us long, status string, stage string, error_reason string")
-# A row at the watermark counts as late, so without a delay rows that share their time with
-# the last row of the batch before would be dropped.
-DELAY_S = 1
-# Keys are hashed into this many state groups. A call into Python costs far more than a
-# step of one key, so a group should hold tens to hundreds of live keys.
-SLOTS = 1024
-
-_RANK = {stage: i for i, stage in enumerate(dims.STAGES)}
-_FAR_US = 10**18
-
-
-def _ordered(frames: Iterator[pd.DataFrame]) -> list[dict]:
-    """A group's new rows in order."""
-    rows = [json.loads(text) for frame in frames for text in frame["row"]]
-    rows.sort(key=lambda row: (row["us"], row["event_id"]))
-    return rows
-
+from docmark.operators import status
+from docmark.scratch import exists, remove
+
+EVENTS = (
+    "task_id string, event_id long, ts timestamp, op string, stage string, status string, "
+    "error_reason string")
+_STATE = "status: string, stage: string, error_reason: string"
+SCHEMAS = {
+    "sent": "task_id string, event_id long, ts timestamp, stage string, status string, "
+            "error_reason string, emit_no int, error string",
+    "beats": "task_id string, event_id long, beat_no long, beat_at timestamp",
+    "rollups": "batch_id string, event_id long, ts timestamp, kind int, status string, stage string, "
+               "error_reason string, error string",
+    "late": EVENTS,
+    "waiting": EVENTS,
+    "tasks": "task_id string, event_id long, ts timestamp, stage string, status string, "
+             "error_reason string, done boolean, sent_event_id long, sent_at timestamp",
+    "batches": f"batch_id string, sent struct<{_STATE}>, done boolean",
+    "clock": "reached_us bigint",
+}
+_LIVE = ("tasks", "batches", "waiting")
+
+Members = Callable[[SparkSession], DataFrame]
+
+
+@dataclass(frozen=True)
+class Follower:
+    """What a micro-batch does; see the module. ``members`` gives the table of batch members anew for
+    each micro-batch, so that members which are added later take part from then on."""
+
+    path: str
+    ttl_s: int = DEFAULT.state_ttl_s
+    delay_s: int | None = None
+    interval_s: int | None = None
+    members: Members | None = None
+    max_members: int = DEFAULT.max_batch_files
+    split: bool | None = None
+
+    def folder(self, table: str, number: int) -> str:
+        return f"{self.path}/{table}/batch={number}"
+
+    def _read(self, spark: SparkSession, table: str, number: int) -> DataFrame:
+        if number < 0 or not exists(spark, self.folder(table, number)):
+            return spark.createDataFrame([], SCHEMAS[table])
+        return spark.read.schema(SCHEMAS[table]).parquet(self.folder(table, number))
+
+    def _write(self, rows: DataFrame, table: str, number: int) -> DataFrame:
+        names = rows.sparkSession.createDataFrame([], SCHEMAS[table]).columns
+        rows.select(*names).write.mode("overwrite").parquet(self.folder(table, number))
+        return self._read(rows.sparkSession, table, number)
+
+    def _clock(self, spark: SparkSession, number: int):
+        if number < 0:
+            return None
+        if not exists(spark, self.folder("clock", number)):
+            raise ValueError(f"{self.path} has no micro-batch {number}: it belongs to another query")
+        return self._read(spark, "clock", number).first().reached_us
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark, last = batch.sparkSession, number - 1
+        rows = batch.select(
+            "task_id", F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"),
+            "op", "stage", "status", "error_reason").persist()
+        before = self._clock(spark, last)
+        delay = self.ttl_s if self.delay_s is None else self.delay_s
+        latest = rows.agg(F.unix_micros(F.max("ts")).alias("us")).first().us
+        known = [us for us in (before, latest and latest - delay * 1_000_000) if us is not None]
+        reached = max(known) if known else None
+        past, clock = (F.timestamp_micros(F.lit(us).cast("long")) for us in (before, reached))
+        events = rows.where(F.col("task_id").isNotNull())
+        on_time = F.col("ts").isNotNull() if before is None else F.coalesce(F.col("ts") > past, F.lit(False))
+        self._write(events.where(~on_time), "late", number)
+        waiting = self._read(spark, "waiting", last).unionByName(events.where(on_time))
+        is_due = F.coalesce(F.col("ts") <= clock, F.lit(False))
+        self._write(waiting.where(~is_due), "waiting", number)
+        self._follow(spark, waiting.where(is_due), number, past, clock)
+        self._write(spark.createDataFrame([(reached,)], SCHEMAS["clock"]), "clock", number)
+        rows.unpersist()
+        for table in _LIVE:  # what the micro-batch before this one has read is not needed again
+            remove(spark, self.folder(table, number - 2))
+
+    def _follow(self, spark: SparkSession, due: DataFrame, number: int, past: Column, clock: Column) -> None:
+        tasks = self._read(spark, "tasks", number - 1)
+        carried = tasks.select(
+            "task_id", "event_id", "ts", F.lit("init").alias("op"), "stage", "status", "error_reason",
+            F.lit(True).alias("_carried"), F.col("done").alias("_done"),
+            F.struct("sent_event_id", "sent_at").alias("_last"))
+        due = due.withColumns({
+            "_carried": F.lit(False), "_done": F.lit(False),
+            "_last": F.lit(None).cast("struct<sent_event_id: bigint, sent_at: timestamp>")})
+        until = clock + F.expr("INTERVAL 0.000001 SECONDS")
+        lives = status.task_lives(due.unionByName(carried), self.ttl_s, split=self.split).persist()
+        sent = self._write(status.transitions_of(lives, self.ttl_s, until), "sent", number)
+        if self.interval_s is not None:
+            self._beat(tasks, sent, number, past, until)
+        self._write(self._alive(lives, clock), "tasks", number)
+        if self.members is not None:
+            self._roll_up(lives, number, until)
+        lives.unpersist()
+
+    def _beat(self, tasks: DataFrame, sent: DataFrame, number: int, past: Column, until: Column) -> None:
+        none = F.lit(None).cast("string")
+        idle = tasks.where(~F.col("done") & F.col("sent_at").isNotNull()).select(
+            "task_id", F.col("sent_event_id").alias("event_id"), F.col("sent_at").alias("ts"), "stage", "status",
+            "error_reason", F.lit(1).alias("emit_no"), none.alias("error"))
+        beats = status.heartbeats(
+            idle.unionByName(sent), self.interval_s, False, until, split=self.split, after=past)
+        self._write(beats, "beats", number)
+
+    def _alive(self, lives: DataFrame, clock: Column) -> DataFrame:
+        """The last write of every life that has not lapsed, with the row that was sent last."""
+        at = F.struct(*status.ORDER)
+        sent = F.when(F.col("_carried"), F.col("_last")).when(
+            F.col("_changed") & ~F.col("_over"),
+            F.struct(F.col("event_id").alias("sent_event_id"), F.col("ts").alias("sent_at"))).when(
+            F.col("_fresh"), F.lit(None).cast("struct<sent_event_id: bigint, sent_at: timestamp>"))
+        told = F.col("_carried") | F.col("_fresh") | (F.col("_changed") & ~F.col("_over"))
+        done = F.col("_over") | F.col("_done") | status.is_terminal(F.col("status"))
+        found = lives.groupBy("task_id").agg(
+            F.max_by(F.struct("event_id", "ts", "stage", "status", F.col("_reason").alias("error_reason"),
+                              done.alias("done")), at).alias("s"),
+            F.max_by(F.struct(sent.alias("v")), F.when(told, at)).alias("l"))
+        return found.select("task_id", "s.*", "l.v.sent_event_id", "l.v.sent_at").where(
+            F.col("ts") + F.make_dt_interval(secs=F.lit(self.ttl_s)) > clock)
+
+    def _roll_up(self, lives: DataFrame, number: int, until: Column) -> None:
+        spark = lives.sparkSession
+        members = self.members(spark).select("batch_id", F.col("pos").cast("int").alias("pos"), "task_id")
+        changes = status.member_changes(lives, self.ttl_s, until).join(members, "task_id").join(
+            self._read(spark, "batches", number - 1).withColumnsRenamed({"sent": "_sent", "done": "_done"}),
+            "batch_id", "left")
+        rolled = status.followed_rollups(
+            status.rollups_of(changes, split=self.split, max_members=self.max_members), split=self.split).persist()
+        self._write(rolled.where("_emit"), "rollups", number)
+        at = F.struct("ts", "event_id", "kind")
+        state = F.struct("status", "stage", "error_reason")
+        kept = rolled.groupBy("batch_id").agg(
+            F.max_by("error", at).alias("error"),
+            F.max_by(F.when(F.col("_emit"), state).otherwise(F.col("_sent")),
+                     F.when(F.col("_emit") | F.col("_carried"), at)).alias("sent"),
+            F.coalesce(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), at)), F.lit(False)).alias("done"))
+        self._write(kept.where("error IS NULL"), "batches", number)
+        rolled.unpersist()
+
+
+def follow(stream: DataFrame, path: str, **options) -> DataStreamWriter:
+    """A writer that follows the events into the tables below ``path``; start it with any trigger.
+
+    Options are those of :class:`Follower`.
+    """
+    return stream.writeStream.foreachBatch(Follower(path, **options)).option(
+        "checkpointLocation", f"{path}/checkpoint")
 
-def _now_us(state: GroupState, clock: str) -> int:
-    ms = state.getCurrentWatermarkMs() if clock == "event" else state.getCurrentProcessingTimeMs()
-    return ms * 1000
 
+def stream_transitions(stream: DataFrame, path: str, **options) -> DataStreamWriter:
+    """Stage transitions and closing rows on a stream, into ``sent``."""
+    return follow(stream, path, **options)
 
-def _wake_at(state: GroupState, clock: str, deadline_us: int) -> None:
-    if clock == "event":
-        floor_ms = state.getCurrentWatermarkMs() + 1
-        state.setTimeoutTimestamp(max(deadline_us // 1000 + 1, floor_ms))
-    else:
-        wait_ms = deadline_us // 1000 + 1 - state.getCurrentProcessingTimeMs()
-        state.setTimeoutDuration(max(wait_ms, 1))
 
+def stream_heartbeats(stream: DataFrame, path: str, interval_s: int = DEFAULT.heartbeat_s,
+                      check_range: bool = True, **options) -> DataStreamWriter:
+    """Heartbeats besides, into ``beats``: up to the clock and the end of each life."""
+    if check_range:
+        status.check_heartbeat(interval_s)
+    return follow(stream, path, interval_s=interval_s, **options)
 
-Live = dict[str, dict]
-Step = Callable[[Live, dict, list[dict]], None]
-Settle = Callable[[Live, int, list[dict]], int]
 
+def stream_rollup(stream: DataFrame, path: str, members: Members, **options) -> DataStreamWriter:
+    """Changes of each batch's roll-up besides, into ``rollups``."""
+    return follow(stream, path, members=members, **options)
 
-def _keyed(step: Step, settle: Settle, clock: str):
-    """Function of a state group: step by each new row, then settle with the clock.
 
-    ``settle`` drops what has expired and returns the group's next deadline.
-    """
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out: list[dict] = []
-        live = json.loads(state.get[0]) if state.exists else {}
-        for row in _ordered(frames):
-            step(live, row, out)
-        deadline = settle(live, _now_us(state, clock), out)
-        if live:
-            state.update((json.dumps(live),))
-            _wake_at(state, clock, deadline)
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame({"row": [json.dumps(row) for row in out]})
-
-    return run
-
-
-def _progress(ttl_us: int, beat_us: int | None) -> tuple[Step, Settle]:
-    """Tasks: last stage sent, time of the last send and the last write, whether ended."""
-    def beats(task_id: str, task: dict, until: int, out: list[dict]) -> None:
-        if beat_us is None or task["ended"]:
-            return
-        stop = min(until, task["wrote"] + ttl_us)
-        while task["sent"] + beat_us < stop:
-            task["sent"] += beat_us
-            out.append({"task_id": task_id, "kind": "heartbeat", "us": task["sent"]})
-
-    def step(live: Live, row: dict, out: list[dict]) -> None:
-        task_id, us = row["task_id"], row["us"]
-        task = live.get(task_id)
-        if task is not None and us > task["wrote"] + ttl_us:
-            beats(task_id, task, _FAR_US, out)
-            del live[task_id]
-            task = None
-        if task is None:
-            if row["op"] != "init":
-                return
-            task = live[task_id] = {"stage": None, "sent": us, "wrote": us, "ended": False}
-        beats(task_id, task, us, out)
-        task["wrote"] = us
-        if task["ended"]:
-            return
-        changed = row["stage"] != task["stage"]
-        task["ended"] = row["status"] in dims.TERMINAL
-        for n in range(1, changed + task["ended"] + 1):
-            out.append({**row, "kind": "state", "emit_no": n})
-        if changed:
-            task["stage"], task["sent"] = row["stage"], us
-
-    def settle(live: Live, now: int, out: list[dict]) -> int:
-        deadline = _FAR_US
-        for task_id, task in list(live.items()):
-            beats(task_id, task, now, out)
-            expiry = task["wrote"] + ttl_us
-            if now > expiry:
-                del live[task_id]
-                continue
-            idle = beat_us is not None and not task["ended"]
-            deadline = min(deadline, expiry, task["sent"] + beat_us if idle else _FAR_US)
-        return deadline
-
-    return step, settle
-
-
-def _rollup(members: dict[str, list]) -> list:
-    """``[status, stage, reason]`` of the known members of one batch."""
-    known = sorted(members.values(), key=lambda m: m[0])
-    statuses = [m[2] for m in known]
-    if all(s == "SUCCESS" for s in statuses):
-        status = "SUCCESS"
-    else:
-        status = "FAILURE" if "FAILURE" in statuses else "ACTIVE"
-    stage = min(known, key=lambda m: _RANK.get(m[1], 0))[1]
-    return [status, stage, next((m[3] for m in known if m[3]), None)]
-
-
-def _batch_progress(ttl_us: int) -> tuple[Step, Settle]:
-    """Batches: state of each member, last roll-up sent, last write, whether ended."""
-    def step(live: Live, row: dict, out: list[dict]) -> None:
-        batch = live.setdefault(
-            row["batch_id"], {"members": {}, "last": None, "wrote": row["us"], "ended": False})
-        batch["wrote"] = max(batch["wrote"], row["us"])
-        members, task_id = batch["members"], row["task_id"]
-        if batch["ended"] or (row["op"] != "init" and task_id not in members):
-            return
-        reason = members[task_id][3] if row["op"] == "advance" else row["error_reason"]
-        members[task_id] = [row["pos"], row["stage"], row["status"], reason]
-        now = _rollup(members)
-        if now != batch["last"]:
-            batch["last"] = now
-            out.append({**row, **dict(zip(("status", "stage", "error_reason"), now))})
-        if now[0] in dims.TERMINAL:
-            batch.update(ended=True, members={})
-
-    def settle(live: Live, now: int, out: list[dict]) -> int:
-        for batch_id in [b for b, batch in live.items() if now > batch["wrote"] + ttl_us]:
-            del live[batch_id]
-        return min((batch["wrote"] + ttl_us for batch in live.values()), default=_FAR_US)
-
-    return step, settle
-
-
-def _timed(stream: DataFrame, clock: str, delay_s: int) -> DataFrame:
-    ts = F.col("ts").cast("timestamp")
-    df = stream.withColumn("ts", ts).withColumn("us", F.unix_micros("ts"))
-    return df.withWatermark("ts", f"{delay_s} seconds") if clock == "event" else df
-
-
-def _stateful(stream: DataFrame, key: str, rule: tuple[Step, Settle], fields: str, clock: str,
-              slots: int) -> DataFrame:
-    timeout = (
-        GroupStateTimeout.EventTimeTimeout if clock == "event"
-        else GroupStateTimeout.ProcessingTimeTimeout)
-    more = [c for c in ("batch_id", "pos") if key == "batch_id"]
-    columns = ["us", "event_id", "task_id", "op", "stage", "status", "error_reason", *more]
-    packed = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    slot = F.pmod(F.xxhash64(key), F.lit(slots))
-    out = stream.select("ts", slot.alias("slot"), packed.alias("row")).groupBy(
-        "slot").applyInPandasWithState(
-        _keyed(*rule, clock), "row string", "live string", "append", timeout)
-    return out.select(F.from_json("row", fields).alias("r")).select("r.*")
-
-
-def stream_progress(stream: DataFrame, ttl_s: int = DEFAULT.state_ttl_s,
-                    interval_s: int | None = DEFAULT.heartbeat_s, check_range: bool = True,
-                    clock: str = "event", delay_s: int = DELAY_S, slots: int = SLOTS) -> DataFrame:
-    """What a progress stream sends: ``kind`` state or heartbeat, with its time ``us``.
-
-    A task is known from its init on and until its TTL runs out after the last write;
-    other updates are dropped. ``clock`` event makes timeouts follow the watermark, so
-    that a replay gives the same rows; processing follows the wall clock. Rows may come
-    out of order by less than ``delay_s``; heartbeats are late by as much. ``slots``
-    must stay the same while a checkpoint is in use.
-    """
-    if interval_s is not None and check_range:
-        check_heartbeat(interval_s)
-    beat_us = None if interval_s is None else interval_s * 1_000_000
-    rule = _progress(ttl_s * 1_000_000, beat_us)
-    return _stateful(_timed(stream, clock, delay_s), "task_id", rule, SENT, clock, slots)
-
-
-def stream_transitions(stream: DataFrame, ttl_s: int = DEFAULT.state_ttl_s,
-                       clock: str = "event", delay_s: int = DELAY_S,
-                       slots: int = SLOTS) -> DataFrame:
-    """Stage transitions on a stream; see the batch operator of the same rule."""
-    out = stream_progress(stream, ttl_s, None, True, clock, delay_s, slots)
-    return out.select(
-        "task_id", "event_id", F.timestamp_micros("us").alias("ts"), "stage", "status",
-        "error_reason", "emit_no")
-
-
-def stream_heartbeats(stream: DataFrame, interval_s: int = DEFAULT.heartbeat_s,
-                      ttl_s: int = DEFAULT.state_ttl_s, check_range: bool = True,
-                      clock: str = "event", delay_s: int = DELAY_S,
-                      slots: int = SLOTS) -> DataFrame:
-    """Heartbeats on a stream, up to the clock and the task's expiry."""
-    out = stream_progress(stream, ttl_s, interval_s, check_range, clock, delay_s, slots)
-    return out.filter(F.col("kind") == "heartbeat").select(
-        "task_id", F.timestamp_micros("us").alias("beat_at"))
-
-
-def stream_rollup(stream: DataFrame, members: DataFrame, ttl_s: int = DEFAULT.state_ttl_s,
-                  clock: str = "event", delay_s: int = DELAY_S, slots: int = SLOTS) -> DataFrame:
-    """Changes of each batch's roll-up, from a stream of its members' events.
-
-    ``members`` (``batch_id, pos, task_id``) is a static table; a batch has at most the
-    batch limit of members, so its state is small.
-    """
-    own = [c for c in stream.columns if c not in ("batch_id", "pos")]
-    rows = _timed(stream.select(*own), clock, delay_s).join(
-        members.select("batch_id", "pos", "task_id"), "task_id")
-    rule = _batch_progress(ttl_s * 1_000_000)
-    out = _stateful(rows, "batch_id", rule, ROLLED, clock, slots)
-    return out.withColumn("ts", F.timestamp_micros("us")).drop("us")
+def results(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """All rows of one table that complete micro-batches have written."""
+    if not exists(spark, f"{path}/clock"):
+        return spark.createDataFrame([], SCHEMAS[table])
+    done = spark.read.parquet(f"{path}/clock").agg(F.max("batch")).first()[0]
+    if not exists(spark, f"{path}/{table}"):
+        return spark.createDataFrame([], SCHEMAS[table])
+    rows = spark.read.schema(f"{SCHEMAS[table]}, batch long").parquet(f"{path}/{table}")
+    return rows.where(F.col("batch") <= done).drop("batch")

@@ -92,13 +92,13 @@ def test_steps_against_the_rule(spark, split):
     tables, lines, pages = random_pages(4, docs=20)
     lines = [ln for ln in lines if ln[5] is not None]
     t, ln, p = frames(spark, tables, lines, pages)
-    ordered = layout.order_tables(t, band=7.0, split=split)
-    regions = layout.text_regions(ordered, p, band=7.0, split=split)
+    ordered = layout.order_tables(t, ranges=9, split=split)
+    regions = layout.text_regions(ordered, p, ranges=9, split=split)
     want = {(d, n, o, *r) for d, n, h in pages
             for o, r in regions_rule(page_of(tables, d, n), h).items()}
     assert {tuple(r) for r in regions.select(
         "doc_id", "page_no", "ord", "top", "bottom").collect()} == want
-    placed = layout.assign_lines_to_regions(ln, regions, band=7.0, split=split)
+    placed = layout.assign_lines_to_regions(ln, regions, ranges=9, split=split)
     pairs = {(d, n, x[2], o) for d, n, o, a, z in want for x in page_of(lines, d, n) if a <= x[3] < z}
     have = [(r.doc_id, r.page_no, r.line_no, r.ord) for r in placed.collect()]
     assert set(have) == pairs and len(have) == len(pairs)

@@ -5,7 +5,7 @@ Every window operator runs as plain windows and as a cut timeline; both must agr
 
 import datetime as dt
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,7 +74,7 @@ def sent_rule(log):
 
 @pytest.mark.parametrize("split", SPLITS)
 def test_transitions(events, rows, split):
-    got = status.stage_transitions(events, width_s=300, split=split)
+    got = status.stage_transitions(events, ranges=7, split=split)
     want = {x for log in by_task(rows).values() for x in sent_rule(log)}
     have = [(r.task_id, r.event_id, r.stage, r.emit_no) for r in got.collect()]
     assert set(have) == want and len(have) == len(want)
@@ -97,7 +97,7 @@ def test_terminal_change_is_sent_twice(spark, split):
 def test_heartbeats(spark, events, rows, split):
     sent = status.stage_transitions(events, 300, split)
     end = at(20_000)
-    got = status.heartbeats(sent, 30, until=F.lit(end), width_s=300, split=split)
+    got = status.heartbeats(sent, 30, until=F.lit(end), ranges=7, split=split)
     want = set()
     for log in by_task(rows).values():
         times = {r[1]: r for r in log}
@@ -213,14 +213,15 @@ def test_timeline_marks(spark):
 
 
 def rollup_rule(states):
-    statuses = [s[2] for s in states]
-    if set(statuses) == {"SUCCESS"}:
+    """Of states (pos, stage, status, reason): counts of statuses, and the least by rank and place."""
+    counts = Counter(status for _, _, status, _ in states)
+    overall = "FAILURE" if counts["FAILURE"] else "ACTIVE"
+    if counts["SUCCESS"] == len(states):
         overall = "SUCCESS"
-    else:
-        overall = "FAILURE" if "FAILURE" in statuses else "ACTIVE"
-    ranks = [STAGES.index(s[1]) if s[1] in STAGES else 0 for s in states]
-    reasons = [s[3] for s in states if s[3]]
-    return overall, states[ranks.index(min(ranks))][1], reasons[0] if reasons else None
+    known = {s: i for i, s in enumerate(STAGES)}
+    _, _, stage = min((known.get(stage, 0), pos, stage) for pos, stage, _, _ in states)
+    told = {pos: reason for pos, _, _, reason in states if reason}
+    return overall, stage, told[min(told)] if told else None
 
 
 def test_rollup(spark):
@@ -278,6 +279,95 @@ def test_batch_history(spark, split):
     assert sorted(got) == sorted(want)
 
 
+def lives_rule(log, ttl, end):
+    """The lives of one task: (writes, expiry or None), by a walk along its log."""
+    lives, alive = [], None
+    for r in log:
+        if alive is not None and (r[2] - alive).total_seconds() > ttl:
+            lives[-1][1] = alive + dt.timedelta(seconds=ttl)
+            alive = None
+        if alive is None and r[3] != "init":
+            continue
+        if alive is None:
+            lives.append([[], None])
+        lives[-1][0].append(r)
+        alive = r[2]
+    if alive is not None and alive + dt.timedelta(seconds=ttl) < end:
+        lives[-1][1] = alive + dt.timedelta(seconds=ttl)
+    return lives
+
+
+@pytest.mark.parametrize("split", SPLITS)
+def test_transitions_end_with_the_state(events, rows, split):
+    ttl, end = 300, at(200_000)
+    got = status.stage_transitions(events, 7, split, ttl, F.lit(end))
+    want = Counter()
+    for log in by_task(rows).values():
+        for writes, expiry in lives_rule(log, ttl, end):
+            want.update((*x, None) for x in sent_rule(writes))
+            if expiry and not any(r[5] in dims.TERMINAL for r in writes):
+                want[writes[-1][0], writes[-1][1], None, 1, dims.TASK_NOT_FOUND] += 1
+    assert Counter((r.task_id, r.event_id, r.stage, r.emit_no, r.error) for r in got.collect()) == want
+    assert any(k[4] for k in want)
+
+
+@pytest.mark.parametrize("split", SPLITS)
+def test_batches_lose_members_whose_state_lapses(spark, split):
+    rng, ttl, end = random.Random(12), 150, at(3_000)
+    places = {f"t{t}": (f"b{t // 4}", t % 4) for t in range(24)}
+    log = []
+    for task in places:
+        now = rng.randint(0, 400)
+        for k in range(rng.randint(1, 7)):
+            op = rng.choices(["init", "advance", "fail"], [0.2, 0.7, 0.1])[0] if k else "init"
+            state = {"init": ("UPLOADED", "PENDING", None), "fail": ("PARSING", "FAILURE", f"why {now}")}.get(
+                op, (rng.choice(STAGES), rng.choice(["ACTIVE", "ACTIVE", "SUCCESS"]), None))
+            log.append((task, len(log), at(now), op, *state))
+            now += rng.choice([0, 20, 100, 200])
+    want = []
+    changes = defaultdict(list)
+    for task, writes in by_task(log).items():
+        b, p = places[task]
+        for own, expiry in lives_rule(writes, ttl, end):
+            reason = None
+            for r in own:
+                reason = {"init": None, "fail": r[6]}.get(r[3], reason)
+                changes[b].append((r[2], r[1], 0, p, (p, r[4], r[5], reason)))
+            if expiry:
+                changes[b].append((expiry, own[-1][1], 1, p, None))
+    for b, rows in changes.items():
+        seen, last, ended = {}, None, False
+        for ts, event, _, p, state in sorted(rows, key=lambda c: c[:3]):
+            seen[p] = state
+            alive = [s for _, s in sorted(seen.items()) if s]
+            now = (*rollup_rule(alive), None) if alive else (None, None, None, dims.NO_TASKS_FOUND)
+            if now != last and not ended:
+                want.append((b, event, ts, *now))
+            last, ended = now, bool(alive) and (ended or now[0] in dims.TERMINAL)
+    m = spark.createDataFrame([(b, p, t) for t, (b, p) in places.items()], "batch_id string, pos int, task_id string")
+    history = status.rollup_history(
+        spark.createDataFrame(log, SCHEMA).repartition(4), m, 5, split, ttl, F.lit(end))
+    got = status.batch_transitions(history, 5, split).select(
+        "batch_id", "event_id", "ts", "status", "stage", "error_reason", "error")
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    assert any(w[-1] for w in want) and any(w[5] for w in want)
+    with pytest.raises(Exception, match="more than 3 members"):
+        status.rollup_history(spark.createDataFrame(log, SCHEMA), m, max_members=3).count()
+
+
+def test_bursts_and_sparse_keys_are_cut_by_rows(spark):
+    """Equal times, and a key with far more rows a second than another."""
+    rows = [("burst", i, at(0)) for i in range(4_000)] + [("sparse", i, at(86_400 * i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, event_id long, ts timestamp").repartition(3)
+    line = carry.Timeline(["k"], ["ts", "event_id"], large_rows=1_000)
+    spread = line.spread(df)
+    sizes = [r["count"] for r in spread.groupBy("k", carry.BUCKET).count().collect()]
+    assert line.split and max(sizes) < 1_000
+    got = line.window(spread, n=line.running_sum(F.lit(1)), prev=line.lag("event_id"), next=line.lead("event_id"))
+    assert {(r.k, r.event_id): (r.n, r.prev, r.next) for r in got.collect()} == {
+        (k, i): (i + 1, i - 1 if i else None, i + 1 if i + 1 < (4_000 if k == "burst" else 300) else None) for k, i, _ in rows}
+
+
 def test_barrier(spark):
     rows = [("all", at(0), at(10), "SUCCESS"), ("all", at(0), at(20), "FAILURE"),
             ("late", at(0), at(10), "SUCCESS"), ("late", at(0), at(301), "SUCCESS"),
@@ -310,13 +400,13 @@ def test_stats_of_nothing(spark, events):
 
 def test_size_check_picks_the_plan(spark, events, rows):
     line = carry.Timeline(["task_id"], ["ts", "event_id"], large_rows=10_000)
-    assert carry.BUCKET not in line.spread(events, carry.seconds("ts")).columns
+    assert carry.BUCKET not in line.spread(events).columns
     assert line.split is False
     line = carry.Timeline(["task_id"], ["ts", "event_id"], large_rows=100)
-    df = line.spread(events, carry.seconds("ts"))
+    df = line.spread(events)
     assert line.split is True
     sizes = df.groupBy("task_id", carry.BUCKET).count().agg(F.max("count").alias("n")).first()
-    assert sizes.n < 50 < sum(r[0] == "hot" for r in rows)
+    assert sizes.n < 100 < sum(r[0] == "hot" for r in rows)
     numbered = line.window(df, n=line.running_sum(F.lit(1)))
     want = {r[1]: i + 1 for log in by_task(rows).values() for i, r in enumerate(log)}
     assert {r.event_id: r.n for r in numbered.collect()} == want
@@ -335,7 +425,7 @@ def test_reconnects(spark, split):
             want[i] = min(2 ** fails[c], 30)
             fails[c] += 1
     df = spark.createDataFrame(rows, "client_id string, ts timestamp, event_id long, ok boolean")
-    got = scanning.reconnect_delays(df.repartition(3), width_s=20, split=split)
+    got = scanning.reconnect_delays(df.repartition(3), ranges=6, split=split)
     assert {r.event_id: r.delay_s for r in got.collect()} == want
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from docmark import dims, scratch
 from docmark.operators import status, validation
 from docmark.sources import uploads
 from docmark.streaming import intake, progress
-from tests.test_status import SCHEMA, STAGES, T0, at
+from tests.test_status import SCHEMA, STAGES, at
 
 
 def life(rng, task, start):
@@ -34,113 +35,123 @@ def make_log(seed=9, tasks=25):
     return [(r[0], i, at(r[1]), *r[2:]) for i, r in enumerate(rows)]
 
 
-def play(spark, tmp_path, chunks, schema, build, name):
-    """Feed the chunks one run after the other, as restarts of one query; read the result."""
-    src, out = str(tmp_path / f"{name}-in"), str(tmp_path / f"{name}-out")
-    for chunk in chunks:
-        spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-        query = (
-            build(stream).writeStream.format("parquet").outputMode("append")
-            .option("checkpointLocation", str(tmp_path / f"{name}-check"))
-            .trigger(availableNow=True).start(out))
-        assert query.awaitTermination(120)
-    return spark.read.parquet(out)
+TICK = (None, None, at(10**6), None, None, None, None)
+
+
+def play(spark, path, chunks, start, tick=True):
+    """Feed the chunks one file a micro-batch, with a restart of the query after each."""
+    src = f"{path}/in"
+    for chunk in [*chunks, *([[TICK]] if tick else [])]:
+        spark.createDataFrame(chunk, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+        query = start(stream).trigger(availableNow=True).start()
+        assert query.awaitTermination(300)
+    return lambda table: progress.results(spark, str(path), table)
 
 
-def cut(log, n):
+def unsorted_chunks(log, n, by, seed=1):
+    """The log cut in n by time, where any row may slip by up to ``by`` seconds."""
+    rng = random.Random(seed)
+    slipped = sorted(log, key=lambda r: r[2] + dt.timedelta(seconds=rng.uniform(0, by)))
     size = len(log) // n + 1
-    return [log[i:i + size] for i in range(0, len(log), size)]
+    chunks = [slipped[i:i + size] for i in range(0, len(log), size)]
+    for chunk in chunks:
+        rng.shuffle(chunk)
+    return chunks
+
+
+def bag(df, cols):
+    return Counter(map(tuple, df.select(cols).collect()))
+
+
+SENT = ["task_id", "event_id", "ts", "stage", "status", "error_reason", "emit_no", "error"]
+BEATS = ["task_id", "event_id", "beat_no", "beat_at"]
+ROLLED = ["batch_id", "event_id", "ts", "status", "stage", "error_reason", "error"]
+END = at(10**6 - 100) + dt.timedelta(microseconds=1)
 
 
-@pytest.mark.parametrize("parts", [1, 3])
-def test_transitions(spark, tmp_path, parts):
+@pytest.mark.parametrize("parts", [1, 4])
+def test_streams_give_the_rows_of_their_batch_operators(spark, tmp_path, parts):
     log, ttl = make_log(), 100
-    got = play(spark, tmp_path, cut(log, parts), SCHEMA,
-               lambda s: progress.stream_transitions(s, ttl, slots=5), "tr")
-    known = status.accepted_events(spark.createDataFrame(log, SCHEMA), ttl)
-    want = status.stage_transitions(known)
-    cols = ["task_id", "event_id", "ts", "stage", "status", "error_reason", "emit_no"]
-    assert sorted(map(tuple, got.select(cols).collect()), key=str) == sorted(
-        map(tuple, want.select(cols).collect()), key=str)
-
-
-@pytest.mark.parametrize("parts", [1, 3])
-def test_heartbeats(spark, tmp_path, parts):
-    log, ttl, beat = make_log(4), 100, 20
-    got = play(spark, tmp_path, cut(log, parts), SCHEMA,
-               lambda s: progress.stream_heartbeats(s, beat, ttl, slots=5), "hb")
-    known = status.accepted_events(spark.createDataFrame(log, SCHEMA), ttl)
-    last = known.groupBy("task_id").agg(F.max("ts").alias("wrote"))
-    sent = status.stage_transitions(known).join(last, "task_id")
-    end = max(r[2] for r in log) - dt.timedelta(seconds=progress.DELAY_S)
-    # a row without a next one goes on to the task's expiry or the end of the log
-    sent = sent.withColumn("stop", F.least(
-        F.lit(end), F.col("wrote") + F.expr(f"INTERVAL {ttl} SECONDS")))
-    beats = status.heartbeats(sent, beat, until=F.col("stop"))
-    want = {(r.task_id, r.beat_at) for r in beats.collect()}
-    have = [(r.task_id, r.beat_at) for r in got.collect()]
-    assert set(have) == want and len(have) == len(want)
+    places = [(f"b{t // 3}", t % 3, f"t{t}") for t in range(25)]
+    members = spark.createDataFrame(places, "batch_id string, pos int, task_id string")
+    got = play(spark, tmp_path, unsorted_chunks(log, parts, ttl), lambda s: progress.stream_heartbeats(
+        s, str(tmp_path), 20, ttl_s=ttl, members=lambda spark: members, split=False))
+    events = spark.createDataFrame(log, SCHEMA)
+    sent = status.stage_transitions(events, ttl_s=ttl, until=F.lit(END))
+    assert bag(got("sent"), SENT) == bag(sent, SENT)
+    assert bag(got("beats"), BEATS) == bag(status.heartbeats(sent, 20, until=F.lit(END)), BEATS)
+    rolled = status.batch_transitions(status.rollup_history(events, members, ttl_s=ttl, until=F.lit(END)))
+    assert bag(got("rollups"), ROLLED) == bag(rolled, ROLLED)
+    assert got("late").isEmpty()
+    assert {r.error for r in sent.collect()} == {None, "task_not_found"}
+    assert {r.error for r in rolled.collect()} == {None, "no_tasks_found"}
+
+
+def test_late_rows_come_out_and_change_nothing(spark, tmp_path):
+    first = [("a", 0, at(0), "init", "UPLOADED", "PENDING", None), ("a", 1, at(500), "advance", "PARSING", "ACTIVE", None)]
+    late = [("a", 2, at(300), "advance", "PACKAGING", "SUCCESS", None), ("a", 3, None, "fail", "PARSING", "FAILURE", "x")]
+    got = play(spark, tmp_path, [first, late], lambda s: progress.stream_transitions(
+        s, str(tmp_path), ttl_s=1_000, delay_s=100))
+    assert {r.event_id for r in got("late").collect()} == {2, 3}
+    assert {(r.event_id, r.stage, r.error) for r in got("sent").collect()} == {
+        (0, "UPLOADED", None), (1, None, "task_not_found"), (1, "PARSING", None)}
+
+
+def test_a_micro_batch_played_again_changes_nothing(spark, tmp_path):
+    log = make_log(6, 12)
+    members = spark.createDataFrame([(f"b{t // 4}", t % 4, f"t{t}") for t in range(12)], "batch_id string, pos int, task_id string")
+    step = progress.Follower(str(tmp_path), ttl_s=200, interval_s=30, members=lambda spark: members, split=False)
+    tables = ["sent", "beats", "rollups", "late", "tasks", "batches", "waiting"]
+    content = lambda: {t: Counter(map(str, progress.results(spark, str(tmp_path), t).collect())) for t in tables}
+    chunks = [spark.createDataFrame(c, SCHEMA) for c in unsorted_chunks(log, 3, 150)]
+    for number, chunk in enumerate(chunks):
+        step(chunk, number)
+        once = content()
+        step(chunk, number)
+        assert content() == once
+    assert sum(once["sent"].values()) and sum(once["rollups"].values())
+    with pytest.raises(ValueError, match="another query"):
+        step(chunks[0], 9)
+
+
+def test_members_that_are_added_later_take_part(spark, tmp_path):
+    table = str(tmp_path / "members")
+    schema = "batch_id string, pos int, task_id string"
+    spark.createDataFrame([("b", 1, "y")], schema).write.parquet(table)
+    step = progress.Follower(str(tmp_path), ttl_s=1_000, delay_s=0, members=lambda s: s.read.schema(schema).parquet(table))
+    step(spark.createDataFrame([("x", 0, at(0), "init", "UPLOADED", "PENDING", None),
+                                ("y", 1, at(1), "init", "UPLOADED", "PENDING", None)], SCHEMA), 0)
+    spark.createDataFrame([("b", 0, "x")], schema).write.mode("append").parquet(table)
+    step(spark.createDataFrame([("x", 2, at(2), "fail", "SCANNING", "FAILURE", "first")], SCHEMA), 1)
+    step(spark.createDataFrame([("y", 3, at(3), "advance", "PACKAGING", "SUCCESS", None)], SCHEMA), 2)
+    got = progress.results(spark, str(tmp_path), "rollups").orderBy("event_id").collect()
+    assert [(r.event_id, r.status, r.stage, r.error_reason) for r in got] == [
+        (1, "ACTIVE", "UPLOADED", None), (2, "FAILURE", "UPLOADED", "first")]
 
 
 def test_idle_task_beats_until_it_expires(spark, tmp_path):
     log = [("a", 0, at(0), "init", "UPLOADED", "PENDING", None)]
     other = [("b", 1, at(1_000), "init", "UPLOADED", "PENDING", None)]
     late = [("a", 2, at(1_001), "advance", "PARSING", "ACTIVE", None)]
-    got = play(spark, tmp_path, [log, other, late], SCHEMA,
-               lambda s: progress.stream_progress(s, ttl_s=60, interval_s=15), "idle")
-    rows = sorted((r.task_id, r.kind, r.us) for r in got.collect())
-    base = int(T0.replace(tzinfo=dt.timezone.utc).timestamp())
-    assert rows == [
-        ("a", "heartbeat", (base + 15) * 10**6), ("a", "heartbeat", (base + 30) * 10**6),
-        ("a", "heartbeat", (base + 45) * 10**6), ("a", "state", base * 10**6),
-        ("b", "state", (base + 1_000) * 10**6)]
+    got = play(spark, tmp_path, [log, other, late], lambda s: progress.stream_heartbeats(
+        s, str(tmp_path), 15, ttl_s=60, delay_s=1), tick=False)
+    assert {(r.task_id, r.ts, r.error) for r in got("sent").collect()} == {
+        ("a", at(0), None), ("a", at(60), "task_not_found"), ("b", at(1_000), None)}
+    assert sorted((r.task_id, r.beat_no, r.beat_at) for r in got("beats").collect()) == [
+        ("a", n, at(15 * n)) for n in (1, 2, 3)]
 
 
-def test_heartbeat_bounds(spark):
+def test_heartbeat_bounds(spark, tmp_path):
     stream = spark.readStream.format("rate").load().select(
         F.col("timestamp").alias("ts"), F.lit("t").alias("task_id"), F.col("value").alias("event_id"),
         F.lit("init").alias("op"), F.lit("UPLOADED").alias("stage"), F.lit("ACTIVE").alias("status"),
         F.lit("").alias("error_reason"))
     for bad in (3, 61):
         with pytest.raises(ValueError):
-            progress.stream_heartbeats(stream, bad)
-    assert progress.stream_heartbeats(stream, 30).isStreaming
-
-
-def test_processing_clock(spark, tmp_path):
-    """On the wall clock the states are the same; the query is stopped, it has no end."""
-    log = make_log(6, 5)
-    src = str(tmp_path / "in")
-    spark.createDataFrame(log, SCHEMA).coalesce(1).write.parquet(src)
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    query = (
-        progress.stream_transitions(stream, 10**9, clock="processing").writeStream
-        .format("memory").queryName("wall").outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "check"))
-        .trigger(processingTime="1 second").start())
-    try:
-        want = status.stage_transitions(status.accepted_events(spark.createDataFrame(log, SCHEMA))).count()
-        deadline = dt.datetime.now() + dt.timedelta(seconds=60)
-        while spark.table("wall").count() < want and dt.datetime.now() < deadline:
-            query.awaitTermination(1)
-        assert spark.table("wall").count() == want
-    finally:
-        query.stop()
-
-
-@pytest.mark.parametrize("parts", [1, 3])
-def test_rollup(spark, tmp_path, parts):
-    log = make_log(8, 16)
-    members = spark.createDataFrame(
-        [(f"b{t // 3}", t % 3, f"t{t}") for t in range(16)], "batch_id string, pos int, task_id string")
-    got = play(spark, tmp_path, cut(log, parts), SCHEMA,
-               lambda s: progress.stream_rollup(s, members, ttl_s=10**6, slots=3), "ro")
-    known = status.accepted_events(spark.createDataFrame(log, SCHEMA))
-    want = status.batch_transitions(status.rollup_history(known, members))
-    cols = ["batch_id", "event_id", "status", "stage", "error_reason"]
-    assert sorted(map(tuple, got.select(cols).collect()), key=str) == sorted(
-        map(tuple, want.select(cols).collect()), key=str)
+            progress.stream_heartbeats(stream, str(tmp_path), bad)
+    assert progress.stream_heartbeats(stream, str(tmp_path), 30) is not None
+    assert progress.results(spark, str(tmp_path), "beats").isEmpty()
 
 
 def test_validate(spark, tmp_path):
