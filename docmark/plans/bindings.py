@@ -76,6 +76,28 @@ def batch_records(members: DataFrame) -> DataFrame:
     return members.groupBy("batch_id").agg(F.to_json(listed).alias("task_ids"))
 
 
+FILE_DOCS = 200
+
+
+def documents_in_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Documents as files of three kinds below a folder, 200 ids to a file.
+
+    A third of the files are texts, a third CSV and a third JSON lines; the number of a file
+    is in its folder's name.
+    """
+    docs = table(spark, sf_dir, "documents").select(
+        F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("n_chars", F.lit(-1)).alias("n_chars"))
+    docs = docs.withColumn("file", F.floor(F.col("doc_id") / FILE_DOCS))
+    kind = F.pmod("file", F.lit(3))
+    texts = docs.where(kind == 0).groupBy("file").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("doc_id", "text")))["text"], "\n").alias("value"))
+    texts.write.partitionBy("file").text(f"{path}/txt")
+    lines = docs.drop("text").repartition("file").sortWithinPartitions("file", "doc_id")
+    lines.where(kind == 1).write.partitionBy("file").csv(f"{path}/csv")
+    lines.where(kind == 2).write.partitionBy("file").json(f"{path}/json")
+
+
 def toxic_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the contents labelled toxic."""
     toxic = table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select("doc_id")

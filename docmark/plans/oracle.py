@@ -277,6 +277,24 @@ add("pages_to_markdown", UPLOADS, select=f"""
 SELECT page_id, mime, error, CASE WHEN error IS NULL THEN {_html_sql('raw')} END AS markdown
 FROM pages_checked""")
 
+_FILES = f"""
+WITH docs AS (
+  SELECT coalesce(doc_id, -1) AS doc_id, coalesce(text, '') AS text, coalesce(n_chars, -1) AS n_chars FROM documents),
+numbered AS (SELECT *, CAST(floor(doc_id / {b.FILE_DOCS}) AS BIGINT) AS file FROM docs),
+files AS (
+  SELECT file, '.txt' AS ext, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS raw
+  FROM numbered WHERE file % 3 = 0 GROUP BY file
+  UNION ALL
+  SELECT file, '.csv', string_agg(doc_id || ',' || n_chars || chr(10), '' ORDER BY doc_id)
+  FROM numbered WHERE file % 3 = 1 GROUP BY file
+  UNION ALL
+  SELECT file, '.json', string_agg('{{"doc_id":' || doc_id || ',"n_chars":' || n_chars || '}}' || chr(10), '' ORDER BY doc_id)
+  FROM numbered WHERE file % 3 = 2 GROUP BY file)
+SELECT file, ext, octet_length(encode(raw)) AS length,
+  CASE WHEN octet_length(encode(raw)) > {MAX} THEN {_q(dims.TOO_LARGE)} END AS error,
+  CASE WHEN octet_length(encode(raw)) <= {MAX} THEN sha256(raw) END AS sha256 FROM files"""
+add("read_uploads", select=_FILES)
+add("stream_uploads", select=_FILES)
 add("uploads_from_table", UPLOADS, select="""
 SELECT doc_id, filename, length, sha256(raw) AS sha256 FROM docs_up""")
 
@@ -562,17 +580,20 @@ SELECT batch_id AS task_id,
   first(stage ORDER BY {_RANK}, pos) AS stage,
   first(error_reason ORDER BY pos) FILTER (WHERE error_reason <> '') AS error_reason
 FROM run_members JOIN latest USING (task_id) GROUP BY batch_id""")
-add("batch_barrier", STATUS, MEMBERS, FINISHED, select="""
-, s AS (
+BARRIER = """
+barrier_members AS (
   SELECT batch_id, finished_at, status, min(i.ts) OVER (PARTITION BY batch_id) + INTERVAL 864000 SECOND AS deadline
   FROM run_members m JOIN (SELECT task_id, ts FROM ev WHERE op = 'init') i USING (task_id)
-  LEFT JOIN finished USING (task_id))
-SELECT batch_id,
-  epoch_us(CASE WHEN bool_or(finished_at IS NULL) OR max(finished_at) > any_value(deadline)
-    THEN any_value(deadline) ELSE max(finished_at) END) AS closes_at,
-  bool_or(finished_at IS NULL) OR max(finished_at) > any_value(deadline) AS timed_out,
-  count(*) AS members, count(*) FILTER (WHERE status = 'SUCCESS' AND finished_at <= deadline) AS included
-FROM s GROUP BY batch_id""")
+  LEFT JOIN finished USING (task_id)),
+barrier AS (
+  SELECT batch_id,
+    CASE WHEN bool_or(finished_at IS NULL) OR max(finished_at) > any_value(deadline)
+      THEN any_value(deadline) ELSE max(finished_at) END AS closes_at,
+    bool_or(finished_at IS NULL) OR max(finished_at) > any_value(deadline) AS timed_out,
+    count(*) AS members, count(*) FILTER (WHERE status = 'SUCCESS' AND finished_at <= deadline) AS included
+  FROM barrier_members GROUP BY batch_id)"""
+add("batch_barrier", STATUS, MEMBERS, FINISHED, BARRIER, select="""
+SELECT batch_id, epoch_us(closes_at) AS closes_at, timed_out, members, included FROM barrier""")
 add("count_conversions", select="""
 SELECT count(*) AS conversions FROM events WHERE event_type = 'purchase'""")
 add("count_visitors", select="SELECT count(DISTINCT user_id) AS visitors FROM events")
@@ -671,9 +692,16 @@ add("state_ttl", STATUS, select=f"""
 SELECT task_id, event_id, epoch_us(least(nxt, ts + INTERVAL {b.TTL_S} SECOND)) AS valid_until,
   nxt IS NULL OR nxt > ts + INTERVAL {b.TTL_S} SECOND AS lapsed
 FROM (SELECT *, lead(ts) OVER (PARTITION BY task_id ORDER BY ts, event_id) AS nxt FROM ev)""")
-add("retention", STATUS, FINISHED, select=f"""
-SELECT task_id, status, epoch_us(finished_at) AS finished_at,
-  finished_at + INTERVAL {b.KEEP_S} SECOND > (SELECT max(ts) FROM events) AS kept FROM finished""")
+add("retention", STATUS, LATEST, MEMBERS, FINISHED, BARRIER, select=f"""
+, ended AS (
+  SELECT 'task' AS kind, task_id AS id, status, finished_at FROM finished
+  UNION ALL SELECT 'batch', batch_id, 'ARCHIVE', closes_at FROM barrier),
+judged AS (
+  SELECT *, finished_at + INTERVAL {b.KEEP_S} SECOND > {_LAST} AS kept FROM ended)
+SELECT kind, id, status, epoch_us(finished_at) AS finished_at, kept FROM judged
+UNION ALL
+SELECT 'state', task_id, status, epoch_us(updated_at), true FROM latest
+WHERE task_id NOT IN (SELECT id FROM judged WHERE kind = 'task' AND NOT kept)""")
 add("stream_transitions", *_LIVED, select=_SENT_SELECT)
 add("stream_heartbeats", *_LIVED, select=_beats("task_id", "sent", "ts, event_id, emit_no"))
 add("stream_rollup", *_LIVED, MEMBERS, _BATCH_SENT, select=_BATCH_SELECT)

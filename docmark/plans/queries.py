@@ -17,7 +17,7 @@ from docmark.operators import (
 from docmark.plans import bindings as b
 from docmark.plans import pipeline
 from docmark.scratch import run_to_table, scratch_path
-from docmark.sources import deliveries, sinks, uploads
+from docmark.sources import deliveries, expiring, sinks, uploads
 from docmark.streaming import intake, progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,12 +51,22 @@ def pages_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources and sinks -------------------------------------------------------
 
 
+def _listed(uploads_: DataFrame, rejects: DataFrame) -> DataFrame:
+    """Files with their number, what intake says of them, and the digest of what was read."""
+    checked = validation.checked_uploads(uploads_).select(
+        "path", "filename", "length", "error", F.sha2("content", 256).alias("sha256"))
+    refused = rejects.select("path", "filename", "length", "error", F.lit(None).cast("string").alias("sha256"))
+    return checked.unionByName(refused).select(
+        F.regexp_extract("path", r"/file=(-?\d+)/", 1).cast("long").alias("file"),
+        names.file_ext(F.col("filename")).alias("ext"), "length", "error", "sha256")
+
+
 @query
 def read_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table files themselves as uploads, listed with what intake says of them."""
-    taken, refused = uploads.read_uploads(spark, f"{sf_dir}/*.parquet", 1_000_000)
-    ok = validation.checked_uploads(taken).select("filename", "length", "error")
-    return ok.unionByName(refused.select("filename", "length", "error"))
+    """Files that hold all documents, read from their folder under the default limit."""
+    path = scratch_path(spark, "files")
+    b.documents_in_files(spark, sf_dir, path)
+    return _listed(*uploads.read_uploads(spark, path))
 
 
 @query
@@ -68,10 +78,15 @@ def uploads_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table files arriving one by one."""
-    files, _ = uploads.stream_uploads(spark, f"{sf_dir}/*.parquet")
-    return run_to_table(
-        files.select("filename", "length", F.sha2("content", 256).alias("sha256")), "uploads")
+    """The same files as they arrive, with a sink for uploads and one for rejects."""
+    path, out = scratch_path(spark, "files"), scratch_path(spark, "arrived")
+    b.documents_in_files(spark, sf_dir, path)
+    running = [w.trigger(availableNow=True).start() for w in uploads.write_uploads(spark, path, out)]
+    for query_ in running:
+        query_.awaitTermination()
+    taken, refused = uploads.stream_uploads(spark, path)
+    return _listed(spark.read.schema(taken.schema).parquet(f"{out}/uploads"),
+                   spark.read.schema(refused.schema).parquet(f"{out}/rejects"))
 
 
 def _converted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -578,14 +593,8 @@ def batch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def batch_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of runs, with a timeout of ten days."""
-    events = b.status_events(spark, sf_dir)
-    members = b.run_members(events)
-    inits = events.filter(F.col("op") == "init").select("task_id", F.col("ts").alias("_init"))
-    starts = members.join(inits, "task_id").groupBy("batch_id").agg(F.min("_init").alias("started_at"))
-    ends = status.finished_tasks(events)
-    states = members.join(starts, "batch_id").join(ends, "task_id", "left")
-    out = status.batch_barrier(states, timeout_s=10 * 86_400)
-    return out.select("batch_id", us("closes_at"), "timed_out", "members", "included")
+    return _barriers(b.status_events(spark, sf_dir)).select(
+        "batch_id", us("closes_at"), "timed_out", "members", "included")
 
 
 @query
@@ -703,13 +712,46 @@ def state_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("task_id", "event_id", us("valid_until"), "lapsed")
 
 
+def _barriers(events: DataFrame) -> DataFrame:
+    """Batches of runs, with a timeout of ten days."""
+    members = b.run_members(events)
+    inits = events.filter(F.col("op") == "init").select("task_id", F.col("ts").alias("_init"))
+    starts = members.join(inits, "task_id").groupBy("batch_id").agg(F.min("_init").alias("started_at"))
+    ends = status.finished_tasks(events)
+    states = members.join(starts, "batch_id").join(ends, "task_id", "left")
+    return status.batch_barrier(states, timeout_s=10 * 86_400)
+
+
 @query
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = _finished(b.status_events(spark, sf_dir))
-    kept, purged = status.retention(done, _now(spark, sf_dir), b.KEEP_S)
-    return kept.withColumn("kept", F.lit(True)).unionByName(
-        purged.withColumn("kept", F.lit(False))).select(
-        "task_id", "status", us("finished_at"), "kept")
+    """Outputs and states of tasks and archives of batches, purged by their own clocks and read again."""
+    path = scratch_path(spark, "retention")
+    events = b.status_events(spark, sf_dir)
+    now = b.table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    tasks = _finished(events).select(F.col("task_id").alias("id"), "status", "finished_at")
+    closed = _barriers(events).select(
+        F.col("batch_id").alias("id"), F.lit("ARCHIVE").alias("status"), F.col("closes_at").alias("finished_at"))
+    rows = []
+    for kind, table in (("task", tasks), ("batch", closed)):
+        expiring.write_by_end(table, f"{path}/{kind}")
+        written = spark.read.parquet(f"{path}/{kind}")
+        gone = expiring.expired(written, now, b.KEEP_S)
+        gone.write.parquet(f"{path}/{kind}-purged")  # what goes, kept here to be shown
+        expiring.purge(spark, f"{path}/{kind}", now, b.KEEP_S)
+        left = spark.read.schema(written.schema).parquet(f"{path}/{kind}").drop(expiring.DAY)
+        purged = spark.read.parquet(f"{path}/{kind}-purged")
+        rows += [left.withColumn("kept", F.lit(True)), purged.withColumn("kept", F.lit(False))]
+        rows[-2:] = [r.withColumn("kind", F.lit(kind)) for r in rows[-2:]]
+        if kind == "task":
+            states = status.without_purged(
+                status.latest_state(events), purged.withColumnRenamed("id", "task_id"))
+            rows.append(states.select(
+                F.col("task_id").alias("id"), "status", F.col("updated_at").alias("finished_at"),
+                F.lit(True).alias("kept"), F.lit("state").alias("kind")))
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    return every.select("kind", "id", "status", us("finished_at"), "kept")
 
 
 def _arriving(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]:

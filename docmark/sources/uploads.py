@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from docmark import dims
 from docmark.functions.names import DEFAULT_FILENAME
@@ -69,3 +70,16 @@ def stream_uploads(spark: SparkSession, path: str,
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .load(path))
     return _by_size(files, max_bytes)
+
+
+def write_uploads(spark: SparkSession, path: str, out: str, max_bytes: int = DEFAULT.max_upload_bytes,
+                  max_files_per_trigger: int = 1_000) -> tuple[DataStreamWriter, DataStreamWriter]:
+    """Writers of arriving files: uploads into ``{out}/uploads``, rejects into ``{out}/rejects``.
+
+    Each sink is a query of its own, so that its length test reaches the listing: the rejects
+    never open a file, and the uploads never open one over the limit.
+    """
+    uploads, rejects = stream_uploads(spark, path, max_bytes, max_files_per_trigger)
+    sink = lambda rows, name: rows.writeStream.format("parquet").option(
+        "checkpointLocation", f"{out}/{name}-checkpoint").option("path", f"{out}/{name}")
+    return sink(uploads, "uploads"), sink(rejects, "rejects")

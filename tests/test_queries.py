@@ -7,8 +7,6 @@ from docmark.plans.oracle import ORACLE
 from docmark.plans.queries import QUERIES
 from tests.support import differences
 
-WITHOUT_SQL = {"read_uploads", "stream_uploads"}
-
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, sf_dir, name):
@@ -21,5 +19,5 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
-def test_every_query_has_sql_but_those_on_files():
-    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
