@@ -17,6 +17,7 @@ BEAT_S = 3_600
 STREAM_FILES, STREAM_FILE_ROWS = 3, 1_000_000
 FAIL_REASON = "The document could not be converted to Markdown."
 PATTERNS = (b'token = "', b"PRIVATE KEY")
+XML_HEAD = '<?xml version="1.0"?><!DOCTYPE item [<!ENTITY who "nobody">]>'
 EXTENSIONS = {5: ".csv", 6: ".json", 7: ".pdf", 8: ".docx", 9: ".exe"}
 
 
@@ -55,9 +56,55 @@ def uploads_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "task_id", md5("p", F.col("page_id")))
 
 
+def uploads_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as files of the kinds that documents and pages are not.
+
+    The XML ones declare an entity and refer to it.
+    """
+    kind = F.pmod(F.crc32(F.col("item_id").cast("string").cast("binary")), F.lit(3))
+    body = F.when(kind == 0, F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>"))).when(
+        kind == 1, F.concat(F.lit("PK\x03\x04"), F.col("text"))).otherwise(F.concat(
+            F.lit(XML_HEAD), F.lit("<item>&who; "), F.col("text"), F.lit("</item>")))
+    ext = F.when(kind == 0, ".htm").when(kind == 1, ".xlsx").otherwise(".xml")
+    items = table(spark, sf_dir, "benchmark").select("item_id", body.alias("body"), ext.alias("ext"))
+    return uploads_from_table(items, "item_id", "body", F.col("ext"), prefix="item_").withColumn(
+        "task_id", md5("i", F.col("item_id")))
+
+
 def uploads_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = uploads_documents(spark, sf_dir).drop("doc_id")
-    return docs.unionByName(uploads_pages(spark, sf_dir).drop("page_id"))
+    return docs.unionByName(uploads_pages(spark, sf_dir).drop("page_id")).unionByName(
+        uploads_items(spark, sf_dir).drop("item_id"))
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scanner said of the documents: by the length of their texts."""
+    docs = table(spark, sf_dir, "documents")
+    odd = F.col("n_chars") % 101
+    return docs.select(md5(F.col("doc_id")).alias("task_id"), F.when(odd == 0, "infected").when(
+        odd == 1, "unavailable").when(odd == 2, "pending").otherwise("clean").alias("verdict"))
+
+
+def document_images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(assets, errors)``: two images of the documents that are layouts, some of them lost."""
+    docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 7").select(
+        md5(F.col("doc_id")).alias("task_id"), "doc_id", "source")
+    lost = docs.where("doc_id % 50 = 7").select(
+        "task_id", F.when(F.col("doc_id") % 100 == 7, "PdfImageExtractionError").otherwise("KeyError").alias("error"))
+    images = docs.select("task_id", F.col("source").alias("extension"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("i"))
+    return images.select(
+        "task_id", F.lit(0).cast("long").alias("page_index"), F.col("i").cast("long").alias("image_index"),
+        F.concat(F.lit("img"), F.when(F.col("i") == 1, F.substring("task_id", 1, 1)).otherwise(F.lit("0")), F.lit(".png")).alias("name"),
+        F.concat("task_id", F.col("i").cast("string")).cast("binary").alias("data"), F.lit("png").alias("extension")), lost
+
+
+def document_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When the documents' tasks began and ended: a tenth of a second a character."""
+    docs = table(spark, sf_dir, "documents")
+    begun = F.lit(1_700_000_000_000).cast("long") + F.col("doc_id") * 1000
+    return docs.select(
+        md5(F.col("doc_id")).alias("task_id"), F.timestamp_millis(begun).alias("started_at"),
+        F.timestamp_millis(begun + F.col("n_chars") * 100).alias("finished_at"))
 
 
 def batched(files: DataFrame) -> DataFrame:

@@ -302,7 +302,8 @@ _ROUTED = f"""
 routed AS (
   SELECT doc_id, task_id, filename, raw, {_case('ext', {'.csv': 'csv', '.json': 'json', '.txt': 'text', '.pdf': 'layout', '.docx': 'cells'})} AS route
   FROM docs_checked WHERE error IS NULL)"""
-_DIRECT = f"CASE route WHEN 'csv' THEN {_CSV} WHEN 'html' THEN {_html_sql('raw')} ELSE raw END"
+_DIRECT = f"""CASE route WHEN 'csv' THEN {_CSV} WHEN 'html' THEN {_html_sql('raw')}
+  WHEN 'xml' THEN replace(raw, '{b.XML_HEAD}', '<?xml version="1.0"?>') ELSE raw END"""
 
 add("write_standalone", UPLOADS, _ROUTED, select=f"""
 SELECT task_id, regexp_replace(filename, '\\.[a-z]+$', '.md') AS file_name, route,
@@ -709,12 +710,26 @@ add("stream_validate", UPLOADS, select="SELECT doc_id, mime, error FROM docs_che
 
 # --- whole pipeline ----------------------------------------------------------
 
+#: crc32 of ``crc_of``, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(8 * strlen(crc_of)),
+    lambda i: (ascii(substr(crc_of, CAST(i // 8 + 1 AS INTEGER), 1)) >> CAST(i % 8 AS INTEGER)) & 1)),
+    lambda c, v: CASE WHEN xor(c, v) & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
 _ALL_ROUTED = f"""
 all_files AS (
   SELECT task_id, filename, raw, error, {_case('ext', {'.csv': 'csv', '.json': 'json', '.txt': 'text', '.pdf': 'layout', '.docx': 'cells'})} AS route
   FROM docs_checked
-  UNION ALL SELECT task_id, filename, raw, error, 'html' FROM pages_checked)"""
-add("route_by_type", UPLOADS, _ALL_ROUTED, select=f"""
+  UNION ALL SELECT task_id, filename, raw, error, 'html' FROM pages_checked
+  UNION ALL SELECT task_id, filename, raw, error, route FROM items_checked)"""
+ITEMS = f"""
+items AS (
+  SELECT item_id, text, {_CRC32} % 3 AS kind FROM (SELECT *, CAST(item_id AS VARCHAR) AS crc_of FROM benchmark)),
+items_checked AS (
+  SELECT md5('i' || item_id) AS task_id, 'item_' || item_id || {_case('kind', {0: '.htm', 1: '.xlsx', 2: '.xml'})} AS filename,
+    {_case('kind', {0: 'html', 1: 'cells', 2: 'xml'})} AS route, NULL::VARCHAR AS error,
+    CASE kind WHEN 0 THEN '<p>' || text || '</p>' WHEN 1 THEN 'PK' || chr(3) || chr(4) || text
+      ELSE '{b.XML_HEAD}<item>&who; ' || text || '</item>' END AS raw
+  FROM items)"""
+add("route_by_type", UPLOADS, ITEMS, _ALL_ROUTED, select=f"""
 SELECT task_id, route,
   CASE WHEN route IN ('layout', 'cells') THEN 'MarkdownCompilationError' END AS error,
   CASE WHEN route NOT IN ('layout', 'cells') THEN md5({_DIRECT}) END AS markdown_md5
@@ -742,19 +757,31 @@ decoded AS (
   SELECT md5(CAST(conv_id * 10 + CASE WHEN conv_id % 2 = 0 THEN 7 ELSE 8 END AS VARCHAR)) AS task_id,
     string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) FILTER (WHERE text <> '') AS dtext
   FROM conversations GROUP BY conv_id),
-corpus AS (
+said AS (
+  SELECT md5(CAST(doc_id AS VARCHAR)) AS task_id, n_chars % 101 AS odd,
+    CASE WHEN doc_id % 100 = 7 THEN 'PdfImageExtractionError' WHEN doc_id % 50 = 7 THEN 'KeyError' END AS lost
+  FROM documents),
+{{name}} AS (
   SELECT *, CASE WHEN error IS NOT NULL THEN 'intake' WHEN {_INFECTED} THEN 'scan'
-    WHEN route IN ('layout', 'cells') AND dtext IS NULL THEN 'parse' ELSE 'done' END AS phase
-  FROM all_files LEFT JOIN decoded USING (task_id))"""
-_CORPUS_BASE = (UPLOADS, THREATS, _ALL_ROUTED, _CORPUS)
+    WHEN {{stops}} AND odd = 0 THEN 'scan' WHEN {{stops}} AND odd = 1 THEN 'unavailable'
+    WHEN {{stops}} AND odd = 2 THEN 'pending'
+    WHEN route IN ('layout', 'cells') AND dtext IS NULL THEN 'parse'
+    WHEN {{stops}} AND lost = 'KeyError' THEN 'lost' WHEN {{stops}} AND lost IS NOT NULL THEN 'images'
+    ELSE 'done' END AS phase
+  FROM all_files LEFT JOIN decoded USING (task_id) LEFT JOIN said USING (task_id))"""
+_CORPUS_BASE = (UPLOADS, THREATS, ITEMS, _ALL_ROUTED, _CORPUS.format(name="corpus", stops="true"))
+_CORPUS_PLAIN = _CORPUS.format(name="corpus", stops="false")
 add("convert_corpus", *_CORPUS_BASE, select=f"""
 SELECT task_id, route, regexp_replace(filename, '\\.[a-z]+$', '.md') AS output_name, 0::BIGINT AS part,
   md5(CASE WHEN route IN ('layout', 'cells') THEN dtext ELSE {_DIRECT} END) AS markdown_md5
 FROM corpus WHERE phase = 'done'""")
 _PHASE_ERROR = """CASE phase WHEN 'intake' THEN error WHEN 'scan' THEN 'VirusDetectedError'
-  ELSE 'MarkdownCompilationError' END"""
+  WHEN 'unavailable' THEN 'AntivirusUnavailableError' WHEN 'parse' THEN 'MarkdownCompilationError' ELSE lost END"""
 add("corpus_failures", *_CORPUS_BASE, select=f"""
-SELECT task_id, phase, {_PHASE_ERROR} AS error FROM corpus WHERE phase <> 'done'""")
+SELECT task_id, CASE WHEN phase = 'unavailable' THEN 'scan' WHEN phase IN ('images', 'lost') THEN 'assets' ELSE phase END AS phase,
+  {_PHASE_ERROR} AS error FROM corpus WHERE phase NOT IN ('done', 'pending')""")
+# an image that cannot be extracted is an unexpected error of the pipeline
+_IMAGES = ("PACKAGING", dims.PIPELINE_MESSAGE)
 add("corpus_status_events", *_CORPUS_BASE, select=f"""
 , steps(phase, seq, op, stage, status, error_reason) AS (VALUES
   ('done', 0, 'init', 'UPLOADED', 'PENDING', NULL), ('done', 1, 'advance', 'SCANNING', 'ACTIVE', NULL),
@@ -762,11 +789,20 @@ add("corpus_status_events", *_CORPUS_BASE, select=f"""
   ('done', 4, 'advance', 'PACKAGING', 'ACTIVE', NULL), ('done', 5, 'advance', 'PACKAGING', 'SUCCESS', NULL),
   ('scan', 0, 'init', 'UPLOADED', 'PENDING', NULL), ('scan', 1, 'advance', 'SCANNING', 'ACTIVE', NULL),
   ('scan', 2, 'fail', 'SCANNING', 'FAILURE', {_q(dims.ERRORS['VirusDetectedError'][2])}),
+  ('unavailable', 0, 'init', 'UPLOADED', 'PENDING', NULL), ('unavailable', 1, 'advance', 'SCANNING', 'ACTIVE', NULL),
+  ('unavailable', 2, 'fail', 'SCANNING', 'FAILURE', {_q(dims.ERRORS['AntivirusUnavailableError'][2])}),
+  ('pending', 0, 'init', 'UPLOADED', 'PENDING', NULL), ('pending', 1, 'advance', 'SCANNING', 'ACTIVE', NULL),
+  ('images', 0, 'init', 'UPLOADED', 'PENDING', NULL), ('images', 1, 'advance', 'SCANNING', 'ACTIVE', NULL),
+  ('images', 2, 'advance', 'PARSING', 'ACTIVE', NULL), ('images', 3, 'advance', 'RESOLVING_ASSETS', 'ACTIVE', NULL),
+  ('images', 4, 'fail', {_q(_IMAGES[0])}, 'FAILURE', {_q(_IMAGES[1])}),
+  ('lost', 0, 'init', 'UPLOADED', 'PENDING', NULL), ('lost', 1, 'advance', 'SCANNING', 'ACTIVE', NULL),
+  ('lost', 2, 'advance', 'PARSING', 'ACTIVE', NULL), ('lost', 3, 'advance', 'RESOLVING_ASSETS', 'ACTIVE', NULL),
+  ('lost', 4, 'fail', 'PACKAGING', 'FAILURE', {_q(dims.PIPELINE_MESSAGE)}),
   ('parse', 0, 'init', 'UPLOADED', 'PENDING', NULL), ('parse', 1, 'advance', 'SCANNING', 'ACTIVE', NULL),
   ('parse', 2, 'advance', 'PARSING', 'ACTIVE', NULL),
   ('parse', 3, 'fail', 'PARSING', 'FAILURE', {_q(dims.ERRORS['MarkdownCompilationError'][2])}))
 SELECT task_id, seq, op, stage, status, error_reason FROM corpus JOIN steps USING (phase)""")
-add("convert_batches", UPLOADS, THREATS, BATCHED, _ALL_ROUTED, _CORPUS, select="""
+add("convert_batches", UPLOADS, THREATS, BATCHED, ITEMS, _ALL_ROUTED, _CORPUS_PLAIN, select="""
 , good AS (
   SELECT batch_id FROM members GROUP BY batch_id
   HAVING count(*) <= 10 AND count(*) FILTER (WHERE error IS NOT NULL) = 0)
@@ -774,3 +810,37 @@ SELECT batch_id, 'Batch_Conversion_' || batch_id[1:8] || '.zip' AS archive_name,
   task_id[1:8] || '_' || regexp_replace(c.filename, '\\.[a-z]+$', '.zip') AS entry_name, task_id
 FROM corpus c JOIN (SELECT task_id, batch_id, pos FROM members) m USING (task_id) JOIN good USING (batch_id)
 WHERE phase = 'done'""")
+add("convert_corpus_package", *_CORPUS_BASE, select=f"""
+, texts AS (
+  SELECT *, regexp_replace(filename, '\\.[a-z]+$', '.zip') AS output_name,
+    CASE WHEN route IN ('layout', 'cells') THEN dtext ELSE {_DIRECT} END AS text
+  FROM corpus WHERE phase = 'done'),
+images AS (
+  SELECT md5(CAST(doc_id AS VARCHAR)) AS task_id, i, 'img' || CASE i WHEN 1 THEN md5(CAST(doc_id AS VARCHAR))[1:1] ELSE '0' END || '.png' AS name
+  FROM documents, (VALUES (0), (1)) v(i) WHERE doc_id % 10 = 7),
+linked AS (
+  SELECT task_id, string_agg(chr(10) || chr(10) || '![' || name || '](images/' || name || ')', '' ORDER BY i) AS links
+  FROM images GROUP BY task_id),
+files AS (
+  SELECT task_id, 'images/' || name AS path, min(i) AS first, max(i) AS last FROM images GROUP BY ALL)
+SELECT task_id, output_name, -1::BIGINT AS page_index, -1::BIGINT AS image_index, 'document.md' AS path,
+  md5(text || coalesce(links, '')) AS data_md5
+FROM texts LEFT JOIN linked USING (task_id)
+UNION ALL
+SELECT task_id, output_name, 0, first, path, md5(task_id || last) FROM texts JOIN files USING (task_id)""")
+add("convert_batches_in_time", UPLOADS, THREATS, BATCHED, ITEMS, _ALL_ROUTED, _CORPUS_PLAIN, select=f"""
+, good AS (
+  SELECT batch_id FROM members GROUP BY batch_id
+  HAVING count(*) <= 10 AND count(*) FILTER (WHERE error IS NOT NULL) = 0),
+times AS (
+  SELECT md5(CAST(doc_id AS VARCHAR)) AS task_id, 1700000000000000 + doc_id * 1000000 AS begun,
+    1700000000000000 + doc_id * 1000000 + n_chars * 100000 AS ended FROM documents),
+closed AS (
+  SELECT batch_id, least(max(ended), min(begun) + {b.LIMITS.barrier_timeout_s} * 1000000) AS closes_at,
+    max(ended) > min(begun) + {b.LIMITS.barrier_timeout_s} * 1000000 AS timed_out
+  FROM members JOIN good USING (batch_id) JOIN times USING (task_id) GROUP BY batch_id)
+SELECT batch_id, 'Batch_Conversion_' || batch_id[1:8] || '.zip' AS archive_name, pos AS entry_no,
+  task_id[1:8] || '_' || regexp_replace(c.filename, '\\.[a-z]+$', '.md') AS entry_name, task_id,
+  closes_at, timed_out, closes_at + {b.LIMITS.retention_s} * 1000000 AS purge_at
+FROM corpus c JOIN (SELECT task_id, batch_id, pos FROM members) m USING (task_id) JOIN closed USING (batch_id)
+JOIN times USING (task_id) WHERE phase = 'done' AND ended <= closes_at""")

@@ -837,7 +837,8 @@ def assemble_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return pipeline.convert_corpus(
         b.uploads_all(spark, sf_dir), "standalone", b.toxic_hashes(spark, sf_dir), b.PATTERNS,
-        decoded=_decoded(spark, sf_dir), limits=b.LIMITS)
+        decoded=_decoded(spark, sf_dir), limits=b.LIMITS, verdicts=b.verdicts(spark, sf_dir),
+        asset_errors=b.document_images(spark, sf_dir)[1])
 
 
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -858,6 +859,18 @@ def convert_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         "task_id", "route", "output_name", "part", digest("markdown", "markdown_md5"))
 
 
+@query
+def convert_corpus_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Package entries of all converted files, with the images of layouts."""
+    images, lost = b.document_images(spark, sf_dir)
+    converted, _, _ = pipeline.convert_corpus(
+        b.uploads_all(spark, sf_dir), "package", b.toxic_hashes(spark, sf_dir), b.PATTERNS,
+        decoded=_decoded(spark, sf_dir), assets=images, limits=b.LIMITS, verdicts=b.verdicts(spark, sf_dir),
+        asset_errors=lost)
+    return pipeline.corpus_packages(converted, images).select(
+        "task_id", "output_name", "page_index", "image_index", "path", F.md5("data").alias("data_md5"))
+
+
 @query
 def corpus_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, failures, _ = _corpus(spark, sf_dir)
@@ -875,3 +888,13 @@ def convert_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.convert_batches(
         b.batched(b.uploads_documents(spark, sf_dir)), "package",
         b.toxic_hashes(spark, sf_dir), b.PATTERNS, _decoded(spark, sf_dir), b.LIMITS)
+
+
+@query
+def convert_batches_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives that close in time: members that end late are left out."""
+    made = pipeline.convert_batches(
+        b.batched(b.uploads_documents(spark, sf_dir)), "standalone", b.toxic_hashes(spark, sf_dir), b.PATTERNS,
+        _decoded(spark, sf_dir), b.LIMITS, times=b.document_times(spark, sf_dir))
+    return made.select(
+        "batch_id", "archive_name", "entry_no", "entry_name", "task_id", us("closes_at"), "timed_out", us("purge_at"))

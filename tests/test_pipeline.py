@@ -1,5 +1,6 @@
 """Sources, sinks, deliveries and the whole pipeline."""
 
+import datetime as dt
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -48,10 +49,11 @@ def test_corpus(spark):
     converted, failures, events = run(spark)
     assert {r.task_id: (r.output_name, r.markdown) for r in converted.collect()} == {
         "h": ("index.md", "# Title\n\nParagraph"), "c": ("data.md", "| a | b |\n| --- | --- |\n| 1 | 2 |\n"),
-        "p": ("doc.md", "layout text"), "r": ("fine.md", "<d>1</d>"), "m": ("ok.md", "ok")}
+        "p": ("doc.md", "layout text"), "r": ("fine.md", "<d>1</d>"), "m": ("ok.md", "ok"),
+        "q": ("bomb.md", "<d>&a;</d>")}
     assert {r.task_id: (r.phase, r.error) for r in failures.collect()} == {
         "x": ("parse", dims.TOO_LARGE), "e": ("scan", dims.VIRUS), "k": ("scan", dims.VIRUS),
-        "q": ("parse", dims.XML_ATTACK), "n": ("intake", dims.UNSUPPORTED),
+        "n": ("intake", dims.UNSUPPORTED),
         "o": ("parse", dims.MARKDOWN_FAILED)}
     assert "content" not in failures.columns and "content" not in converted.columns
     last = {r.task_id: (r.n, r.stage, r.status, r.error_reason) for r in events.groupBy("task_id").agg(
@@ -61,7 +63,74 @@ def test_corpus(spark):
     assert last["h"] == (6, "PACKAGING", "SUCCESS", None)
     assert last["e"] == (3, "SCANNING", "FAILURE", dims.ERRORS[dims.VIRUS][2])
     assert last["o"] == (4, "PARSING", "FAILURE", dims.ERRORS[dims.MARKDOWN_FAILED][2])
-    assert last["q"] == (4, "PACKAGING", "FAILURE", dims.PIPELINE_MESSAGE)
+    assert last["q"] == (6, "PACKAGING", "SUCCESS", None)
+
+
+def test_strict_xml_refuses_declarations(spark):
+    _, failures, events = run(spark, strict_xml=True)
+    assert ("q", "parse", dims.XML_ATTACK) in {(r.task_id, r.phase, r.error) for r in failures.collect()}
+    end = events.filter("task_id = 'q' AND seq = 3").first()
+    assert (end.stage, end.status, end.error_reason) == ("PACKAGING", "FAILURE", dims.PIPELINE_MESSAGE)
+
+
+def test_verdicts_and_lost_assets_stop_files(spark):
+    said = spark.createDataFrame(
+        [("h", "infected"), ("c", "unavailable"), ("m", "pending"), ("p", "clean"), ("n", "infected"), ("e", "unavailable")],
+        "task_id string, verdict string")
+    lost = spark.createDataFrame([("p", "PdfImageExtractionError"), ("h", "KeyError")], "task_id string, error string")
+    converted, failures, events = run(spark, verdicts=said, asset_errors=lost)
+    assert {r.task_id for r in converted.collect()} == {"r", "q"}
+    found = {r.task_id: (r.phase, r.error) for r in failures.collect()}
+    assert {t: found[t] for t in "hcpnek"} == {
+        "h": ("scan", dims.VIRUS), "c": ("scan", dims.SCAN_UNAVAILABLE), "p": ("assets", "PdfImageExtractionError"),
+        "n": ("intake", dims.UNSUPPORTED), "e": ("scan", dims.VIRUS), "k": ("scan", dims.VIRUS)}
+    assert "m" not in found
+    steps = {t: [(r.stage, r.status) for r in sorted(events.filter(F.col("task_id") == t).collect(), key=lambda r: r.seq)]
+             for t in "mpc"}
+    assert steps["m"] == [("UPLOADED", "PENDING"), ("SCANNING", "ACTIVE")]
+    assert [s for s, _ in steps["p"]] == ["UPLOADED", "SCANNING", "PARSING", "RESOLVING_ASSETS", "PACKAGING"]
+    assert steps["p"][-1][1] == steps["c"][-1][1] == "FAILURE" and steps["c"][-1][0] == "SCANNING"
+
+
+def test_packages(spark):
+    images = spark.createDataFrame(
+        [("p", 0, 0, "i.png", bytearray(b"1"), "png"), ("p", 0, 1, "i.png", bytearray(b"2"), "png"),
+         ("x", 0, 0, "lost.png", bytearray(b"x"), "png")],
+        "task_id string, page_index long, image_index long, name string, data binary, extension string")
+    converted, _, _ = run(spark, mode="package", assets=images)
+    got = {(r.task_id, r.path): (r.output_name, bytes(r.data)) for r in pipeline.corpus_packages(converted, images).collect()}
+    assert got["p", "document.md"] == ("doc.zip", b"layout text\n\n![i.png](images/i.png)\n\n![i.png](images/i.png)")
+    assert got["p", "images/i.png"] == ("doc.zip", b"2") and got["m", "document.md"] == ("ok.zip", b"ok")
+    assert {t for t, _ in got} == {"h", "c", "p", "q", "r", "m"}
+
+
+def test_contents_are_read_once(spark, tmp_path):
+    corpus(spark).write.parquet(str(tmp_path / "in"))
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    files = spark.read.parquet(str(tmp_path / "in"))
+    counted = files.mapInArrow(seen, files.schema)
+    said = spark.createDataFrame([("h", "infected")], "task_id string, verdict string")
+    for result in pipeline.convert_corpus(counted, hashes=known(spark), patterns=[b"threat"],
+                                          decoded=decoded(spark), verdicts=said):
+        result.collect()
+    assert reads.value == len(FILES)
+
+
+def test_late_members_are_left_out(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    times = spark.createDataFrame(
+        [("h", at(0), at(10)), ("c", at(5), at(400)), ("p", at(5), at(300)), ("q", at(0), at(3)), ("r", at(1), at(7))],
+        "task_id string, started_at timestamp, finished_at timestamp")
+    made = pipeline.convert_batches(corpus(spark), "standalone", known(spark), [b"threat"], decoded(spark), times=times)
+    assert {(r.batch_id, r.entry_name, r.closes_at, r.timed_out, r.purge_at) for r in made.collect()} == {
+        ("b1", "h_index.md", at(300), True, at(900)), ("b1", "p_doc.md", at(300), True, at(900)),
+        ("b3", "q_bomb.md", at(7), False, at(607)), ("b3", "r_fine.md", at(7), False, at(607))}
 
 
 def test_large_threat_lists_take_the_narrow_join(spark, monkeypatch):
@@ -87,7 +156,8 @@ def test_batches(spark):
     made = pipeline.convert_batches(
         corpus(spark), "standalone", known(spark), [b"threat"], decoded(spark))
     assert {(r.batch_id, r.entry_no, r.entry_name) for r in made.collect()} == {
-        ("b1", 0, "h_index.md"), ("b1", 1, "c_data.md"), ("b1", 2, "p_doc.md"), ("b3", 1, "r_fine.md")}
+        ("b1", 0, "h_index.md"), ("b1", 1, "c_data.md"), ("b1", 2, "p_doc.md"), ("b3", 0, "q_bomb.md"),
+        ("b3", 1, "r_fine.md")}
     small = pipeline.convert_batches(corpus(spark), limits=replace(DEFAULT, max_batch_files=2))
     assert {r.batch_id for r in small.collect()} == {"b3"}
 
