@@ -148,9 +148,9 @@ def documents_in_files(spark: SparkSession, sf_dir: str, path: str) -> None:
 def toxic_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the contents labelled toxic."""
     toxic = table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select("doc_id")
-    files = uploads_documents(spark, sf_dir)
-    return files.join(toxic, "doc_id", "left_semi").select(
-        F.sha2("content", 256).alias("sha256")).distinct()
+    # digests first, so that no content moves
+    digests = uploads_documents(spark, sf_dir).select("doc_id", F.sha2("content", 256).alias("sha256"))
+    return digests.join(toxic, "doc_id", "left_semi").select("sha256").distinct()
 
 
 # --- status ------------------------------------------------------------------

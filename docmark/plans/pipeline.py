@@ -171,13 +171,17 @@ def _history(phase: Column, error: Column) -> Column:
 def process_corpus(uploads: DataFrame, hashes: DataFrame | None = None,
                    patterns: Sequence[bytes] = (), decoded: DataFrame | None = None,
                    limits: Limits = DEFAULT, verdicts: DataFrame | None = None,
-                   asset_errors: DataFrame | None = None, strict_xml: bool = False) -> DataFrame:
+                   asset_errors: DataFrame | None = None, strict_xml: bool = False,
+                   write: bool = False) -> DataFrame:
     """Every upload with ``mime, phase, route, markdown, error`` and no content.
 
     ``phase`` is where it ended: intake (no task was made), scan, parse, assets or done.
     ``hashes`` (``sha256``) and ``patterns`` are known threats, ``verdicts`` (``task_id, verdict``)
     what a scanner has said after its retries, ``asset_errors`` (``task_id, error``) images that
     could not be extracted. A file waits in the scan while its verdict is pending.
+
+    With any of these, or with ``write``, the projection is written, for callers that use the
+    rows more than once; else it is lazy, without a shuffle.
     """
     checked = validation.checked_uploads(uploads, limits).withColumn(
         "_hit", contains_any(F.col("content"), patterns))
@@ -187,16 +191,14 @@ def process_corpus(uploads: DataFrame, hashes: DataFrame | None = None,
     screened = checked.withColumn("phase", F.when(refused, "intake").when(hit, "scan")).withColumn(
         "error", F.when(refused, F.col("error")).when(hit, dims.VIRUS)).drop("_hit")
     ended = F.coalesce("phase", F.when(F.col("error").isNull(), "done").otherwise("parse"))
-    if decoded is None and hashes is None and verdicts is None and asset_errors is None:
+    if not write and decoded is None and hashes is None and verdicts is None and asset_errors is None:
         return route_by_type(screened, strict_xml=strict_xml).withColumn("phase", ended)
 
     rows = _written(_direct(screened, strict_xml))
     stops = _stops(rows, hashes, verdicts, asset_errors)
-    if decoded is None:
-        rows = rows.drop("_waits")
-    else:
+    if decoded is not None:
         rows = _with_decoded(rows, decoded, "task_id")
-    rows = rows.drop("_sha").withColumn("phase", ended)
+    rows = rows.drop("_sha", "_waits").withColumn("phase", ended)
     if stops is None:
         return rows
     stops = _written(stops)
@@ -222,9 +224,9 @@ def convert_corpus(uploads: DataFrame, mode: str = "standalone",
 
     Standalone output embeds the assets (``task_id, page_index, image_index, name, data,
     extension``), any other mode links them; :func:`corpus_packages` makes the package of the
-    latter. The processed rows are written once, and the three results read them from there.
+    latter. Contents are read and converted once, and the three results read what was written.
     """
-    done = _written(process_corpus(uploads, hashes, patterns, decoded, limits, **stops))
+    done = process_corpus(uploads, hashes, patterns, decoded, limits, write=True, **stops)
     return split_corpus(done, mode, assets)
 
 
