@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docmark.functions.binary import data_uri
 from docmark.functions.names import asset_ext, asset_name
-from docmark.operators.assembly import SLICE, ordered_text
+from docmark.operators.assembly import CHUNK_BYTES, text_chunks, whole_text
 
 IMAGE_DIR = "images/"
 DOCUMENT = "document.md"
@@ -29,7 +29,14 @@ def number_assets(docs: DataFrame) -> DataFrame:
         asset_ext(F.col("name")).alias("extension"))
 
 
-def _append(docs: DataFrame, assets: DataFrame, target: Column, slice_pages: int) -> DataFrame:
+def asset_chunks(docs: DataFrame, assets: DataFrame, inline: bool, chunk_bytes: int = CHUNK_BYTES,
+                 split: bool | None = None, ranges: int | None = None) -> DataFrame:
+    """Chunks of each document's text with its assets appended, embedded or linked.
+
+    Documents and assets meet in one aggregation, so documents without assets stay and
+    no join is needed.
+    """
+    target = data_uri(F.col("data"), F.col("extension")) if inline else F.concat(F.lit(IMAGE_DIR), F.col("name"))
     head = docs.select(
         "doc_id", F.lit(-1).cast("long").alias("page_index"),
         F.lit(-1).cast("long").alias("image_index"),
@@ -38,24 +45,18 @@ def _append(docs: DataFrame, assets: DataFrame, target: Column, slice_pages: int
     tail = assets.select(
         "doc_id", F.col("page_index").cast("long").alias("page_index"),
         F.col("image_index").cast("long").alias("image_index"), piece.alias("_piece"))
-    part = F.floor(F.greatest("page_index", F.lit(0)) / F.lit(slice_pages)).cast("long")
-    return ordered_text(
-        head.unionByName(tail), ["doc_id"], ["page_index", "image_index"],
-        F.col("_piece"), "", part)
+    return text_chunks(head.unionByName(tail), ["doc_id"], ["page_index", "image_index"], F.col("_piece"), "",
+                       chunk_bytes, split, ranges)
 
 
-def inline_assets(docs: DataFrame, assets: DataFrame, slice_pages: int = SLICE) -> DataFrame:
-    """``doc_id, part, markdown`` with each asset appended as an embedded image.
-
-    Documents and assets meet in one aggregation, so documents without assets stay and
-    no join is needed.
-    """
-    return _append(docs, assets, data_uri(F.col("data"), F.col("extension")), slice_pages)
+def inline_assets(docs: DataFrame, assets: DataFrame, split: bool | None = None) -> DataFrame:
+    """``doc_id, markdown`` with each asset appended as an embedded image."""
+    return whole_text(asset_chunks(docs, assets, True, split=split), ["doc_id"])
 
 
-def link_assets(docs: DataFrame, assets: DataFrame, slice_pages: int = SLICE) -> DataFrame:
-    """``doc_id, part, markdown`` with each asset appended as a relative link."""
-    return _append(docs, assets, F.concat(F.lit(IMAGE_DIR), F.col("name")), slice_pages)
+def link_assets(docs: DataFrame, assets: DataFrame, split: bool | None = None) -> DataFrame:
+    """``doc_id, markdown`` with each asset appended as a relative link."""
+    return whole_text(asset_chunks(docs, assets, False, split=split), ["doc_id"])
 
 
 def package_manifest(docs: DataFrame, assets: DataFrame) -> DataFrame:

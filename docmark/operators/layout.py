@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from docmark import dims
 from docmark.functions.tables import grid_to_markdown
 from docmark.functions.text import strip
-from docmark.operators.assembly import BROADCAST_ROWS, PAGE_GAP, assemble_page, ordered_text
-from docmark.operators.carry import BUCKET, Timeline
+from docmark.operators.assembly import BROADCAST_ROWS, assemble_document, assemble_page
+from docmark.operators.carry import BUCKET, LARGE_KEY_ROWS, Timeline, ranges_needed
 
 PAGE = ["doc_id", "page_no"]
 
@@ -125,17 +125,18 @@ def _elements(tables: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFram
             none.cast("long").alias("line_no"))))
 
 
-def assemble_layout(tables: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFrame:
+def assemble_layout(tables: DataFrame, lines: DataFrame, pages: DataFrame,
+                    large_pages: int = LARGE_KEY_ROWS) -> DataFrame:
     """``doc_id, markdown, error`` of every document in ``pages``.
 
     A region or table that cannot be read (NULL text or grid) is left out; a document
     with a page that cannot be read (NULL height) fails whole. The upload limit is one of
     files, not of the text in them, so a document of any length is assembled.
 
-    A document is one text, so all of its rows meet in one shuffle: a line's place is
-    the number of tables that start above it, and it belongs to the text there unless
-    the last of them still covers it. Regions, parts, pages and the document are grouped
-    in that partitioning.
+    The rows of a page meet in one shuffle: a line's place is the number of tables that start
+    above it, and it belongs to the text there unless the last of them still covers it. Pages are
+    spread over all tasks, whatever document they belong to; their texts are then joined by
+    document, which a document of more than ``large_pages`` pages does in chunks.
     """
     bad = _verdicts(pages)
     found = bad.limit(BROADCAST_ROWS + 1).count()
@@ -143,7 +144,7 @@ def assemble_layout(tables: DataFrame, lines: DataFrame, pages: DataFrame) -> Da
     if found:
         held = F.broadcast(bad) if found <= BROADCAST_ROWS else bad
         good = tuple(df.join(held, "doc_id", "left_anti") for df in good)
-    axis = _elements(*good).repartition("doc_id")
+    axis = _elements(*good).repartition(*PAGE)
     # numeric table ids keep their order as numbers
     if not isinstance(tables.schema["table_id"].dataType, T.StringType):
         axis = axis.withColumn("_order", F.col("_order").cast(tables.schema["table_id"].dataType))
@@ -163,13 +164,11 @@ def assemble_layout(tables: DataFrame, lines: DataFrame, pages: DataFrame) -> Da
     parts = kept.filter(F.col("text").isNotNull()).groupBy(*PAGE, ord_.alias("ord")).agg(
         F.array_sort(F.collect_list(item))["text"].alias("_lines"))
     parts = parts.select(*PAGE, "ord", F.array_join("_lines", "\n").alias("text"))
-    page_text = assemble_page(parts, slice_parts=None)
-    text = ordered_text(
-        page_text, ["doc_id"], ["page_no"], F.col("text"), PAGE_GAP, F.lit(0).cast("long"))
+    ranges = ranges_needed(pages, ["doc_id"], large_pages)
     docs = good[2].select("doc_id").distinct()
-    made = docs.join(text.select("doc_id", "markdown"), "doc_id", "left").select(
-        "doc_id", F.coalesce("markdown", F.lit("")).alias("markdown"),
-        F.lit(None).cast("string").alias("error"))
+    made = assemble_document(
+        assemble_page(parts, split=False), docs, split=ranges is not None, ranges=ranges,
+    ).withColumn("error", F.lit(None).cast("string"))
     if not found:
         return made
     failed = bad.select("doc_id", F.lit(None).cast("string").alias("markdown"), "error")

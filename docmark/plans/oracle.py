@@ -464,7 +464,7 @@ FROM part""")
 add("html_to_markdown", select=f"SELECT page_id, {_html_sql('html')} AS markdown FROM pages")
 add("text_to_markdown", UPLOADS, select="SELECT doc_id, md5(raw) AS markdown_md5 FROM docs_up")
 add("csv_to_markdown", select="""
-SELECT o_custkey, 0::BIGINT AS part,
+SELECT o_custkey,
   '| key | priority |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(
     '| ' || o_orderkey || ' | ' || o_orderpriority || ', "' || o_orderstatus || '" |' || chr(10),
     '' ORDER BY o_orderkey) AS markdown
@@ -536,34 +536,34 @@ WITH r AS (
       ELSE [o_orderkey::VARCHAR, o_orderstatus, o_orderpriority] END AS c,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
 h AS (SELECT table_id, k AS k0, len(c) AS w FROM r WHERE n = 1)
-SELECT table_id, 0::BIGINT AS part, string_agg(
+SELECT table_id, string_agg(
   '| ' || array_to_string(list_resize(c, w, ''), ' | ') || ' |' || chr(10) || CASE WHEN n = 1 THEN
   '| ' || array_to_string(list_transform(range(w), lambda i: '---'), ' | ') || ' |' || chr(10) ELSE '' END,
   '' ORDER BY n) AS markdown
-FROM r JOIN h USING (table_id) GROUP BY 1, 2""")
+FROM r JOIN h USING (table_id) GROUP BY 1""")
 add("frame_to_markdown", select="""
-SELECT o_custkey, 0::BIGINT AS part,
+SELECT o_custkey,
   '| o_orderkey | o_orderstatus | o_orderpriority |' || chr(10) || '| --- | --- | --- |' || chr(10)
   || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority || ' |'
   || chr(10), '' ORDER BY o_orderkey) AS markdown
 FROM orders GROUP BY o_custkey""")
 add("assemble_page", select=f"""
-SELECT conv_id AS doc_id, 1 AS page_no, 0::BIGINT AS part,
+SELECT conv_id AS doc_id, 1 AS page_no,
   md5(string_agg({_strip('text')}, chr(10) || chr(10) ORDER BY turn)) AS text
 FROM conversations WHERE turn % 5 <> 3 GROUP BY conv_id""")
 add("assemble_document", select="""
-SELECT doc_id, 0::BIGINT AS part, md5(coalesce(t, '')) AS markdown_md5 FROM (
+SELECT doc_id, md5(coalesce(t, '')) AS markdown_md5 FROM (
   SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn)
     FILTER (WHERE (conv_id + turn) % 2 = 0 AND text <> '') AS t
   FROM conversations GROUP BY conv_id)""")
 add("inline_assets", ASSETS, select=f"""
-SELECT d.doc_id, 0::BIGINT AS part, any_value(markdown) || coalesce(string_agg(
+SELECT d.doc_id, any_value(markdown) || coalesce(string_agg(
   chr(10) || chr(10) || '![' || name || '](data:'
   || {_case('extension', dims.IMAGE_MIME, dims.DEFAULT_IMAGE_MIME)} || ';base64,' || base64(encode(data)) || ')',
   '' ORDER BY page_index, image_index), '') AS markdown
 FROM adocs d LEFT JOIN img USING (doc_id) GROUP BY d.doc_id""")
 add("link_assets", ASSETS, select="""
-SELECT d.doc_id, 0::BIGINT AS part, any_value(markdown) || coalesce(string_agg(
+SELECT d.doc_id, any_value(markdown) || coalesce(string_agg(
   chr(10) || chr(10) || '![' || name || '](images/' || name || ')',
   '' ORDER BY page_index, image_index), '') AS markdown
 FROM adocs d LEFT JOIN img USING (doc_id) GROUP BY d.doc_id""")
@@ -772,7 +772,7 @@ said AS (
 _CORPUS_BASE = (UPLOADS, THREATS, ITEMS, _ALL_ROUTED, _CORPUS.format(name="corpus", stops="true"))
 _CORPUS_PLAIN = _CORPUS.format(name="corpus", stops="false")
 add("convert_corpus", *_CORPUS_BASE, select=f"""
-SELECT task_id, route, regexp_replace(filename, '\\.[a-z]+$', '.md') AS output_name, 0::BIGINT AS part,
+SELECT task_id, route, regexp_replace(filename, '\\.[a-z]+$', '.md') AS output_name,
   md5(CASE WHEN route IN ('layout', 'cells') THEN dtext ELSE {_DIRECT} END) AS markdown_md5
 FROM corpus WHERE phase = 'done'""")
 _PHASE_ERROR = """CASE phase WHEN 'intake' THEN error WHEN 'scan' THEN 'VirusDetectedError'

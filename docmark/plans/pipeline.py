@@ -235,9 +235,8 @@ def split_corpus(done: DataFrame, mode: str = "standalone", assets: DataFrame |
     """The three results of :func:`convert_corpus` from processed rows."""
     good = done.filter(F.col("phase") == "done").withColumn(
         "output_name", output_name(F.col("filename"), F.lit(mode)))
-    if assets is None:
-        converted = good.withColumn("part", F.lit(0).cast("long"))
-    else:
+    converted = good
+    if assets is not None:
         append = asset_ops.inline_assets if mode == "standalone" else asset_ops.link_assets
         held = assets.join(good.select("task_id"), "task_id", "left_semi")
         texts = append(
@@ -257,7 +256,7 @@ def corpus_packages(converted: DataFrame, assets: DataFrame) -> DataFrame:
 
     ``task_id, output_name, page_index, image_index, path, data``.
     """
-    names = converted.filter(F.col("part") == 0).select("task_id", "output_name")
+    names = converted.select("task_id", "output_name")
     docs = converted.select(F.col("task_id").alias("doc_id"), "markdown")
     held = assets.join(names.select("task_id"), "task_id", "left_semi").withColumnRenamed("task_id", "doc_id")
     entries = asset_ops.package_manifest(docs, held).withColumnRenamed("doc_id", "task_id")

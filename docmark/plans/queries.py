@@ -364,11 +364,10 @@ def csv_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(
         F.col("o_orderkey").cast("string"), F.lit(',"'), F.col("o_orderpriority"),
         F.lit(', ""'), F.col("o_orderstatus"), F.lit('"""'))
-    csv = assembly.ordered_text(
-        orders, ["o_custkey"], ["o_orderkey"], line, "\r\n",
-        assembly.slice_of("o_orderkey", None), out="csv")
+    csv = assembly.whole_text(
+        assembly.text_chunks(orders, ["o_custkey"], ["o_orderkey"], line, "\r\n"), ["o_custkey"], "csv")
     body = F.concat(F.lit("key,priority\n"), F.col("csv"))
-    return csv.select("o_custkey", "part", tables.csv_to_markdown(body).alias("markdown"))
+    return csv.select("o_custkey", tables.csv_to_markdown(body).alias("markdown"))
 
 
 @query
@@ -549,7 +548,7 @@ def assemble_document(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((F.col("conv_id") + F.col("turn")) % 2 == 0, F.col("text")).otherwise("").alias("text"))
     docs = pages.select("doc_id").distinct()
     made = assembly.assemble_document(pages, docs)
-    return made.select("doc_id", "part", F.md5("markdown").alias("markdown_md5"))
+    return made.select("doc_id", F.md5("markdown").alias("markdown_md5"))
 
 
 @query
@@ -846,7 +845,7 @@ def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = b.table(spark, sf_dir, "conversations")
     pages = turns.select(
         F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
-    text_of = assembly.assemble_document(pages, slice_pages=None)
+    text_of = assembly.assemble_document(pages)
     return text_of.select(
         b.md5(F.col("doc_id") * 10 + F.when(F.col("doc_id") % 2 == 0, 7).otherwise(8)).alias("task_id"),
         "markdown")
@@ -856,7 +855,7 @@ def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def convert_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     converted, _, _ = _corpus(spark, sf_dir)
     return converted.select(
-        "task_id", "route", "output_name", "part", digest("markdown", "markdown_md5"))
+        "task_id", "route", "output_name", digest("markdown", "markdown_md5"))
 
 
 @query

@@ -125,58 +125,82 @@ def test_page_and_document_texts(spark):
         [("d", 0, 2, " b "), ("d", 0, 1, "\na"), ("d", 0, 3, "  "), ("d", 2, 0, "c"), ("d", 1, 0, None)],
         "doc_id string, page_no int, ord int, text string")
     pages = assembly.assemble_page(parts)
-    assert sorted((r.page_no, r.part, r.text) for r in pages.collect()) == [
-        (0, 0, "a\n\nb"), (2, 0, "c")]
+    assert sorted((r.page_no, r.text) for r in pages.collect()) == [(0, "a\n\nb"), (2, "c")]
     docs = spark.createDataFrame([("d",), ("none",)], "doc_id string")
     made = assembly.assemble_document(pages, docs)
     assert {r.doc_id: r.markdown for r in made.collect()} == {"d": "a\n\nb\n\n---\n\nc", "none": ""}
 
 
-def test_giant_groups_come_in_parts(spark):
-    """A group far over the slice gives parts that join to the whole; others stay whole."""
-    pages = spark.range(5_000).select(
-        F.when(F.col("id") < 4_990, "hot").otherwise("small").alias("doc_id"),
-        (F.col("id") % 4_990).alias("page_no"), F.concat(F.lit("p"), "id").alias("text"))
-    got = defaultdict(dict)
-    for r in assembly.assemble_document(pages, slice_pages=1_000).collect():
-        got[r.doc_id][r.part] = r.markdown
-    assert sorted(got["hot"]) == [0, 1, 2, 3, 4] and sorted(got["small"]) == [0]
-    whole = "\n\n---\n\n".join(got["hot"][p] for p in sorted(got["hot"]))
-    assert whole == "\n\n---\n\n".join(f"p{i}" for i in range(4_990))
+def check_chunks(chunks, keys, limit, want):
+    """Chunks lie side by side, are of bounded size, and make the wanted texts."""
+    got = defaultdict(list)
+    for r in chunks.collect():
+        got[tuple(r[k] for k in keys)].append((r.chunk_no, r["at"], r.text))
+    for key, rows in got.items():
+        rows.sort()
+        end = 0
+        for _, at, text in rows:
+            assert at == end and len(text.encode()) <= limit
+            end += len(text.encode())
+        assert "".join(t for _, _, t in rows) == want[key]
+    assert got.keys() == want.keys()
+    return got
 
 
-def test_frames_with_a_dominant_group(spark):
+@pytest.mark.parametrize("split", SPLITS)
+def test_giant_texts_come_in_chunks(spark, split):
+    """Page numbers are sparse and negative, pages of all lengths."""
+    rows = [("hot" if i % 10 else "small", i * 10**9 - 7, f"pé{i}" + "x" * (i % 50)) for i in range(3_000)]
+    pages = spark.createDataFrame(rows, "doc_id string, page_no long, text string").repartition(5)
+    want = {(d,): "\n\n---\n\n".join(t for g, _, t in rows if g == d) for d in ("hot", "small")}
+    chunks = assembly.document_chunks(pages, 1_000, split, 9)
+    assert len(check_chunks(chunks, ["doc_id"], 1_100, want)["hot",]) > 50
+    whole = assembly.assemble_document(pages, split=split, ranges=9)
+    assert {(r.doc_id,): r.markdown for r in whole.collect()} == want
+
+
+def test_one_text_for_near_order_values(spark):
+    pages = spark.createDataFrame([("d", n, str(n)) for n in (1_000, 999, 10**12, -1)], "doc_id string, page_no long, text string")
+    assert [r.markdown for r in assembly.assemble_document(pages).collect()] == [
+        "-1\n\n---\n\n999\n\n---\n\n1000\n\n---\n\n1000000000000"]
+
+
+@pytest.mark.parametrize("split", SPLITS)
+def test_a_giant_document_of_a_layout(spark, split):
+    n = 60
+    lines = [("d", p, 0, 1.0, 2.0, f"page {p}") for p in range(n)] + [("e", 5, 0, 1.0, 2.0, "other")]
+    pages = [("d", p, 9.0) for p in range(n)] + [("e", 5, 9.0)]
+    got = layout.assemble_layout(*frames(spark, [], lines, pages), large_pages=10 if split else 1_000)
+    assert {r.doc_id: r.markdown for r in got.collect()} == {
+        "d": "\n\n---\n\n".join(f"page {p}" for p in range(n)), "e": "other"}
+
+
+@pytest.mark.parametrize("split", SPLITS)
+def test_frames_with_a_dominant_group(spark, split):
     df = spark.range(3_000).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("g"),
         (F.col("id") * 10).alias("k"), F.concat(F.lit("v|"), "id").alias("v|x"))
-    whole = assembly.frame_to_markdown(df, ["g"], "k", ["k", "v|x"])
-    cut = assembly.frame_to_markdown(df, ["g"], "k", ["k", "v|x"], max_rows=100)
-    a = {r.g: r.markdown for r in whole.collect()}
-    b = defaultdict(dict)
-    for r in cut.collect():
-        b[r.g][r.part] = r.markdown
-    assert len(b[0]) > 10 and max(len(v.splitlines()) for v in b[0].values()) <= 102
-    assert {g: "".join(v[p] for p in sorted(v)) for g, v in b.items()} == a
-    assert a[1] == "| k | v\\|x |\n| --- | --- |\n| 10 | v\\|1 |\n"
+    whole = {(r.g,): r.markdown for r in assembly.frame_to_markdown(df, ["g"], "k", ["k", "v|x"]).collect()}
+    assert whole[1,] == "| k | v\\|x |\n| --- | --- |\n| 10 | v\\|1 |\n"
+    assert whole[0,].count("\n") == 1_002
+    chunks = assembly.frame_chunks(df, ["g"], "k", ["k", "v|x"], 500, split, 6)
+    assert len(check_chunks(chunks, ["g"], 600, whole)[0,]) > 20
 
 
 def test_cells(spark):
     cells = [("t", 5, 0, "a"), ("t", 5, 1, "b"), ("t", 7, 0, "1"), ("t", 6, 0, "x"), ("t", 6, 1, None),
              ("t", 6, 2, "cut"), ("u", 0, 0, "only")]
     df = spark.createDataFrame(cells, "table_id string, row int, col int, cell string")
-    got = {(r.table_id, r.part): r.markdown for r in assembly.cells_to_markdown(df).collect()}
-    assert got == {("t", 0): "| a | b |\n| --- | --- |\n| x |  |\n| 1 |  |\n",
-                   ("u", 0): "| only |\n| --- |\n"}
-    cut = assembly.cells_to_markdown(df, slice_rows=1).filter("table_id = 't'").orderBy("part").collect()
-    assert [r.part for r in cut] == [0, 1, 2]
-    assert "".join(r.markdown for r in cut) == got[("t", 0)]
+    got = {(r.table_id,): r.markdown for r in assembly.cells_to_markdown(df).collect()}
+    assert got == {("t",): "| a | b |\n| --- | --- |\n| x |  |\n| 1 |  |\n", ("u",): "| only |\n| --- |\n"}
+    cut = check_chunks(assembly.cell_chunks(df, chunk_bytes=1), ["table_id"], 30, got)
+    assert len(cut["t",]) == 3
 
 
 def test_a_table_is_one_text_whatever_its_row_numbers(spark):
     df = spark.createDataFrame(
         [("t", n, 0, str(n)) for n in (3, 250_000, 9_000_000_000)], "table_id string, row long, col int, cell string")
-    got = [(r.part, r.markdown) for r in assembly.cells_to_markdown(df).collect()]
-    assert got == [(0, "| 3 |\n| --- |\n| 250000 |\n| 9000000000 |\n")]
+    assert [r.markdown for r in assembly.cells_to_markdown(df).collect()] == ["| 3 |\n| --- |\n| 250000 |\n| 9000000000 |\n"]
 
 
 ASSETS = "doc_id string, page_index long, image_index long, name string, data binary, extension string"
@@ -207,8 +231,8 @@ def test_embedding_and_linking(asset_frames):
                            "\n\n![logo.png](images/logo.png)", "b": "text only"}
     inlined = {r.doc_id: r.markdown for r in assets.inline_assets(docs, images).collect()}
     assert inlined["a"].startswith("# A\n\n![logo.png](data:image/png;base64,MA==)\n\n![x.gif](data:image/gif;")
-    cut = assets.link_assets(docs, images, slice_pages=1).filter("doc_id = 'a'").orderBy("part").collect()
-    assert "".join(r.markdown for r in cut) == linked["a"] and len(cut) == 2
+    cut = check_chunks(assets.asset_chunks(docs, images, False, 1), ["doc_id"], 40, {(k,): v for k, v in linked.items()})
+    assert len(cut["a",]) == 4
 
 
 def test_manifests(spark, asset_frames):
