@@ -12,26 +12,29 @@ from docmark import dims
 from docmark.functions.binary import contains_any
 from docmark.limits import DEFAULT
 from docmark.operators.carry import Timeline
+from docmark.operators.patterns import pattern_hits
 
 
-def signature_scan(df: DataFrame, hashes: DataFrame, patterns: Sequence[bytes] = (),
+def signature_scan(df: DataFrame, hashes: DataFrame, patterns: Sequence[bytes] | DataFrame = (),
                    key: str = "task_id") -> DataFrame:
     """``key, error`` of the files whose bytes are a known threat.
 
     ``hashes`` has ``sha256`` (hex) and may be of any size: the join is on digests and
     keys only, contents stay where they are read, and Spark picks the strategy from the
-    list's own size. ``patterns`` is a literal list, tested in the same pass.
+    list's own size. ``patterns`` is a short literal list, tested in the same pass, or a table
+    (``pattern``) of any size, see :mod:`docmark.operators.patterns`.
     """
+    literal = () if isinstance(patterns, DataFrame) else patterns
     digests = df.select(
         key,
         F.sha2(F.col("content"), 256).alias("sha256"),
-        contains_any(F.col("content"), patterns).alias("_pattern"))
+        contains_any(F.col("content"), literal).alias("_pattern"))
     known = hashes.select("sha256").distinct().withColumn("_listed", F.lit(True))
     hit = F.col("_pattern") | F.coalesce(F.col("_listed"), F.lit(False))
-    return (
-        digests.join(known, "sha256", "left")
-        .filter(hit)
-        .select(key, F.lit(dims.VIRUS).alias("error")))
+    found = digests.join(known, "sha256", "left").filter(hit).select(key)
+    if isinstance(patterns, DataFrame):
+        found = found.unionByName(pattern_hits(df, patterns, key)).distinct()
+    return found.select(key, F.lit(dims.VIRUS).alias("error"))
 
 
 def split_by_scan(df: DataFrame, hits: DataFrame, key: str = "task_id"

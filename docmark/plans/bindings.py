@@ -14,6 +14,7 @@ SMALL_LIMIT = 16_384  # only for the query that shows the size rejection
 TTL_S = 43_200
 KEEP_S = 86_400
 BEAT_S = 3_600
+PATTERN_CHARS = 30
 STREAM_FILES, STREAM_FILE_ROWS = 3, 1_000_000
 FAIL_REASON = "The document could not be converted to Markdown."
 PATTERNS = (b'token = "', b"PRIVATE KEY")

@@ -406,6 +406,11 @@ FROM (SELECT *, min(pos) FILTER (WHERE error IS NOT NULL) OVER (PARTITION BY bat
 add("signature_scan", UPLOADS, THREATS, select=f"""
 SELECT task_id, 'VirusDetectedError' AS error FROM docs_up WHERE {_INFECTED}""")
 
+add("signature_scan_table", UPLOADS, select=f"""
+, patterns AS (SELECT DISTINCT substr(text, 1, {b.PATTERN_CHARS}) AS p FROM benchmark WHERE text <> '')
+SELECT doc_id, {_q(dims.VIRUS)} AS error FROM docs_up
+WHERE EXISTS (SELECT 1 FROM patterns WHERE contains(raw, p)) OR sha256(raw) IN (
+  SELECT sha256(raw) FROM docs_up WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))""")
 add("scan_verdict", select="""
 WITH r AS (
   SELECT user_id AS file_id, event_id AS ord,
@@ -468,7 +473,7 @@ SELECT o_custkey,
   '| key | priority |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(
     '| ' || o_orderkey || ' | ' || o_orderpriority || ', "' || o_orderstatus || '" |' || chr(10),
     '' ORDER BY o_orderkey) AS markdown
-FROM orders GROUP BY 1, 2""")
+FROM orders GROUP BY 1""")
 add("json_to_markdown", select="""
 SELECT event_id, CASE WHEN event_id % 5 = 0 THEN props[2:] ELSE props END AS markdown,
   json_valid(CASE WHEN event_id % 5 = 0 THEN props[2:] ELSE props END) AS valid FROM events""")

@@ -289,6 +289,15 @@ def signature_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         b.uploads_documents(spark, sf_dir), b.toxic_hashes(spark, sf_dir), b.PATTERNS)
 
 
+@query
+def signature_scan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are listed, or hold the beginning of some benchmark item."""
+    patterns = b.table(spark, sf_dir, "benchmark").select(
+        F.encode(F.substring("text", 1, b.PATTERN_CHARS), "UTF-8").alias("pattern"))
+    return scanning.signature_scan(
+        b.uploads_documents(spark, sf_dir), b.toxic_hashes(spark, sf_dir), patterns, key="doc_id")
+
+
 @query
 def scan_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanning.scan_verdict(*b.scan_results(spark, sf_dir))
