@@ -607,6 +607,10 @@ add("current_stats", select="""
 SELECT (SELECT count(DISTINCT user_id) FROM events) AS visitors,
   (SELECT count(*) FROM events WHERE event_type = 'purchase') AS conversions""")
 
+add("kept_counters", select="""
+SELECT (SELECT count(DISTINCT user_id) FROM events) AS visitors,
+  (SELECT count(*) FROM events WHERE event_type = 'purchase') AS conversions""")
+
 # --- windows -----------------------------------------------------------------
 
 add("latest_state", STATUS, LATEST, select="""

@@ -621,6 +621,16 @@ def current_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         count_visitors(spark, sf_dir), count_conversions(spark, sf_dir))
 
 
+@query
+def kept_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters after all events were added in four batches, one of them twice."""
+    kept = stats.Counters(spark, scratch_path(spark, "counters"))
+    events = b.status_events(spark, sf_dir)
+    for number in (0, 1, 2, 1, 3):
+        kept.add(events.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == number), number)
+    return kept.current()
+
+
 # --- windows -----------------------------------------------------------------
 
 

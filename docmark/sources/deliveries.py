@@ -34,14 +34,16 @@ def resolve_progress(requests: DataFrame, batches: DataFrame, members: DataFrame
     live = states.select("task_id").distinct().withColumn("_live", F.lit(True))
     followed = members.join(live, "task_id", "left_semi").select("batch_id").distinct()
     known = batches.select("batch_id").distinct().withColumn("_known", F.lit(True))
-    error = F.when(
-        F.col("task_id").isNotNull(), F.when(F.col("_live").isNull(), "task_not_found")
-    ).when(F.col("_known").isNull(), "batch_not_found").when(
-        F.col("_followed").isNull(), "no_tasks_found")
-    return (
-        requests.join(live, "task_id", "left").join(known, "batch_id", "left")
-        .join(followed.withColumn("_followed", F.lit(True)), "batch_id", "left")
-        .select("request_id", error.alias("error")))
+    # requests without a key of one kind are kept out of its join, where they would meet in one task
+    of_task = requests.filter(F.col("task_id").isNotNull()).join(live, "task_id", "left").select(
+        "request_id", F.when(F.col("_live").isNull(), dims.TASK_NOT_FOUND).alias("error"))
+    others = requests.filter(F.col("task_id").isNull())
+    of_batch = others.filter(F.col("batch_id").isNotNull()).join(known, "batch_id", "left").join(
+        followed.withColumn("_followed", F.lit(True)), "batch_id", "left").select(
+            "request_id", F.when(F.col("_known").isNull(), "batch_not_found").when(
+                F.col("_followed").isNull(), dims.NO_TASKS_FOUND).alias("error"))
+    of_none = others.filter(F.col("batch_id").isNull()).select("request_id", F.lit("batch_not_found").alias("error"))
+    return of_task.unionByName(of_batch).unionByName(of_none)
 
 
 def resolve_deliveries(requests: DataFrame, state: DataFrame, outputs: DataFrame) -> DataFrame:

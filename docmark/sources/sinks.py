@@ -3,7 +3,8 @@
 A file name is a column and never becomes part of a path. Partitions are few and coarse
 (the finish date by default, which lets retention drop whole partitions); the rebalance
 hint splits a partition that holds most rows and merges small ones, so one day or batch
-with a third of all outputs is still written by many tasks.
+with a third of all outputs is still written by many tasks. By default the partitions at hand
+are replaced, so that a job that is tried again leaves each row once.
 """
 
 from __future__ import annotations
@@ -34,12 +35,12 @@ def standalone_files(df: DataFrame) -> DataFrame:
 
 
 def write_standalone(df: DataFrame, path: str, partition_col: str | None = None,
-                     mode: str = "append") -> None:
+                     mode: str = "overwrite") -> None:
     """One Markdown text per task as rows ``..., file_name, data``."""
     _write(standalone_files(df), path, partition_col, mode)
 
 
 def write_package(manifest: DataFrame, path: str, partition_col: str | None = None,
-                  mode: str = "append") -> None:
+                  mode: str = "overwrite") -> None:
     """Manifest rows: the document and its images, per package."""
     _write(manifest, path, partition_col, mode)

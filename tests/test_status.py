@@ -398,6 +398,23 @@ def test_stats_of_nothing(spark, events):
     assert stats.count_visitors(events.withColumnRenamed("task_id", "user_id")).first().visitors == 14
 
 
+@pytest.mark.parametrize("parts", [1, 3, 10])
+def test_increments_of_any_split_give_the_total(spark, tmp_path, parts):
+    rng = random.Random(parts)
+    log = [(rng.choice([None, *range(150)]), rng.choice(["SUCCESS", "ACTIVE"])) for _ in range(900)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(log)], "i int, user_id long, status string")
+    kept = stats.Counters(spark, str(tmp_path))
+    assert tuple(kept.current().first()) == (0, 0)
+    for n in [*range(parts), 0]:
+        kept.add(df.where(F.col("i") % parts == n), n)
+    want = len({u for u, _ in log if u is not None}), sum(s == "SUCCESS" for _, s in log)
+    assert tuple(kept.current().first()) == want
+    guess = kept.current(exact=False).first()
+    assert guess.conversions == want[1] and abs(guess.visitors - want[0]) <= 0.05 * want[0]
+    alone = stats.totals(stats.counter_increment(df)).first()
+    assert tuple(alone) == tuple(guess)
+
+
 def test_size_check_picks_the_plan(spark, events, rows):
     line = carry.Timeline(["task_id"], ["ts", "event_id"], large_rows=10_000)
     assert carry.BUCKET not in line.spread(events).columns
