@@ -16,6 +16,7 @@ from docmark.llm import (
     mixing,
     near_dedup,
     neighbours,
+    oracle,
     packing,
     quality,
     repeats,
@@ -98,7 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op11_source_divergence, op12_source_mixing, op13_merkle_manifest)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
-#: Operators that are trained, approximate or pack tokens, and texts by windows, are tested against plain rules.
+#: Operators that are trained, approximate or pack tokens are tested against plain rules.
 ORACLE: dict[str, str] = {"op1_chat_format": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -110,4 +111,5 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
   CAST(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id""",
+    **oracle.ORACLE,
     "op11_source_divergence": divergence.SQL, "op12_source_mixing": mixing.SQL, "op13_merkle_manifest": manifest.SQL}
