@@ -7,7 +7,10 @@ coarser hash table, without building one). A vector inside the windows of ``thre
 verified: its inner product is computed on the original vectors in double precision. A query stops
 widening once its k-th best is nearer than the windows' reach.
 
-Queries go to every block in groups, so no task holds more than a block and a batch of queries. Windows
+Only the k best of all blocks count, so a query first goes to one block alone and widens there until it
+has k neighbours. All other blocks then know its k-th best: they open the windows that a better vector
+must collide in, no wider, and give only what is as good. Queries go to the blocks in groups, so no task
+holds more than a block and a batch of queries. Windows
 are scaled by the lengths of query and candidate, so vectors of any length can be searched: the lines
 are drawn through vectors of unit length with one more component that makes the inner product a distance.
 """
@@ -21,12 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmark.llm.common import written
+
 K = 20
 PROJECTIONS = 64
 #: Half widths of the windows, in units of the longest vector of the block.
 WIDTHS = (0.25, 0.5, 1.0, 1.125, 1.25, 1.5, 2.0)
 #: A query may stop when its windows reach this share of the k-th best's distance.
 REACH = 0.87
+#: Width of the windows where the k-th best is known, as a share of its distance.
+KNOWN_REACH = 0.83
 #: Lines of 64 on which a vector must collide.
 THRESHOLD = 34
 BLOCK = 8192
@@ -46,8 +53,8 @@ class Block:
         scaled = self.vectors / self.longest
         rest = np.sqrt(np.maximum(0.0, 1.0 - (scaled**2).sum(axis=1)))
         places = self.lines[:, :-1] @ scaled.T + self.lines[:, -1:] * rest
-        self.order = np.argsort(places, axis=1).astype(np.int32)
-        self.places = np.take_along_axis(places, self.order.astype(np.int64), axis=1)
+        self.order = np.argsort(places, axis=1)
+        self.places = np.take_along_axis(places, self.order, axis=1)
 
     def nearest(self, own: int, query: np.ndarray, k: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best k that collide, without the query's own id."""
@@ -83,19 +90,54 @@ class Block:
         return self.ids[best_at], best
 
 
+    def as_good(self, own: np.ndarray, queries: np.ndarray, bounds: np.ndarray, threshold: int) -> Iterator[tuple]:
+        """Of each query the ids and scores that collide and reach its bound, and how many were verified."""
+        lengths = np.sqrt((queries**2).sum(axis=1))
+        far = np.sqrt(np.clip(2 - 2 * bounds / (lengths * self.longest), 0.0, 4.0))
+        centres, widths = self.lines[:, :-1] @ (queries / lengths[:, None]).T, KNOWN_REACH * far
+        lo = np.array([np.searchsorted(p, c - widths) for p, c in zip(self.places, centres, strict=True)])
+        hi = np.array([np.searchsorted(p, c + widths, "right") for p, c in zip(self.places, centres, strict=True)])
+        n, most = len(self.ids), len(self.lines)
+        for q in range(len(own)):
+            spans = list(zip(self.order, lo[:, q].tolist(), hi[:, q].tolist(), strict=True))
+            if 2 * int((hi[:, q] - lo[:, q]).sum()) <= n * most:
+                counts = np.bincount(np.concatenate([o[a:b] for o, a, b in spans]), minlength=n)
+            else:  # fewer lie outside the windows
+                outside = np.concatenate([x for o, a, b in spans for x in (o[:a], o[b:])])
+                counts = most - np.bincount(outside, minlength=n)
+            hit = np.flatnonzero(counts >= threshold)
+            hit = hit[self.ids[hit] != own[q]]
+            scores = (self.vectors[hit] * queries[q]).sum(axis=1)
+            good = scores >= bounds[q]
+            yield self.ids[hit[good]], scores[good], len(hit)
+
+
 _PAIRS = "query_id bigint, vec_id bigint, score double"
 
 
 def _search(k: int, projections: int, threshold: int):
+    """Answers queries (``asks``) by the vectors of their block, which come before them."""
+
+    def answer(block: Block, rows: list[tuple]) -> Iterator[tuple]:
+        first = [(i, v) for i, v, bound in rows if bound is None]
+        for i, v in first:
+            yield i, *block.nearest(i, v, k, threshold)
+        known = [r for r in rows if r[2] is not None]
+        if known:
+            own, bounds = np.array([r[0] for r in known]), np.array([r[2] for r in known])
+            for i, (found, scores, _) in zip(own, block.as_good(own, np.array([r[1] for r in known]), bounds, threshold), strict=True):
+                best = np.lexsort((found, -scores))[:k]
+                yield i, found[best], scores[best]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, vectors, block = None, [], [], None
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("dim", "block", "share", "asks", "id")),
-                       batch.column("vector"), strict=True)
-            out = []
-            for dim, number, share, asks, vec_id, vector in rows:
+            columns = [batch.column(c).to_pylist() for c in ("dim", "block", "share", "asks", "id", "bound")]
+            out, waiting = [], []
+            for dim, number, share, asks, vec_id, bound, vector in zip(*columns, batch.column("vector"), strict=True):
                 if (dim, number, share) != key:
-                    key, ids, vectors, block = (dim, number, share), [], [], None
+                    out += answer(block, waiting) if block is not None else []
+                    key, ids, vectors, block, waiting = (dim, number, share), [], [], None, []
                 values = vector.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if not asks:
                     ids.append(vec_id)
@@ -103,12 +145,13 @@ def _search(k: int, projections: int, threshold: int):
                     continue
                 if block is None and ids:
                     block = Block(np.array(ids), np.array(vectors), projections)
-                if block is not None:
-                    found, scores = block.nearest(vec_id, values, k, threshold)
-                    out.append((np.full(len(found), vec_id), found, scores))
+                waiting.append((vec_id, values, bound))
+            out += answer(block, waiting) if block is not None else []
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                    [pa.array(np.concatenate([np.full(len(f), i) for i, f, _ in out]).astype(np.int64)),
+                     pa.array(np.concatenate([f for _, f, _ in out]).astype(np.int64)),
+                     pa.array(np.concatenate([x for _, _, x in out]).astype(np.float64))], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -134,11 +177,28 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
 
     data, asked = clean(vectors), clean(queries)
     blocks = max(1, -(-vectors.count() // block_rows))
-    shares = max(1, -(-queries.count() // query_share))
+    total = queries.count()
     number = lambda i: F.explode(F.sequence(F.lit(0), F.lit(i - 1)))
-    data = data.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), "asks": F.lit(False)}).withColumn("share", number(shares))
-    asked = asked.withColumns({"share": F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(shares)).cast("int"), "asks": F.lit(True)}).withColumn("block", number(blocks))
-    both = data.unionByName(asked).repartition(blocks * shares, "dim", "block", "share").sortWithinPartitions("dim", "block", "share", "asks")
-    found = both.select("dim", "block", "share", "asks", "id", "vector").mapInArrow(_search(k, projections, threshold), _PAIRS)
+    spread = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int")
+    data = data.withColumns({
+        "block": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), "asks": F.lit(False), "bound": F.lit(None).cast("double")})
+    asked = asked.withColumn("asks", F.lit(True))
+
+    def answers(asking: DataFrame, shares: int) -> DataFrame:
+        both = data.withColumn("share", number(shares)).unionByName(asking.withColumn("share", spread(1, shares)))
+        dealt = both.repartition(blocks * shares, "dim", "block", "share").sortWithinPartitions("dim", "block", "share", "asks")
+        columns = dealt.select("dim", "block", "share", "asks", "id", "bound", "vector")
+        return columns.mapInArrow(_search(k, projections, threshold), _PAIRS)
+
+    none = F.lit(None).cast("double")
+    found = answers(asked.withColumns({"block": spread(2, blocks), "bound": none}), max(1, -(-total // (blocks * query_share))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    if blocks > 1:
+        found = written(found, "neighbours")
+        # the k-th best so far; a query with fewer takes whatever there is
+        bounds = found.groupBy(F.col("query_id").alias("id")).agg(
+            F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-1e300)).alias("bound"))
+        later = asked.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(-1e300)))
+        later = later.withColumn("home", spread(2, blocks)).withColumn("block", number(blocks)).where("block <> home").drop("home")
+        found = found.unionByName(answers(later, max(1, -(-total // query_share))))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
