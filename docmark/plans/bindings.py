@@ -74,8 +74,12 @@ def uploads_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def uploads_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = uploads_documents(spark, sf_dir).drop("doc_id")
-    return docs.unionByName(uploads_pages(spark, sf_dir).drop("page_id")).unionByName(
-        uploads_items(spark, sf_dir).drop("item_id"))
+    return docs.unionByName(uploads_pages(spark, sf_dir).drop("page_id"))
+
+
+def uploads_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all nine kinds."""
+    return uploads_all(spark, sf_dir).unionByName(uploads_items(spark, sf_dir).drop("item_id"))
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -842,7 +842,7 @@ def stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def route_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    accepted, _ = validation.validate_uploads(b.uploads_all(spark, sf_dir), b.LIMITS)
+    accepted, _ = validation.validate_uploads(b.uploads_corpus(spark, sf_dir), b.LIMITS)
     return pipeline.route_by_type(accepted).select(
         "task_id", "route", "error", digest("markdown", "markdown_md5"))
 
@@ -854,7 +854,7 @@ def assemble_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return pipeline.convert_corpus(
-        b.uploads_all(spark, sf_dir), "standalone", b.toxic_hashes(spark, sf_dir), b.PATTERNS,
+        b.uploads_corpus(spark, sf_dir), "standalone", b.toxic_hashes(spark, sf_dir), b.PATTERNS,
         decoded=_decoded(spark, sf_dir), limits=b.LIMITS, verdicts=b.verdicts(spark, sf_dir),
         asset_errors=b.document_images(spark, sf_dir)[1])
 
@@ -882,7 +882,7 @@ def convert_corpus_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Package entries of all converted files, with the images of layouts."""
     images, lost = b.document_images(spark, sf_dir)
     converted, _, _ = pipeline.convert_corpus(
-        b.uploads_all(spark, sf_dir), "package", b.toxic_hashes(spark, sf_dir), b.PATTERNS,
+        b.uploads_corpus(spark, sf_dir), "package", b.toxic_hashes(spark, sf_dir), b.PATTERNS,
         decoded=_decoded(spark, sf_dir), assets=images, limits=b.LIMITS, verdicts=b.verdicts(spark, sf_dir),
         asset_errors=lost)
     return pipeline.corpus_packages(converted, images).select(
