@@ -9,11 +9,14 @@ full shingle sets confirm them. A pair that the node's confirmed links already c
 comparison, so a node gives fewer links than it has members, whatever its number of pairs.
 
 With the defaults, a pair at the threshold that meets no large node misses all trees with a chance below 1e-6
-(0.85) or 2e-5 (0.8). Branching alone does not hold that chance, as a pair is lost on the way down. So classes
-of large nodes are also joined exactly: shingles have one order, rare ones first, and two sets of the wanted
-similarity have one of their first ``n - ceil(similarity * n) + 1`` shingles in common. Classes with such a
-shingle in common share a node; if they are too many, shingles that occur together are one group, and
-every two blocks of it are compared in a node.
+(0.85) or 2e-5 (0.8). Branching alone does not hold that chance, as a pair is lost on the way down. So the links
+that the trees did not find between classes of large nodes are found by rare shingles: these have one order, rare
+ones first, and of two sets of the wanted similarity the larger has one of its first shingles (:func:`prefix_lengths`)
+among the still fewer first ones of the smaller. Nodes of such a shingle matter only while they hold classes that no
+links connect yet and one set that has the shingle among the fewer, so that large groups of copies, which the trees
+connect, and pages that agree in their template only need no comparison. If a node that matters is too large, shingles that
+occur together are one group, in which shingles are counted and ordered anew. What is too large even then is
+compared in blocks: the rows that every such pair has one of at least, with all.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmark.llm.common import KEY, cut_words, mix, release, row_key, run_hashes, slices, space_class, span_hashes, written
@@ -163,15 +166,69 @@ def _cell_counts(words: int):
     return run
 
 
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """How many first shingles a set needs to meet smaller sets, and how many to be met by sets of its size or more."""
+    return n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+
+
 def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     """The first shingles in order of their cells' counts, one of which every set of the wanted similarity has too."""
-    n = len(shingles)
-    first = n - -(-percent * n // 100) + 1
+    first, _ = prefix_lengths(len(shingles), percent)
     return shingles[np.lexsort((shingles, counts[(shingles % np.uint64(CELLS)).astype(np.int64)]))[:first]]
 
 
+def _open_nodes(tokens: DataFrame, node_limit: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of nodes that can still hold a link between two roots: those of small nodes and those of large ones."""
+    sizes = tokens.groupBy("node").agg(
+        F.count("*").alias("count"), F.count_if("short").alias("shorts"), F.min("root").alias("first"), F.max("root").alias("last"))
+    sizes = sizes.where("shorts > 0 AND first < last").drop("first", "last")
+    members = written(tokens.join(sizes, "node"), "near-prefixes")
+    return members.where(F.col("count") <= node_limit), members.where(F.col("count") > node_limit)
+
+
+def _blocks(large: DataFrame, node_limit: int) -> DataFrame:
+    """Nodes in which the chosen rows of each large node meet all its rows.
+
+    Chosen are the rows with the shingle among their fewer first ones, or those outside the node's largest root,
+    whichever are fewer: every pair that can be a link has one of them.
+    """
+    roots = large.groupBy("node", "root").count()
+    main = roots.groupBy("node").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.max("count").alias("inside"))
+    by_short = F.col("shorts") <= F.col("count") - F.col("inside")
+    few = F.when(by_short, F.col("shorts")).otherwise(F.col("count") - F.col("inside"))
+    half = max(node_limit // 2, 1)
+    placed = large.join(main, "node").select(
+        "class", "root", "short", "node", F.when(by_short, F.col("short")).otherwise(F.col("root") != F.col("main")).alias("chosen"),
+        F.ceil(few / half).alias("own"), F.ceil((F.col("count") - few) / half).alias("others"))
+    block = F.pmod(F.xxhash64("class"), F.when(F.col("chosen"), F.col("own")).otherwise(F.col("others")))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)).otherwise(
+        F.array().cast("array<bigint>"))
+    among = F.transform(upto("own"), lambda k: F.xxhash64("node", F.lit("own"), F.least("block", k), F.greatest("block", k)))
+    across = F.transform(upto("others"), lambda k: F.xxhash64("node", F.lit("all"), "block", k))
+    met = F.transform(upto("own"), lambda k: F.xxhash64("node", F.lit("all"), k, "block"))
+    return placed.withColumn("block", block).select(
+        "class", "root", "short", F.explode(F.when(F.col("chosen"), F.concat(among, across)).otherwise(met)).alias("node"))
+
+
+def _every_shingle(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = shingle_sets(batch.column("text"), words)
+            owner = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(owner) for c in ("class", "root", "group")), pa.array(mix(np.concatenate(sets)).view(np.int64)),
+                 pa.array(np.repeat([len(s) for s in sets], [len(s) for s in sets]))], ["class", "root", "group", "token", "n"])
+
+    return run
+
+
 def _exact_leaves(texts: DataFrame, words: int, percent: int, node_limit: int) -> DataFrame:
-    """(class, node) so that every two of these classes with the wanted similarity share a node."""
+    """(class, root, short, node) so that every two of these classes with the wanted similarity and other roots share a node.
+
+    Classes with one root are linked already; without a column root every class is its own.
+    """
+    if "root" not in texts.columns:
+        texts = texts.withColumn("root", F.col("class"))
     cells = texts.mapInArrow(_cell_counts(words), "cell bigint, count bigint").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
     counts = np.zeros(CELLS, np.int64)
     counts[cells.column("cell").to_numpy()] = cells.column("count").to_numpy()
@@ -179,30 +236,36 @@ def _exact_leaves(texts: DataFrame, words: int, percent: int, node_limit: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            firsts = [prefix(s, shared.value, percent) for s in shingle_sets(batch.column("text"), words)]
-            owner = np.repeat(np.arange(len(firsts)), [len(f) for f in firsts])
+            sets = shingle_sets(batch.column("text"), words)
+            firsts = [prefix(s, shared.value, percent) for s in sets]
+            short = [np.arange(len(f)) < prefix_lengths(len(s), percent)[1] for s, f in zip(sets, firsts, strict=True)]
+            owner = pa.array(np.repeat(np.arange(len(firsts)), [len(f) for f in firsts]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("class").take(pa.array(owner)), pa.array(mix(np.concatenate(firsts)).view(np.int64))], ["class", "node"])
+                [batch.column("class").take(owner), batch.column("root").take(owner), pa.array(np.concatenate(short)),
+                 pa.array(mix(np.concatenate(firsts)).view(np.int64))], ["class", "root", "short", "node"])
 
     # repeats of a text give the same rows
-    tokens = texts.mapInArrow(run, "class binary, node bigint").distinct()
-    sizes = tokens.groupBy("node").count().where("count > 1")
-    members = written(tokens.join(sizes, "node"), "near-prefixes")
-    small = members.where(F.col("count") <= node_limit).select("class", "node")
-    large = members.where(F.col("count") > node_limit).select("class", "node")
+    tokens = texts.mapInArrow(run, "class binary, root binary, short boolean, node bigint").distinct()
+    small, large = _open_nodes(tokens, node_limit)
+    columns = ["class", "root", "short", "node"]
     if large.isEmpty():
-        return small
-    # shingles that occur in the same class are one group, so that a pair is not compared for each of them
+        return small.select(*columns)
+    # shingles that occur in the same class are one group, so that a class is in one group only
     as_key = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     least = large.groupBy("class").agg(F.min("node").alias("least"))
     groups = components(large.join(least, "class").select(as_key("least").alias("a"), as_key("node").alias("b")).distinct())
-    grouped = large.join(groups.withColumnRenamed("node", "token"), as_key(large.node) == F.col("token"))
-    grouped = written(grouped.select("class", F.col("root").alias("group")).distinct(), "near-grouped")
-    sizes = grouped.groupBy("group").agg(F.ceil(F.count("*") / (node_limit / 2)).alias("blocks"))
-    placed = grouped.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
-    others = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).where("other != block")
-    node = F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other"))
-    return small.unionByName(others.select("class", node.alias("node")))
+    grouped = large.select("class", as_key("node").alias("token")).join(
+        groups.select(F.col("node").alias("token"), F.col("root").alias("group")), "token").select("class", "group").distinct()
+    shingles = written(texts.join(grouped, "class").mapInArrow(
+        _every_shingle(words), "class binary, root binary, group binary, token bigint, n bigint").distinct(), "near-shingles")
+    often = shingles.groupBy("group", "token").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("class").orderBy("often", "token"))
+    first = F.expr(f"n - (n * {percent} + 99) DIV 100 + 1")
+    fewer = F.expr(f"n - (2 * {percent} * n + {99 + percent}) DIV {100 + percent} + 1")
+    tokens = shingles.join(often, ["group", "token"]).withColumn("place", place).where((F.col("place") <= first) & (F.col("often") > 1))
+    within, large = _open_nodes(tokens.select(
+        "class", "root", (F.col("place") <= fewer).alias("short"), F.xxhash64("group", "token").alias("node")), node_limit)
+    return small.select(*columns).unionByName(within.select(*columns)).unionByName(_blocks(large, node_limit))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
@@ -218,31 +281,43 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
     release()
 
 
-def _candidates(node: int, rows: list[dict], least: float) -> list[tuple[int, int]]:
-    """Pairs with enough equal tokens for which this is the first node they share, most alike first."""
+def _candidates(node: int, rows: list[dict], percent: int, least: float) -> list[tuple[int, int]]:
+    """Pairs with enough equal tokens whose roots differ, most alike first; of rows with nodes, in the first node they share."""
     sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
+    roots = np.unique([r["root"].hex() for r in rows], return_inverse=True)[1]
+    short = np.array([r["short"] for r in rows])
+    n = np.array([r["n"] for r in rows], np.int64)
     found = []
     for i in range(len(rows) - 1):
-        same = (sketch[i + 1 :] == sketch[i]).mean(axis=1)
-        at = np.flatnonzero(same >= least)
-        found += zip((-same[at]).tolist(), [i] * len(at), (at + i + 1).tolist(), strict=True)
+        after = slice(i + 1, None)
+        might = (roots[after] != roots[i]) & (short[after] | short[i])
+        might &= 100 * np.minimum(n[after], n[i]) >= percent * np.maximum(n[after], n[i])
+        at = np.flatnonzero(might)
+        same = (sketch[at + i + 1] == sketch[i]).mean(axis=1)
+        at, same = at[same >= least], same[same >= least]
+        found += zip((-same).tolist(), [i] * len(at), (at + i + 1).tolist(), strict=True)
     nodes: dict[int, set] = {}
     out = []
     for _, i, j in sorted(found):
-        a, b = (nodes.get(k) or nodes.setdefault(k, set(rows[k]["nodes"])) for k in (i, j))
-        if min(a & b) == node:
-            out.append((i, j))
+        if rows[i].get("nodes") is not None:
+            a, b = (nodes.get(k) or nodes.setdefault(k, set(rows[k]["nodes"])) for k in (i, j))
+            if min(a & b) != node:
+                continue
+        out.append((i, j))
     return out
 
 
-def _active(least: float):
+def _active(percent: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, rows in _groups(batches):
-            members = sorted({k for pair in _candidates(node, rows, least) for k in pair})
+            pairs = _candidates(node, rows, percent, least)
+            members = sorted({k for pair in pairs for k in pair})
             if members:
+                both = b"".join(sorted(b"".join(sorted((rows[i]["class"], rows[j]["class"]))) for i, j in pairs))
+                same = hashlib.blake2b(both, digest_size=16).digest()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([rows[k]["class"] for k in members], pa.binary()), pa.array([node] * len(members), pa.int64())],
-                    ["class", "node"])
+                    [pa.array([rows[k]["class"] for k in members], pa.binary()), pa.array([node] * len(members), pa.int64()),
+                     pa.array([same] * len(members), pa.binary())], ["class", "node", "pairs"])
 
     return run
 
@@ -251,19 +326,19 @@ def _confirm(text: str, words: int, percent: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, rows in _groups(batches):
             sets = shingle_sets(pa.array([r[text] for r in rows], pa.large_string()), words)
-            parent = list(range(len(rows)))
+            parent = {r["root"]: r["root"] for r in rows}
 
-            def root(k: int) -> int:
+            def top(k: bytes) -> bytes:
                 while parent[k] != k:
                     parent[k] = parent[parent[k]]
                     k = parent[k]
                 return k
 
             links = []
-            for i, j in _candidates(node, rows, least):
-                a, b = root(i), root(j)
+            for i, j in _candidates(node, rows, percent, least):
+                a, b = top(rows[i]["root"]), top(rows[j]["root"])
                 x, y = len(sets[i]), len(sets[j])
-                if a == b or 100 * min(x, y) < percent * max(x, y):
+                if a == b:
                     continue
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * both >= percent * (x + y - both):
@@ -275,6 +350,18 @@ def _confirm(text: str, words: int, percent: int, least: float):
     return run
 
 
+def _links(members: DataFrame, texts: DataFrame, on: list[str], words: int, percent: int, least: float) -> DataFrame:
+    """Confirmed pairs (a, b) of the rows that share a node; nodes that propose the same pairs are looked at once."""
+    # sorted by class too, so that a task that runs again gives the same links
+    by_node = lambda df: df.repartition("node").sortWithinPartitions("node", "class")
+    active = written(by_node(members.drop(*KEY)).mapInArrow(
+        _active(percent, least), "class binary, node bigint, pairs binary"), "near-active")
+    once = active.groupBy("class", "pairs").agg(F.min("node").alias("node")).drop("pairs")
+    wanted = members.join(once, ["class", "node"])
+    return by_node(wanted.join(texts, on).dropDuplicates(["class", "node"]).drop(*KEY)).mapInArrow(
+        _confirm("text", words, percent, least), "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node; the root is the least node that links lead to.
 
@@ -321,28 +408,27 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, words: int = 5, percent:
     slim = slim.select("*", *row_key("id", "text"))
     rows = written(_sets(slim, "text", words, kind), "near-sets")
     classes = rows.where("n > 0").groupBy("class").agg(
-        F.min("id").alias("id"), *(F.first(c).alias(c) for c in (*KEY, "signature")))
+        F.min("id").alias("id"), F.first(F.struct(*KEY, "n", "signature")).alias("one")).select("class", "id", "one.*")
     classes = written(classes, "near-classes")
     least = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / TOKENS)
     leaves, hot = _leaves(classes, percent / 100, node_limit, max_depth)
-    if hot is not None:
-        own = hot.join(classes, "class").select("class", *KEY)
-        exact = _exact_leaves(slim.select("text", *KEY).join(own, KEY).select("class", "text"), words, percent, node_limit)
-        leaves = leaves.unionByName(exact).distinct()
     # one byte of each token is enough to propose pairs
-    low = F.regexp_replace(F.hex("signature"), "(..)......", "$1")
-    known = leaves.groupBy("class").agg(F.collect_list("node").alias("nodes")).join(classes, "class").select(
-        "class", *KEY, "nodes", F.unhex(low).alias("sketch"))
-    known = written(known, "near-known")
-    # sorted by class too, so that a task that runs again gives the same links
-    by_node = lambda df: df.repartition("node").sortWithinPartitions("node", "class")
-    active = by_node(known.select("class", "nodes", "sketch", F.explode("nodes").alias("node"))).mapInArrow(
-        _active(least), "class binary, node bigint")
-    wanted = active.groupBy("class").agg(F.collect_list("node").alias("active")).join(known, "class")
+    low = F.unhex(F.regexp_replace(F.hex("signature"), "(..)......", "$1"))
+    sketched = classes.select("class", *KEY, "n", low.alias("sketch"))
+    nodes = leaves.groupBy("class").agg(F.collect_list("node").alias("nodes"))
+    known = written(nodes.join(sketched, "class").select(
+        "class", F.col("class").alias("root"), F.lit(True).alias("short"), *KEY, "n", "sketch", "nodes"), "near-known")
     texts = slim.select("text", *KEY)
-    texts = texts.join(wanted, KEY).dropDuplicates(KEY).select("class", "text", "nodes", "sketch", F.explode("active").alias("node"))
-    links = by_node(texts).mapInArrow(_confirm("text", words, percent, least), "a binary, b binary")
-    linked = components(links)
+    linked = components(_links(known.select("*", F.explode("nodes").alias("node")), texts, KEY, words, percent, least))
+    if hot is not None:
+        roots = linked.select(F.col("node").alias("class"), "root")
+        own = hot.join(sketched.select("class", *KEY), "class").join(roots, "class", "left").select(
+            "class", *KEY, F.coalesce("root", "class").alias("root"))
+        hot_texts = written(texts.join(own, KEY).dropDuplicates(KEY).select("class", "root", "text"), "near-hot-texts")
+        rest = written(_exact_leaves(hot_texts, words, percent, node_limit).join(sketched.drop(*KEY), "class"), "near-rest")
+        more = written(_links(rest, hot_texts.select("class", "text"), ["class"], words, percent, least), "near-more")
+        if not more.isEmpty():
+            linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = classes.select("class", "id").join(linked, F.col("class") == F.col("node"), "left")
     least_id = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("least"))
     named = named.join(least_id, "root", "left").select("class", F.coalesce("least", "id").alias("component_id"))
