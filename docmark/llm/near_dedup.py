@@ -4,7 +4,7 @@ Texts become sets of word shingles; equal sets become one class. Every class has
 minwise tokens. In each of several independent trees a class starts in the node named by a few of
 its tokens; a node with more than ``node_limit`` classes branches by further tokens, chosen by a
 hash of the node's path, sometimes by two so that similar pairs survive deep trees. Small nodes
-are compared exhaustively: signatures propose pairs, each pair in the first node it shares, and the
+are compared exhaustively: signatures propose pairs, nodes that propose the same pairs are one, and the
 full shingle sets confirm them. A pair that the node's confirmed links already connect needs no
 comparison, so a node gives fewer links than it has members, whatever its number of pairs.
 
@@ -281,71 +281,80 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
     release()
 
 
-def _candidates(node: int, rows: list[dict], percent: int, least: float) -> list[tuple[int, int]]:
-    """Pairs with enough equal tokens whose roots differ, most alike first; of rows with nodes, in the first node they share."""
-    sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
-    roots = np.unique([r["root"].hex() for r in rows], return_inverse=True)[1]
-    short = np.array([r["short"] for r in rows])
-    n = np.array([r["n"] for r in rows], np.int64)
-    found = []
-    for i in range(len(rows) - 1):
-        after = slice(i + 1, None)
-        might = (roots[after] != roots[i]) & (short[after] | short[i])
-        might &= 100 * np.minimum(n[after], n[i]) >= percent * np.maximum(n[after], n[i])
-        at = np.flatnonzero(might)
-        same = (sketch[at + i + 1] == sketch[i]).mean(axis=1)
-        at, same = at[same >= least], same[same >= least]
-        found += zip((-same).tolist(), [i] * len(at), (at + i + 1).tolist(), strict=True)
-    nodes: dict[int, set] = {}
-    out = []
-    for _, i, j in sorted(found):
-        if rows[i].get("nodes") is not None:
-            a, b = (nodes.get(k) or nodes.setdefault(k, set(rows[k]["nodes"])) for k in (i, j))
-            if min(a & b) != node:
-                continue
-        out.append((i, j))
-    return out
+class _Node:
+    """The members of a node and which of their pairs the sketches propose."""
+
+    def __init__(self, rows: list[dict], percent: int, least: float):
+        self.classes = [r["class"] for r in rows]
+        self.sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.roots = np.unique([r["root"].hex() for r in rows], return_inverse=True)[1]
+        self.short = np.array([r["short"] for r in rows])
+        self.n = np.array([r["n"] for r in rows], np.int64)
+        self.percent, self.least = percent, least
+
+    def partners(self, i: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Members from first on of other roots that may be linked with i, and their shares of equal tokens."""
+        rest = slice(first, None)
+        might = (self.roots[rest] != self.roots[i]) & (self.short[rest] | self.short[i])
+        might &= 100 * np.minimum(self.n[rest], self.n[i]) >= self.percent * np.maximum(self.n[rest], self.n[i])
+        at = np.flatnonzero(might) + first
+        same = (self.sketch[at] == self.sketch[i]).mean(axis=1)
+        return at[same >= self.least], same[same >= self.least]
+
+    def proposed(self) -> tuple[list[int], bytes]:
+        """The members of proposed pairs, and two hashes of the set of these pairs."""
+        keys = np.frombuffer(b"".join(self.classes), "<u8").reshape(-1, 2)
+        some, sums = np.zeros(len(keys), bool), np.zeros(2, np.uint64)
+        for i in range(len(keys) - 1):
+            at, _ = self.partners(i, i + 1)
+            if len(at):
+                some[at] = some[i] = True
+                sums += mix(keys[at] + keys[i]).sum(axis=0)
+        return np.flatnonzero(some).tolist(), sums.tobytes()
+
+    def links(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Confirmed pairs that connect all members which confirmed pairs connect; roots become those of the connected."""
+
+        def confirm(i: int, j: int) -> bool:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both < self.percent * (len(sets[i]) + len(sets[j]) - both):
+                return False
+            self.roots[self.roots == self.roots[j]] = self.roots[i]
+            return True
+
+        out = []
+        for i in range(len(sets)):  # the likeliest partner first, so that few pairs are left to compare
+            at, same = self.partners(i)
+            if len(at) and confirm(i, j := int(at[same.argmax()])):
+                out.append((i, j))
+        for i in range(len(sets) - 1):
+            for j in self.partners(i, i + 1)[0].tolist():
+                if self.roots[i] != self.roots[j] and confirm(i, j):
+                    out.append((i, j))
+        return out
 
 
 def _active(percent: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, rows in _groups(batches):
-            pairs = _candidates(node, rows, percent, least)
-            members = sorted({k for pair in pairs for k in pair})
+        for number, rows in _groups(batches):
+            node = _Node(rows, percent, least)
+            members, pairs = node.proposed()
             if members:
-                both = b"".join(sorted(b"".join(sorted((rows[i]["class"], rows[j]["class"]))) for i, j in pairs))
-                same = hashlib.blake2b(both, digest_size=16).digest()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([rows[k]["class"] for k in members], pa.binary()), pa.array([node] * len(members), pa.int64()),
-                     pa.array([same] * len(members), pa.binary())], ["class", "node", "pairs"])
+                    [pa.array([node.classes[k] for k in members], pa.binary()), pa.array([number] * len(members), pa.int64()),
+                     pa.array([pairs] * len(members), pa.binary())], ["class", "node", "pairs"])
 
     return run
 
 
 def _confirm(text: str, words: int, percent: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, rows in _groups(batches):
-            sets = shingle_sets(pa.array([r[text] for r in rows], pa.large_string()), words)
-            parent = {r["root"]: r["root"] for r in rows}
-
-            def top(k: bytes) -> bytes:
-                while parent[k] != k:
-                    parent[k] = parent[parent[k]]
-                    k = parent[k]
-                return k
-
-            links = []
-            for i, j in _candidates(node, rows, percent, least):
-                a, b = top(rows[i]["root"]), top(rows[j]["root"])
-                x, y = len(sets[i]), len(sets[j])
-                if a == b:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (x + y - both):
-                    parent[a] = b
-                    links.append((rows[i]["class"], rows[j]["class"]))
+        for _, rows in _groups(batches):
+            node = _Node(rows, percent, least)
+            links = node.links(shingle_sets(pa.array([r[text] for r in rows], pa.large_string()), words))
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([node.classes[k] for k in ends], pa.binary()) for ends in zip(*links, strict=True)], ["a", "b"])
 
     return run
 
@@ -415,11 +424,10 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, words: int = 5, percent:
     # one byte of each token is enough to propose pairs
     low = F.unhex(F.regexp_replace(F.hex("signature"), "(..)......", "$1"))
     sketched = classes.select("class", *KEY, "n", low.alias("sketch"))
-    nodes = leaves.groupBy("class").agg(F.collect_list("node").alias("nodes"))
-    known = written(nodes.join(sketched, "class").select(
-        "class", F.col("class").alias("root"), F.lit(True).alias("short"), *KEY, "n", "sketch", "nodes"), "near-known")
+    known = written(leaves.join(sketched, "class").select(
+        "class", F.col("class").alias("root"), F.lit(True).alias("short"), *KEY, "n", "sketch", "node"), "near-known")
     texts = slim.select("text", *KEY)
-    linked = components(_links(known.select("*", F.explode("nodes").alias("node")), texts, KEY, words, percent, least))
+    linked = components(_links(known, texts, KEY, words, percent, least))
     if hot is not None:
         roots = linked.select(F.col("node").alias("class"), "root")
         own = hot.join(sketched.select("class", *KEY), "class").join(roots, "class", "left").select(
