@@ -169,6 +169,19 @@ def test_every_two_blocks_of_a_common_shingle_meet(spark):
     assert all(any({bytes([i]), bytes([j])} <= m for m in nodes.values()) for i in range(30) for j in range(i))
 
 
+def test_pages_of_one_template_meet_in_linearly_many_rows(spark):
+    made = []
+    for pages in (50, 200):
+        rows = _template_pages(random.Random(9), pages, 88, 12)
+        texts = spark.createDataFrame([(i.to_bytes(16), t) for i, t in rows], "class binary, text string")
+        nodes = defaultdict(set)
+        for r in near_dedup._exact_leaves(texts, 3, 85, 16).collect():
+            nodes[r.node].add(int.from_bytes(r["class"]))
+        assert all(any({2 * i, 2 * i + 1} <= m for m in nodes.values()) for i in range(pages))
+        made.append(sum(map(len, nodes.values())))
+    assert made[1] <= 4.4 * made[0]
+
+
 def test_decontamination_matches_a_search(spark, corpus):
     items = [(7, corpus[8][1]), (8, "AB ab!ab"), (9, None), (10, "..."), (None, "é ü"), (11, corpus[-3][1])]
     windows = defaultdict(set)
