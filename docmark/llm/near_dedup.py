@@ -38,6 +38,10 @@ TREES = 16
 ROOT_TOKENS = 3
 NODE_LIMIT = 1024
 MAX_DEPTH = 8
+#: Levels of nodes that are named and counted at once.
+LEVELS = 4
+#: Bits that tell whether a text is wanted, before texts are sent to their nodes.
+BITS = 1 << 25
 #: Cells in which shingles are counted to order them; equal counts are ordered by the shingle.
 CELLS = 1 << 20
 SPACES = space_class()
@@ -111,47 +115,70 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([classes, pa.array(np.concatenate(nodes))], ["class", "node"])
 
 
-def _children(similarity: float):
-    """The nodes one level below: by one token, or by two so often that 1 / similarity is the mean."""
+def _below(similarity: float, levels: int):
+    """The nodes of some levels below: by one token, or by two so often that 1 / similarity is the mean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig = _matrix(batch.column("signature")).astype(np.uint64)
-            node = batch.column("node").to_numpy().view(np.uint64)
-            which, at = mix(node + np.uint64(1)), np.arange(len(node))
-            token = (which % np.uint64(TOKENS)).astype(np.int64)
-            twice = np.flatnonzero((which >> np.uint64(40)) % np.uint64(1000) < int(1000 * (1 / similarity - 1)))
-            rows = np.concatenate([at, twice])
-            token = np.concatenate([token, (token[twice] + 1 + (which[twice] >> np.uint64(20)).astype(np.int64) % (TOKENS - 1)) % TOKENS])
-            below = mix(mix(node[rows] + token.astype(np.uint64)) + sig[rows, token])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("class").take(pa.array(rows)), pa.array(below.view(np.int64))], ["class", "node"])
+            own, node = np.arange(len(sig)), batch.column("node").to_numpy().view(np.uint64)
+            for level in range(1, levels + 1):
+                which, at = mix(node + np.uint64(1)), np.arange(len(node))
+                token = (which % np.uint64(TOKENS)).astype(np.int64)
+                twice = np.flatnonzero((which >> np.uint64(40)) % np.uint64(1000) < int(1000 * (1 / similarity - 1)))
+                rows = np.concatenate([at, twice])
+                token = np.concatenate([token, (token[twice] + 1 + (which[twice] >> np.uint64(20)).astype(np.int64) % (TOKENS - 1)) % TOKENS])
+                own, parent = own[rows], node[rows]
+                node = mix(mix(parent + token.astype(np.uint64)) + sig[own, token])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("class").take(pa.array(own)), pa.array(parent.view(np.int64)), pa.array(node.view(np.int64)),
+                     pa.array(np.full(len(node), level, np.int32))], ["class", "parent", "node", "level"])
 
     return run
 
 
 def _leaves(classes: DataFrame, similarity: float, node_limit: int, max_depth: int) -> tuple[DataFrame, DataFrame | None]:
-    """(class, node) of all nodes small enough to be compared, with two members or more; and the classes of large nodes."""
-    level = classes.select("class", "signature").mapInArrow(_roots, "class binary, node bigint")
-    done, hot = [], None
-    for depth in range(max_depth + 1):
-        sizes = level.groupBy("node").count().where("count > 1")
-        members = written(level.join(sizes, "node"), "near-nodes")
-        done.append(members.where(F.col("count") <= node_limit).select("class", "node"))
+    """(class, node) of all nodes small enough to be compared, with two members or more; and the classes of large nodes.
+
+    Nodes of ``LEVELS`` levels are named at once. One is in the tree if the node above it is large; those below it have
+    no other members, so that then all above are large.
+    """
+    roots = classes.select("class", "signature").mapInArrow(_roots, "class binary, node bigint")
+    members = written(roots.join(roots.groupBy("node").count().where("count > 1"), "node"), "near-nodes")
+    out = members.where(F.col("count") <= node_limit).select("class", "node")
+    large = members.where(F.col("count") > node_limit)
+    if large.isEmpty():
+        return out, None
+    hot = written(classes.join(large.select("class").distinct(), "class", "left_semi").select("class", *KEY, "signature"), "near-hot")
+    for depth in range(0, max_depth, LEVELS):
+        levels = min(LEVELS, max_depth - depth)
+        below = large.select("class", "node").join(hot.select("class", "signature"), "class").mapInArrow(
+            _below(similarity, levels), "class binary, parent bigint, node bigint, level int")
+        sizes = below.groupBy("node").agg(F.count("*").alias("count"), F.min("parent").alias("parent"), F.min("level").alias("level"))
+        branching = sizes.where(F.col("count") > node_limit).select(F.col("node").alias("parent"), F.lit(True).alias("branches"))
+        sizes = sizes.where("count > 1").join(branching, "parent", "left").where("level = 1 OR branches")
+        sizes = sizes.where((F.col("count") <= node_limit) | (F.col("level") == levels)).select("node", "count")
+        members = written(below.select("class", "node").join(sizes, "node"), "near-nodes")
+        out = out.unionByName(members.where(F.col("count") <= node_limit).select("class", "node"))
         large = members.where(F.col("count") > node_limit)
-        if large.isEmpty():
+        if depth + levels < max_depth and large.isEmpty():
             break
-        if hot is None:  # nodes below hold no other classes
-            hot = written(large.select("class").distinct(), "near-hot")
-        if depth < max_depth:
-            level = large.select("class", "node").join(classes.select("class", "signature"), "class").mapInArrow(
-                _children(similarity), "class binary, node bigint").distinct()
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.distinct(), hot
+    return out, hot.drop("signature")
+
+
+def _met(texts: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of texts whose key keys has, and few others: what is joined afterwards need not be sent whole.
+
+    Hashes of the keys set bits; the words of bits are broadcast, ``BITS`` / 64 at most.
+    """
+    bit = F.pmod(F.xxhash64(*on), F.lit(BITS))
+    bits = keys.select(bit.alias("__bit")).groupBy(F.shiftright("__bit", 6).alias("__word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(__bit & 63 AS INT))")).alias("__bits"))
+    marked = texts.withColumn("__bit", bit).withColumn("__word", F.shiftright("__bit", 6))
+    return marked.join(F.broadcast(bits), "__word").where(
+        "shiftright(__bits, CAST(__bit & 63 AS INT)) & 1 = 1").select(*texts.columns)
 
 
 def _cell_counts(words: int):
@@ -366,8 +393,10 @@ def _links(members: DataFrame, texts: DataFrame, on: list[str], words: int, perc
     active = written(by_node(members.drop(*KEY)).mapInArrow(
         _active(percent, least), "class binary, node bigint, pairs binary"), "near-active")
     once = active.groupBy("class", "pairs").agg(F.min("node").alias("node")).drop("pairs")
-    wanted = members.join(once, ["class", "node"])
-    return by_node(wanted.join(texts, on).dropDuplicates(["class", "node"]).drop(*KEY)).mapInArrow(
+    wanted = written(members.join(once, ["class", "node"]), "near-wanted")
+    # equal keys are one text; parted by the key they are joined by, they are sent once
+    texts = _met(texts, wanted, on).dropDuplicates(on)
+    return by_node(wanted.join(texts, on).drop(*KEY)).mapInArrow(
         _confirm("text", words, percent, least), "a binary, b binary")
 
 
@@ -430,9 +459,8 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, words: int = 5, percent:
     linked = components(_links(known, texts, KEY, words, percent, least))
     if hot is not None:
         roots = linked.select(F.col("node").alias("class"), "root")
-        own = hot.join(sketched.select("class", *KEY), "class").join(roots, "class", "left").select(
-            "class", *KEY, F.coalesce("root", "class").alias("root"))
-        hot_texts = written(texts.join(own, KEY).dropDuplicates(KEY).select("class", "root", "text"), "near-hot-texts")
+        own = hot.join(roots, "class", "left").select("class", *KEY, F.coalesce("root", "class").alias("root"))
+        hot_texts = written(_met(texts, hot, KEY).join(own, KEY).dropDuplicates(KEY).select("class", "root", "text"), "near-hot-texts")
         rest = written(_exact_leaves(hot_texts, words, percent, node_limit).join(sketched.drop(*KEY), "class"), "near-rest")
         more = written(_links(rest, hot_texts.select("class", "text"), ["class"], words, percent, least), "near-more")
         if not more.isEmpty():

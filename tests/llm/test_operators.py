@@ -124,6 +124,27 @@ def test_near_duplicates_match_all_pairs(spark, corpus):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_large_nodes_are_branched_by_several_levels_at_once(spark, monkeypatch):
+    names = []
+    write = near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: names.append(name) or write(df, name))
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:150], f"x{i}", *base[150:]])) for i in range(12)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), words=3, percent=85, node_limit=2)
+    assert {r.component_id for r in got.collect()} == {0}
+    assert names.count("near-nodes") <= 1 + near_dedup.MAX_DEPTH // near_dedup.LEVELS
+
+
+def test_only_wanted_texts_are_sent(spark):
+    texts = spark.range(5000).select((F.col("id") * 7).alias("__k1"), F.col("id").alias("__k2"), F.lit("t").alias("text"))
+    keys = texts.where("__k2 < 20").select("__k1", "__k2")
+    got = near_dedup._met(texts, keys, ["__k1", "__k2"])
+    assert got.columns == texts.columns
+    assert {r["__k2"] for r in got.collect()} >= set(range(20))
+    assert got.count() < 40
+    assert near_dedup._met(texts, keys.limit(0), ["__k1", "__k2"]).count() == 0
+
+
 def _template_pages(rng, pages, shared, own):
     """Pages of one template that agree in it only, and of every page a copy with some words changed, as near as 0.85."""
     template = [f"t{i}" for i in range(shared)]
