@@ -823,8 +823,10 @@ def stream_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, events, path = _arriving(spark, sf_dir)
+    # written once, so that a micro-batch reads members and not the whole log
+    b.run_members(events).write.parquet(f"{path}/members")
     rolled = _run(progress.stream_rollup(
-        stream, path, lambda _: b.run_members(events), ttl_s=b.TTL_S, split=b.user_split(spark, sf_dir)),
+        stream, path, lambda session: session.read.parquet(f"{path}/members"), ttl_s=b.TTL_S, split=b.user_split(spark, sf_dir)),
         spark, path, "rollups")
     return rolled.select(*_ROLLED, us("ts", "sent_at"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docmark import dims, scratch
 from docmark.operators import status, validation
+from docmark.plans import queries
 from docmark.sources import uploads
 from docmark.streaming import intake, progress
 from tests.test_status import SCHEMA, STAGES, at
@@ -182,3 +183,21 @@ def test_scratch_is_where_the_session_says(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scratch, "CONF", "docmark.test.dir")
     spark.conf.set(scratch.CONF, str(tmp_path))
     assert scratch.scratch_path(spark, "x").startswith(str(tmp_path))
+
+
+def _user_events(spark, path, rows):
+    kinds = F.array(*[F.lit(k) for k in ("signup", "view", "click", "purchase", "error")])
+    spark.range(0, rows, 1, 1).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 20).alias("ts"),
+        (F.col("id") % 40).alias("user_id"), F.get(kinds, F.expr("CAST(id DIV 40 % 5 AS INT)")).alias("event_type")).write.parquet(
+        f"{path}/events.parquet")
+    return str(path)
+
+
+def test_members_are_derived_once_for_all_micro_batches(spark, tmp_path, monkeypatch):
+    calls = []
+    derive = queries.b.run_members
+    monkeypatch.setattr(queries.b, "run_members", lambda events: calls.append(1) or derive(events))
+    got = queries.stream_rollup(spark, _user_events(spark, tmp_path, 600))
+    assert got.count() > 0
+    assert len(calls) == 1
