@@ -15,7 +15,7 @@ TTL_S = 43_200
 KEEP_S = 86_400
 BEAT_S = 3_600
 PATTERN_CHARS = 30
-STREAM_FILES, STREAM_FILE_ROWS = 3, 1_000_000
+STREAM_FILES, STREAM_FILE_ROWS, STREAM_BLOCK_BYTES = 3, 1_000_000, 4 << 20
 FAIL_REASON = "The document could not be converted to Markdown."
 PATTERNS = (b'token = "', b"PRIVATE KEY")
 XML_HEAD = '<?xml version="1.0"?><!DOCTYPE item [<!ENTITY who "nobody">]>'

@@ -790,7 +790,9 @@ def _arriving(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, s
         "_file").parquet(f"{path}/parts")
     parts = spark.read.schema(f"{progress.EVENTS}, _file long").parquet(f"{path}/parts")
     for number in range(files):
-        parts.where(F.col("_file") == number).drop("_file").coalesce(1).write.mode("append").parquet(f"{path}/in")
+        # one file is one micro-batch; its row groups are what tasks can share
+        parts.where(F.col("_file") == number).drop("_file").coalesce(1).write.mode("append").option(
+            "parquet.block.size", b.STREAM_BLOCK_BYTES).parquet(f"{path}/in")
     tick = log.agg((F.max("ts") + F.make_dt_interval(secs=F.lit(b.TTL_S))).alias("ts"))
     tick.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name)
                   for f in parts.drop("_file").schema]).write.mode("append").parquet(f"{path}/in")

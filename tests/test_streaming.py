@@ -3,7 +3,9 @@
 import datetime as dt
 import random
 from collections import Counter
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +203,10 @@ def test_members_are_derived_once_for_all_micro_batches(spark, tmp_path, monkeyp
     got = queries.stream_rollup(spark, _user_events(spark, tmp_path, 600))
     assert got.count() > 0
     assert len(calls) == 1
+
+
+def test_a_file_of_the_stream_can_be_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries.b, "STREAM_BLOCK_BYTES", 64 << 10)
+    _, _, path = queries._arriving(spark, _user_events(spark, tmp_path, 20_000))
+    groups = [pq.ParquetFile(f).num_row_groups for f in Path(path, "in").glob("*.parquet")]
+    assert max(groups) > 1
