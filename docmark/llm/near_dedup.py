@@ -44,6 +44,10 @@ LEVELS = 4
 BITS = 1 << 25
 #: Cells in which shingles are counted to order them; equal counts are ordered by the shingle.
 CELLS = 1 << 20
+#: Rows of a scratch table that are worth a file of their own.
+FILE_ROWS = 1 << 16
+#: Members of a node that are compared with one at once.
+AT_ONCE = 64
 SPACES = space_class()
 
 
@@ -139,28 +143,35 @@ def _below(similarity: float, levels: int):
     return run
 
 
-def _leaves(classes: DataFrame, similarity: float, node_limit: int, max_depth: int) -> tuple[DataFrame, DataFrame | None]:
+def _few(df: DataFrame, rows: int | None) -> DataFrame:
+    """df for a table of about so many rows, without texts: a small one is not written in many files, which take longer than its rows."""
+    return df if rows is None else df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
+def _leaves(classes: DataFrame, similarity: float, node_limit: int, max_depth: int, rows: int) -> tuple[DataFrame, DataFrame | None]:
     """(class, node) of all nodes small enough to be compared, with two members or more; and the classes of large nodes.
 
     Nodes of ``LEVELS`` levels are named at once. One is in the tree if the node above it is large; those below it have
-    no other members, so that then all above are large.
+    no other members, so that then all above are large. A level has about ``rows`` rows.
     """
     roots = classes.select("class", "signature").mapInArrow(_roots, "class binary, node bigint")
-    members = written(roots.join(roots.groupBy("node").count().where("count > 1"), "node"), "near-nodes")
+    members = written(_few(roots.join(roots.groupBy("node").count().where("count > 1"), "node"), rows), "near-nodes")
     out = members.where(F.col("count") <= node_limit).select("class", "node")
     large = members.where(F.col("count") > node_limit)
     if large.isEmpty():
         return out, None
-    hot = written(classes.join(large.select("class").distinct(), "class", "left_semi").select("class", *KEY, "signature"), "near-hot")
+    hot = classes.join(large.select("class").distinct(), "class", "left_semi").select("class", *KEY, "signature")
+    hot = written(_few(hot, rows), "near-hot")
     for depth in range(0, max_depth, LEVELS):
         levels = min(LEVELS, max_depth - depth)
         below = large.select("class", "node").join(hot.select("class", "signature"), "class").mapInArrow(
             _below(similarity, levels), "class binary, parent bigint, node bigint, level int")
         sizes = below.groupBy("node").agg(F.count("*").alias("count"), F.min("parent").alias("parent"), F.min("level").alias("level"))
+        sizes = written(_few(sizes.where("count > 1"), rows), "near-sizes")
         branching = sizes.where(F.col("count") > node_limit).select(F.col("node").alias("parent"), F.lit(True).alias("branches"))
-        sizes = sizes.where("count > 1").join(branching, "parent", "left").where("level = 1 OR branches")
+        sizes = sizes.join(branching, "parent", "left").where("level = 1 OR branches")
         sizes = sizes.where((F.col("count") <= node_limit) | (F.col("level") == levels)).select("node", "count")
-        members = written(below.select("class", "node").join(sizes, "node"), "near-nodes")
+        members = written(_few(below.select("class", "node").join(sizes, "node"), rows), "near-nodes")
         out = out.unionByName(members.where(F.col("count") <= node_limit).select("class", "node"))
         large = members.where(F.col("count") > node_limit)
         if depth + levels < max_depth and large.isEmpty():
@@ -204,12 +215,12 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray
     return shingles[np.lexsort((shingles, counts[(shingles % np.uint64(CELLS)).astype(np.int64)]))[:first]]
 
 
-def _open_nodes(tokens: DataFrame, node_limit: int) -> tuple[DataFrame, DataFrame]:
+def _open_nodes(tokens: DataFrame, node_limit: int, rows: int | None) -> tuple[DataFrame, DataFrame]:
     """The rows of nodes that can still hold a link between two roots: those of small nodes and those of large ones."""
     sizes = tokens.groupBy("node").agg(
         F.count("*").alias("count"), F.count_if("short").alias("shorts"), F.min("root").alias("first"), F.max("root").alias("last"))
     sizes = sizes.where("shorts > 0 AND first < last").drop("first", "last")
-    members = written(tokens.join(sizes, "node"), "near-prefixes")
+    members = written(_few(tokens.join(sizes, "node"), rows), "near-prefixes")
     return members.where(F.col("count") <= node_limit), members.where(F.col("count") > node_limit)
 
 
@@ -249,10 +260,10 @@ def _every_shingle(words: int):
     return run
 
 
-def _exact_leaves(texts: DataFrame, words: int, percent: int, node_limit: int) -> DataFrame:
+def _exact_leaves(texts: DataFrame, words: int, percent: int, node_limit: int, rows: int | None = None) -> DataFrame:
     """(class, root, short, node) so that every two of these classes with the wanted similarity and other roots share a node.
 
-    Classes with one root are linked already; without a column root every class is its own.
+    Classes with one root are linked already; without a column root every class is its own. First shingles are about ``rows``.
     """
     if "root" not in texts.columns:
         texts = texts.withColumn("root", F.col("class"))
@@ -273,14 +284,15 @@ def _exact_leaves(texts: DataFrame, words: int, percent: int, node_limit: int) -
 
     # repeats of a text give the same rows
     tokens = texts.mapInArrow(run, "class binary, root binary, short boolean, node bigint").distinct()
-    small, large = _open_nodes(tokens, node_limit)
+    small, large = _open_nodes(tokens, node_limit, rows)
     columns = ["class", "root", "short", "node"]
-    if large.isEmpty():
+    many = large.count()
+    if not many:
         return small.select(*columns)
     # shingles that occur in the same class are one group, so that a class is in one group only
     as_key = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     least = large.groupBy("class").agg(F.min("node").alias("least"))
-    groups = components(large.join(least, "class").select(as_key("least").alias("a"), as_key("node").alias("b")).distinct())
+    groups = components(large.join(least, "class").select(as_key("least").alias("a"), as_key("node").alias("b")).distinct(), many)
     grouped = large.select("class", as_key("node").alias("token")).join(
         groups.select(F.col("node").alias("token"), F.col("root").alias("group")), "token").select("class", "group").distinct()
     shingles = written(texts.join(grouped, "class").mapInArrow(
@@ -291,7 +303,7 @@ def _exact_leaves(texts: DataFrame, words: int, percent: int, node_limit: int) -
     fewer = F.expr(f"n - (2 * {percent} * n + {99 + percent}) DIV {100 + percent} + 1")
     tokens = shingles.join(often, ["group", "token"]).withColumn("place", place).where((F.col("place") <= first) & (F.col("often") > 1))
     within, large = _open_nodes(tokens.select(
-        "class", "root", (F.col("place") <= fewer).alias("short"), F.xxhash64("group", "token").alias("node")), node_limit)
+        "class", "root", (F.col("place") <= fewer).alias("short"), F.xxhash64("group", "token").alias("node")), node_limit, rows)
     return small.select(*columns).unionByName(within.select(*columns)).unionByName(_blocks(large, node_limit))
 
 
@@ -313,7 +325,8 @@ class _Node:
 
     def __init__(self, rows: list[dict], percent: int, least: float):
         self.classes = [r["class"] for r in rows]
-        self.sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
+        # a row for each token: equal tokens are counted for all members at once
+        self.sketch = np.ascontiguousarray(np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1).T)
         self.roots = np.unique([r["root"].hex() for r in rows], return_inverse=True)[1]
         self.short = np.array([r["short"] for r in rows])
         self.n = np.array([r["n"] for r in rows], np.int64)
@@ -324,9 +337,12 @@ class _Node:
         rest = slice(first, None)
         might = (self.roots[rest] != self.roots[i]) & (self.short[rest] | self.short[i])
         might &= 100 * np.minimum(self.n[rest], self.n[i]) >= self.percent * np.maximum(self.n[rest], self.n[i])
-        at = np.flatnonzero(might) + first
-        same = (self.sketch[at] == self.sketch[i]).mean(axis=1)
-        return at[same >= self.least], same[same >= self.least]
+        if not might.any():
+            return np.zeros(0, np.int64), np.zeros(0)
+        equal = (self.sketch[:, rest] == self.sketch[:, i : i + 1]).view(np.uint8)
+        same = np.add.reduce(equal, axis=0, dtype=np.uint16) / len(self.sketch)
+        at = np.flatnonzero(might & (same >= self.least))
+        return at + first, same[at]
 
     def proposed(self) -> tuple[list[int], bytes]:
         """The members of proposed pairs, and two hashes of the set of these pairs."""
@@ -340,25 +356,34 @@ class _Node:
         return np.flatnonzero(some).tolist(), sums.tobytes()
 
     def links(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        """Confirmed pairs that connect all members which confirmed pairs connect; roots become those of the connected."""
-
-        def confirm(i: int, j: int) -> bool:
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both < self.percent * (len(sets[i]) + len(sets[j]) - both):
-                return False
-            self.roots[self.roots == self.roots[j]] = self.roots[i]
-            return True
+        """Pairs that connect all members which confirmed pairs connect, one of all with all others; roots become those of the connected."""
+
+        lengths, out = np.array([len(s) for s in sets]), []
+
+        def confirm(i: int, at: np.ndarray) -> None:
+            shingles = np.concatenate([sets[j] for j in at])
+            place = np.searchsorted(sets[i], shingles)
+            place[place == lengths[i]] = 0
+            both = np.add.reduceat(sets[i][place] == shingles, np.cumsum(lengths[at]) - lengths[at], dtype=np.int64)
+            for j in at[100 * both >= self.percent * (lengths[i] + lengths[at] - both)].tolist():
+                if self.roots[i] != self.roots[j]:
+                    self.roots[self.roots == self.roots[j]] = self.roots[i]
+                    out.append((i, j))
 
-        out = []
         for i in range(len(sets)):  # the likeliest partner first, so that few pairs are left to compare
             at, same = self.partners(i)
-            if len(at) and confirm(i, j := int(at[same.argmax()])):
-                out.append((i, j))
+            if len(at):
+                confirm(i, at[[same.argmax()]])
         for i in range(len(sets) - 1):
-            for j in self.partners(i, i + 1)[0].tolist():
-                if self.roots[i] != self.roots[j] and confirm(i, j):
-                    out.append((i, j))
-        return out
+            at, _ = self.partners(i, i + 1)
+            while len(at):
+                confirm(i, at[:AT_ONCE])
+                at = at[AT_ONCE:]
+                at = at[self.roots[at] != self.roots[i]]
+        # each with the first that it is connected with, so that labels need not pass along chains
+        ends = sorted({i for pair in out for i in pair})
+        firsts: dict[int, int] = {}
+        return [(firsts[r], i) for i in ends if firsts.setdefault(r := int(self.roots[i]), i) != i]
 
 
 def _active(percent: int, least: float):
@@ -386,38 +411,44 @@ def _confirm(text: str, words: int, percent: int, least: float):
     return run
 
 
-def _links(members: DataFrame, texts: DataFrame, on: list[str], words: int, percent: int, least: float) -> DataFrame:
-    """Confirmed pairs (a, b) of the rows that share a node; nodes that propose the same pairs are looked at once."""
+def _links(members: DataFrame, texts: DataFrame, on: list[str], words: int, percent: int, least: float, rows: int) -> DataFrame:
+    """Pairs (a, b) that connect what confirmed pairs of the about ``rows`` rows that share a node connect.
+
+    Nodes that propose the same pairs are looked at once.
+    """
     # sorted by class too, so that a task that runs again gives the same links
     by_node = lambda df: df.repartition("node").sortWithinPartitions("node", "class")
-    active = written(by_node(members.drop(*KEY)).mapInArrow(
-        _active(percent, least), "class binary, node bigint, pairs binary"), "near-active")
+    active = written(_few(by_node(members.drop(*KEY)).mapInArrow(
+        _active(percent, least), "class binary, node bigint, pairs binary"), rows), "near-active")
     once = active.groupBy("class", "pairs").agg(F.min("node").alias("node")).drop("pairs")
-    wanted = written(members.join(once, ["class", "node"]), "near-wanted")
+    wanted = written(_few(members.join(once, ["class", "node"]), rows), "near-wanted")
     # equal keys are one text; parted by the key they are joined by, they are sent once
     texts = _met(texts, wanted, on).dropDuplicates(on)
     return by_node(wanted.join(texts, on).drop(*KEY)).mapInArrow(
         _confirm("text", words, percent, least), "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root) of every linked node; the root is the least node that links lead to.
 
     Least labels pass along links and are then looked up at the label itself, so that long chains
-    take a few rounds. Nothing is gathered but the number of changes.
+    take a few rounds. Nothing is gathered but the number of changes and of links, of which there are about ``rows``.
     """
     # both directions of one evaluation: two evaluations could choose different links
     both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = written(links.select(F.inline(both)).distinct(), "near-links")
-    labels = written(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "near-labels")
+    edges = links.select(F.inline(both)).distinct()
+    edges = written(_few(edges, rows), "near-links")
+    rows = edges.count()
+    labels = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node")
+    labels = written(_few(labels, rows), "near-labels")
     while True:
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
         moved = labels.join(near, labels.node == near.a).select(
             "node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         above = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        labels = written(moved.join(above, "root", "left").select(
+        labels = written(_few(moved.join(above, "root", "left").select(
             "node", F.least("root", F.coalesce("above", "root")).alias("root"),
-            (F.least("root", F.coalesce("above", "root")) != F.col("was")).alias("changed")), "near-labels")
+            (F.least("root", F.coalesce("above", "root")) != F.col("was")).alias("changed")), rows), "near-labels")
         if labels.where("changed").isEmpty():
             return labels.select("node", "root")
 
@@ -447,24 +478,27 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, words: int = 5, percent:
     rows = written(_sets(slim, "text", words, kind), "near-sets")
     classes = rows.where("n > 0").groupBy("class").agg(
         F.min("id").alias("id"), F.first(F.struct(*KEY, "n", "signature")).alias("one")).select("class", "id", "one.*")
-    classes = written(classes, "near-classes")
+    classes = written(_few(classes, rows.count()), "near-classes")
+    number, shingles = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    most, firsts = TREES * number, number + shingles * (100 - percent) // 100
     least = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / TOKENS)
-    leaves, hot = _leaves(classes, percent / 100, node_limit, max_depth)
+    leaves, hot = _leaves(classes, percent / 100, node_limit, max_depth, most)
     # one byte of each token is enough to propose pairs
     low = F.unhex(F.regexp_replace(F.hex("signature"), "(..)......", "$1"))
     sketched = classes.select("class", *KEY, "n", low.alias("sketch"))
-    known = written(leaves.join(sketched, "class").select(
-        "class", F.col("class").alias("root"), F.lit(True).alias("short"), *KEY, "n", "sketch", "node"), "near-known")
+    known = written(_few(leaves.join(sketched, "class").select(
+        "class", F.col("class").alias("root"), F.lit(True).alias("short"), *KEY, "n", "sketch", "node"), most), "near-known")
     texts = slim.select("text", *KEY)
-    linked = components(_links(known, texts, KEY, words, percent, least))
+    linked = components(_links(known, texts, KEY, words, percent, least, most), most)
     if hot is not None:
         roots = linked.select(F.col("node").alias("class"), "root")
         own = hot.join(roots, "class", "left").select("class", *KEY, F.coalesce("root", "class").alias("root"))
         hot_texts = written(_met(texts, hot, KEY).join(own, KEY).dropDuplicates(KEY).select("class", "root", "text"), "near-hot-texts")
-        rest = written(_exact_leaves(hot_texts, words, percent, node_limit).join(sketched.drop(*KEY), "class"), "near-rest")
-        more = written(_links(rest, hot_texts.select("class", "text"), ["class"], words, percent, least), "near-more")
+        rest = _exact_leaves(hot_texts, words, percent, node_limit, firsts).join(sketched.drop(*KEY), "class")
+        rest = written(_few(rest, firsts), "near-rest")
+        more = written(_links(rest, hot_texts.select("class", "text"), ["class"], words, percent, least, rest.count()), "near-more")
         if not more.isEmpty():
-            linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+            linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), most)
     named = classes.select("class", "id").join(linked, F.col("class") == F.col("node"), "left")
     least_id = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("least"))
     named = named.join(least_id, "root", "left").select("class", F.coalesce("least", "id").alias("component_id"))

@@ -203,6 +203,48 @@ def test_pages_of_one_template_meet_in_linearly_many_rows(spark):
     assert made[1] <= 4.4 * made[0]
 
 
+def test_small_scratch_tables_are_few_files(spark, monkeypatch):
+    made, write = [], near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: made.append(write(df, name)) or made[-1])
+    most = 4 * spark.sparkContext.defaultParallelism
+    conf = {"spark.sql.shuffle.partitions": str(most + 10), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        pairs = spark.range(2000).select(F.expr("CAST(CAST(2 * id AS STRING) AS BINARY)").alias("a"),
+                                         F.expr("CAST(CAST(2 * id + 1 AS STRING) AS BINARY)").alias("b"))
+        got = near_dedup.components(pairs, 2000).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 4000
+    assert {(int(r.node) // 2, int(min(str(int(r.node) // 2 * 2 + k) for k in (0, 1)))) for r in got} == {
+        (int(r.root) // 2, int(r.root)) for r in got}
+    assert all(0 < len(df.inputFiles()) <= most for df in made)
+
+
+def test_members_of_a_node_are_linked_with_the_first_of_their_component():
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(8):  # a core, and sets whose distances to each other lie about the threshold
+        core = np.unique(rng.integers(0, 2**63, 100, dtype=np.uint64))
+        sets += [np.unique(np.concatenate([rng.permutation(core)[:95], rng.integers(0, 2**63, 5, dtype=np.uint64)])) for _ in range(20)]
+    sketches = near_dedup._signatures(sets, near_dedup.TOKENS).astype(np.uint8)
+    rows = [{"class": i.to_bytes(16), "root": i.to_bytes(16), "short": True, "n": len(s), "sketch": k.tobytes()}
+            for i, (s, k) in enumerate(zip(sets, sketches, strict=True))]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    got = near_dedup._Node(rows, 85, 0).links(sets)
+    assert 8 < len(set(root)) < len(sets) - 8
+    assert sorted(got) == sorted((r, i) for i, r in enumerate(root) if r != i)
+
+
 def test_decontamination_matches_a_search(spark, corpus):
     items = [(7, corpus[8][1]), (8, "AB ab!ab"), (9, None), (10, "..."), (None, "é ü"), (11, corpus[-3][1])]
     windows = defaultdict(set)
